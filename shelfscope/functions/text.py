@@ -6,7 +6,7 @@ import sys
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fixed
@@ -15,6 +15,17 @@ from shelfscope.functions.numbers import filled, truthy
 RAW = "(?iU)"  # raw text: ignore case, Unicode word boundaries
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that later filters and projections cannot copy them.
+
+    Catalyst substitutes a column by its expression when it pushes a filter down; for
+    the long alias expressions that copies them many times. A one-row ``inline`` stays
+    inside generated code and keeps one evaluation per row.
+    """
+    fields = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select("*", F.inline(F.array(fields)))
+
+
 @cache
 def _decompositions() -> tuple[str, str, dict[str, str]]:
     """Characters whose compatibility form holds plain letters or digits.
@@ -46,13 +57,9 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
 
 def strip_accents(text: Column) -> Column:
     source, target, several = _decompositions()
-    pairs = [F.lit(part) for item in several.items() for part in item]
-    wide = F.array_join(
-        F.transform(
-            F.split(text, ""), lambda c: F.coalesce(F.create_map(*pairs)[c], c)
-        ),
-        "",
-    )
+    listed = "\n".join(f"{char}\t{plain}" for char, plain in several.items())
+    table = F.str_to_map(F.lit(listed), F.lit("\n"), F.lit("\t"))
+    wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c)), "")
     unfolded = F.when(text.rlike(f"[{''.join(several)}]"), wide).otherwise(text)
     return F.when(
         text.rlike(r"[^\x00-\x7F]"), F.translate(unfolded, source, target)
@@ -65,11 +72,6 @@ def norm_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
-def contains_words(normal: Column, phrase: str) -> Column:
-    """Whole-word containment; on normalised text words end at spaces only."""
-    return F.concat(F.lit(" "), normal, F.lit(" ")).contains(f" {phrase} ")
-
-
 def title_words(words: Column) -> Column:
     """Title case of [a-z0-9 ] text; a letter after a digit is a capital too."""
     marked = F.regexp_replace(words, "([0-9])([a-z])", "$1~ $2")

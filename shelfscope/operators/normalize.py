@@ -37,52 +37,60 @@ def brand_fallback(brand_raw: Column, brand_norm: Column, name_norm: Column) ->
     )
 
 
-def resolve_brand(df: DataFrame, tables: AliasTables) -> DataFrame:
-    """Exact alias of the raw brand, longest alias in the name, then the fallbacks."""
-    brands = tables.brands
-    hit = F.coalesce(
-        brands.exact(F.col("marca_norm")), brands.contained(F.col("nombre_norm"), brand_order)
-    )
+def name_texts() -> dict[str, Column]:
+    """Normal forms that all resolvers read."""
+    name, kind = T.norm_text(F.col("nombre")), T.norm_text(F.col("tipo"))
+    return {
+        "nombre_norm": name,
+        "marca_norm": T.norm_text(F.col("marca")),
+        "_kind_norm": kind,
+        "_name_padded": F.concat(F.lit(" "), name, F.lit(" ")),
+        "_words_padded": F.concat(F.lit(" "), kind, F.lit(" "), name, F.lit(" ")),
+        "_zero": T.mentions_zero_alcohol(F.col("tipo"), F.col("nombre")),
+    }
+
+
+def alias_hits(tables: AliasTables) -> dict[str, Column]:
+    """Lines of the alias tables that apply: exact brand, else longest alias in the name;
+    for the variant the alias of most words in type and name, unless it is zero alcohol."""
+    return {
+        "_brand": F.coalesce(
+            tables.brands.exact("marca_norm"),
+            tables.brands.contained("_name_padded", brand_order),
+        ),
+        "_variant": F.when(
+            ~F.col("_zero"), tables.variants.contained("_words_padded", variant_order)
+        ),
+    }
+
+
+def brand_columns(tables: AliasTables) -> dict[str, Column]:
     fallback = brand_fallback(F.col("marca"), F.col("marca_norm"), F.col("nombre_norm"))
-    return (
-        df.withColumn("_hit", hit)
-        .withColumn("_fallback", F.when(F.col("_hit").isNull(), fallback))
-        .withColumns(
-            {
-                "brand_slug": F.coalesce(brands.value(F.col("_hit"), 1), F.col("_fallback.slug")),
-                "brand_display": F.coalesce(brands.value(F.col("_hit"), 2), F.col("_fallback.display")),
-                "sub_brand": F.coalesce(brands.value(F.col("_hit"), 3), F.col("_fallback.sub")),
-            }
+    return {
+        name: F.when(F.col("_brand").isNull(), fallback[part]).otherwise(
+            tables.brands.value("_brand", i)
         )
-        .drop("_hit", "_fallback")
-    )
+        for i, (name, part) in enumerate(
+            {"brand_slug": "slug", "brand_display": "display", "sub_brand": "sub"}.items(), 1
+        )
+    }
 
 
-def resolve_variant(df: DataFrame, tables: AliasTables) -> DataFrame:
-    """Zero alcohol first, else the alias of most words in type and name."""
-    variants = tables.variants
-    text = F.concat_ws(" ", T.norm_text(F.col("tipo")), F.col("nombre_norm"))
-    return (
-        df.withColumn("_zero", T.mentions_zero_alcohol(F.col("tipo"), F.col("nombre")))
-        .withColumn("_text", text)
-        .withColumn("_hit", F.when(~F.col("_zero"), variants.contained(F.col("_text"), variant_order)))
-        .withColumn(
-            "variant_slug",
-            F.when(F.col("_zero"), F.lit(fixed.ZERO_VARIANT)).otherwise(
-                F.coalesce(variants.value(F.col("_hit"), 1), F.lit(fixed.UNKNOWN_VARIANT))
-            ),
-        )
-        .drop("_text", "_hit")
+def variant_column(slug: Column) -> Column:
+    return F.when(F.col("_zero"), F.lit(fixed.ZERO_VARIANT)).otherwise(
+        F.coalesce(slug, F.lit(fixed.UNKNOWN_VARIANT))
     )
 
 
-def resolve_volume(volume_ml: Column, tables: AliasTables) -> Column:
-    whole = volume_ml.cast("int")
-    known = tables.volumes.value(tables.volumes.exact(whole.cast("string")), 1).cast("int")
-    return F.when(truthy(volume_ml), F.coalesce(known, whole))
+def resolve_volume(tables: AliasTables, volume: str = "volumen_ml") -> Column:
+    """Whole millilitres after the volume aliases; zero and null give null."""
+    whole = F.col(volume).cast("int")
+    line = tables.volumes.exact_text(f"CAST(CAST({volume} AS INT) AS STRING)")
+    known = tables.volumes.value(line, 1).cast("int")
+    return F.when(truthy(F.col(volume)), F.coalesce(known, whole))
 
 
-def structural_key(row: str = "") -> Column:
+def structural_key() -> Column:
     """Comparable identity as text; null if the variant or the volume is not known."""
     return F.when(
         (F.col("variant_slug") != fixed.UNKNOWN_VARIANT) & truthy(F.col("volume_ml_canon")),
@@ -100,25 +108,25 @@ def structural_key(row: str = "") -> Column:
 def normalize_offers(df: DataFrame, tables: AliasTables | None = None) -> DataFrame:
     """All derived identity columns, in one narrow pass without a shuffle."""
     tables = tables or builtin_aliases()
-    base = df.withColumns(
-        {"nombre_norm": T.norm_text(F.col("nombre")), "marca_norm": T.norm_text(F.col("marca"))}
-    )
-    return _finish(resolve_variant(resolve_brand(base, tables), tables), tables)
+    texts = T.computed_once(df, name_texts())
+    hits = T.computed_once(texts, alias_hits(tables))
+    variant = variant_column(tables.variants.value("_variant", 1))
+    named = hits.withColumns({**brand_columns(tables), "variant_slug": variant})
+    return _finish(named.drop("_brand", "_variant"), tables)
 
 
 def _finish(df: DataFrame, tables: AliasTables) -> DataFrame:
+    derived = {
+        "volume_ml_canon": resolve_volume(tables),
+        "container": T.container(F.col("nombre_norm")),
+        "pack_qty": T.pack_quantity(F.col("nombre_norm")),
+        "gtin_norm": T.normal_gtin(F.col("gtin")),
+        "is_zero": F.coalesce("is_zero_alcohol", F.lit(False)) | F.col("_zero"),
+    }
     return (
-        df.withColumns(
-            {
-                "volume_ml_canon": resolve_volume(F.col("volumen_ml"), tables),
-                "container": T.container(F.col("nombre_norm")),
-                "pack_qty": T.pack_quantity(F.col("nombre_norm")),
-                "gtin_norm": T.normal_gtin(F.col("gtin")),
-                "is_zero": F.coalesce("is_zero_alcohol", F.lit(False)) | F.col("_zero"),
-            }
-        )
+        T.computed_once(df, derived)
         .withColumn("structural_key", structural_key())
-        .drop("_zero", "marca_norm")
+        .drop("_zero", "_kind_norm", "marca_norm", "_name_padded", "_words_padded")
     )
 
 
@@ -126,45 +134,23 @@ def normalize_offers_by_join(
     df: DataFrame, brands: DataFrame, variants: DataFrame, tables: AliasTables, max_words: int = 4
 ) -> DataFrame:
     """Same result for alias tables too big to be plan literals (volumes stay small)."""
-    base = df.withColumns(
-        {
-            "nombre_norm": T.norm_text(F.col("nombre")),
-            "marca_norm": T.norm_text(F.col("marca")),
-            "_zero": T.mentions_zero_alcohol(F.col("tipo"), F.col("nombre")),
-            "_text": F.concat_ws(" ", T.norm_text(F.col("tipo")), T.norm_text(F.col("nombre"))),
-        }
+    base = T.computed_once(df, name_texts()).withColumn(
+        "_words", F.concat_ws(" ", "_kind_norm", "nombre_norm")
     )
-    fields = ["brand_slug", "brand_display", "sub_brand"]
-    exact = brands.select(F.col("alias_norm").alias("marca_norm"), F.struct(*fields).alias("_exact"))
+    parts = {"brand_slug": "slug", "brand_display": "display", "sub_brand": "sub"}
+    exact = brands.select(F.col("alias_norm").alias("marca_norm"), F.struct(*parts).alias("_exact"))
+    length = -F.length("alias_norm")
     named = match_aliases_by_join(
-        base.join(exact, "marca_norm", "left"),
-        "nombre_norm",
-        brands,
-        -F.length("alias_norm"),
-        fields,
-        max_words,
+        base.join(exact, "marca_norm", "left"), "nombre_norm", brands, length, list(parts), max_words
     )
     fallback = brand_fallback(F.col("marca"), F.col("marca_norm"), F.col("nombre_norm"))
-    resolved = named.withColumn("_fallback", fallback).withColumns(
-        {
-            name: F.coalesce(F.col("_exact")[name], F.col(name), F.col("_fallback")[part])
-            for name, part in zip(fields, ["slug", "display", "sub"])
-        }
-    )
-    varied = match_aliases_by_join(
-        resolved,
-        "_text",
-        variants,
-        -F.size(F.split("alias_norm", " ")),
-        ["variant_slug"],
-        max_words,
-    ).withColumn(
-        "variant_slug",
-        F.when(F.col("_zero"), F.lit(fixed.ZERO_VARIANT)).otherwise(
-            F.coalesce("variant_slug", F.lit(fixed.UNKNOWN_VARIANT))
-        ),
+    resolved = named.withColumns(
+        {name: F.coalesce(F.col("_exact")[name], F.col(name), fallback[part]) for name, part in parts.items()}
     )
-    return _finish(varied.drop("_exact", "_fallback", "_text"), tables)
+    words = -F.size(F.split("alias_norm", " "))
+    varied = match_aliases_by_join(resolved, "_words", variants, words, ["variant_slug"], max_words)
+    varied = varied.withColumn("variant_slug", variant_column(F.col("variant_slug")))
+    return _finish(varied.drop("_exact", "_words"), tables)
 
 
 def with_own_key(offers: DataFrame) -> DataFrame:

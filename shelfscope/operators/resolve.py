@@ -66,11 +66,10 @@ def block_key() -> Column:
 GROUP = ["block", "words", "platform", "is_zero", "variant_slug"]
 
 
-def name_groups(labelled: DataFrame) -> DataFrame:
+def name_groups(rows: DataFrame) -> DataFrame:
     """Offers that no gate can tell apart: first offer, first rooted offer, any free one."""
     return (
-        labelled.withColumns({"block": block_key(), "words": word_set(F.col("nombre_norm"))})
-        .groupBy(*GROUP)
+        rows.groupBy(*GROUP)
         .agg(
             F.min("offer_ord").alias("first"),
             F.min_by(F.struct("label", "rooted"), "offer_ord").alias("first_of"),
@@ -115,21 +114,15 @@ def fuzzy_edges(labelled: DataFrame) -> DataFrame:
     offer (and the first rooted one) its smallest edge, to the first offer among all
     matching groups. Linear in the offers, never pairs of rows.
     """
-    rows = cut_lineage(
-        labelled.select(
-            block_key().alias("block"),
-            word_set(F.col("nombre_norm")).alias("words"),
-            "platform",
-            "is_zero",
-            "variant_slug",
-            "nombre_norm",
-            "brand_slug",
-            "volume_ml_canon",
-            "pack_qty",
-            "label",
-            "rooted",
-            "offer_ord",
-        )
+    rows = labelled.select(
+        block_key().alias("block"),
+        word_set(F.col("nombre_norm")).alias("words"),
+        "platform",
+        "is_zero",
+        "variant_slug",
+        "label",
+        "rooted",
+        "offer_ord",
     )
     groups = cut_lineage(name_groups(rows))
     names = groups.groupBy("block", "words").agg(F.bool_or("is_open").alias("is_open"))
@@ -348,8 +341,8 @@ def build_canonicals(labelled: DataFrame) -> DataFrame:
 
 def assign_canonicals(offers: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
     """Whole resolver: offers with canonical_id and canonical_key, and the products."""
-    exact = label_exact(offers)
-    labelled = cut_lineage(label_fuzzy(exact) if fuzzy else exact.drop("rooted"))
+    exact = cut_lineage(label_exact(cut_lineage(offers)))
+    labelled = cut_lineage(label_fuzzy(exact)) if fuzzy else exact.drop("rooted")
     canonicals = cut_lineage(build_canonicals(labelled))
     ids = canonicals.select("label", "canonical_id", "canonical_key")
     return labelled.join(ids, "label").drop("label"), canonicals.drop("label")

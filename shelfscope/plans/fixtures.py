@@ -88,13 +88,14 @@ def as_products(rows: DataFrame) -> DataFrame:
     name, brand, price = F.col("nombre"), F.col("marca"), F.col("precio_actual")
     before = price * (F.lit(1.0) + F.col("descuento_pct") / F.lit(100.0))
     return (
-        rows.withColumns(
+        T.computed_once(
+            rows,
             {
                 "tipo": T.type_text(name, brand),
                 "volumen_ml": T.volume_from_name(name),
                 "precio_anterior": before,
                 "_promo": parse_promo(F.col("promo_raw"), price),
-            }
+            },
         )
         .withColumns(
             {

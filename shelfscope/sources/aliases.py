@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fixed
-from shelfscope.functions.text import contains_words, norm_text
+from shelfscope.functions.text import norm_text
 
 MAX_INLINE_ROWS = 256
 BRAND_COLUMNS = ["alias_norm", "brand_slug", "brand_display", "sub_brand"]
@@ -66,20 +66,35 @@ class AliasTable:
             return None
         return AliasTable([[str(r[c]) for c in columns] for r in sorted(found, key=lambda r: r["line"])])
 
-    def exact(self, text: Column) -> Column:
-        """Position of an equal alias, null if none."""
-        aliases = F.array(*[F.lit(r[0]) for r in self.rows])
-        return F.nullif(F.array_position(aliases, text), F.lit(0).cast("long"))
+    def exact(self, text: str) -> Column:
+        """Line of an equal alias, null if none."""
+        return F.expr(self.exact_text(text))
 
-    def contained(self, normal: Column, order) -> Column:
-        """Position of the first alias, in the given order, contained as whole words."""
+    def exact_text(self, text: str) -> str:
+        return f"nullif(array_position({self._array(0)}, {text}), 0L)"
+
+    def contained(self, normal: str, order) -> Column:
+        """Line of the first alias, in the given order, contained as whole words.
+
+        On normalised text words end at spaces only, so padding both sides is enough.
+        """
         ranked = sorted(range(len(self.rows)), key=lambda i: order(self.rows[i][0]))
-        hits = [F.when(contains_words(normal, self.rows[i][0]), F.lit(i + 1)) for i in ranked]
-        return F.coalesce(*hits).cast("long")
+        cases = " ".join(
+            f"WHEN contains({normal}, {sql_text(f' {self.rows[i][0]} ')}) THEN {i + 1}L" for i in ranked
+        )
+        return F.expr(f"CASE {cases} END")
+
+    def value(self, line: str, column: int) -> Column:
+        return F.expr(f"get({self._array(column)}, CAST({line} - 1 AS INT))")
+
+    def _array(self, column: int) -> str:
+        return f"array({', '.join(sql_text(row[column]) for row in self.rows)})"
+
 
-    def value(self, position: Column, column: int) -> Column:
-        values = F.array(*[F.lit(r[column]) for r in self.rows])
-        return F.get(values, (position - 1).cast("int"))
+def sql_text(value: str) -> str:
+    """A text literal of Spark SQL."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def brand_order(alias: str) -> int:
