@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPLIT = 134217729.0  # 2**27 + 1, splits a double into two halves
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def round_exact(x: Column, digits: int = 2) -> Column:
     """Half-even rounding of the exact binary value (2.675 gives 2.67).
 

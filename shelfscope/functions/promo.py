@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fixed
-from shelfscope.functions.numbers import filled, round_exact, truthy
+from shelfscope.functions.numbers import filled, let, round_exact, truthy
 from shelfscope.functions.text import RAW
 
 PROMO_TYPE = (
@@ -30,36 +30,37 @@ def parse_promo(text: Column, price: Column) -> Column:
     Payment-method promotions come first and have no effective price; a pattern
     "n for m" out of bounds falls through to "second unit at x %".
     """
-    clean = F.btrim(text)
-    n = F.regexp_extract(clean, RAW + fixed.PROMO_N_FOR_M, 1).try_cast("int")
-    m = F.regexp_extract(clean, RAW + fixed.PROMO_N_FOR_M, 2).try_cast("int")
-    off = F.regexp_extract(clean, RAW + fixed.PROMO_SECOND_UNIT, 1).try_cast("int")
-    per_unit = F.when(truthy(price), round_exact(price * m / n))
-    second = price * (F.lit(2.0) - off / F.lit(100.0)) / F.lit(2.0)
-    per_unit_second = F.when(truthy(price) & truthy(second), round_exact(second))
-    return (
-        F.when(~filled(text), F.lit(None).cast(PROMO_TYPE))
-        .when(
-            clean.rlike(RAW + fixed.PROMO_CARD),
-            _promo("tarjeta", clean, F.lit(""), F.lit(0), F.lit(None)),
-        )
-        .when(
-            (m >= 1) & (m < n) & (n <= 6),
-            _promo("multi", clean, F.concat_ws("x", n, m), n, per_unit),
-        )
-        .when(
-            (off > 0) & (off <= 100),
-            _promo(
-                "multi",
-                clean,
-                F.concat(F.lit("2do −"), off.cast("string"), F.lit("%")),
-                F.lit(2),
-                per_unit_second,
-            ),
-        )
+    numbers = F.struct(
+        F.btrim(text).alias("text"),
+        price.alias("price"),
+        F.regexp_extract(text, RAW + fixed.PROMO_N_FOR_M, 1).try_cast("int").alias("n"),
+        F.regexp_extract(text, RAW + fixed.PROMO_N_FOR_M, 2).try_cast("int").alias("m"),
+        F.regexp_extract(text, RAW + fixed.PROMO_SECOND_UNIT, 1).try_cast("int").alias("off"),
+    )
+    none = F.lit(None).cast(PROMO_TYPE)
+    return F.when(~filled(text), none).otherwise(
+        F.when(
+            text.rlike(RAW + fixed.PROMO_CARD),
+            _promo("tarjeta", F.btrim(text), F.lit(""), F.lit(0), F.lit(None)),
+        ).otherwise(let(numbers, _multi_unit))
     )
 
 
+def _multi_unit(p: Column) -> Column:
+    """Promotion of the numbers found in a text."""
+    text, price, n, m, off = (p[name] for name in ("text", "price", "n", "m", "off"))
+
+    def exact(value: Column) -> Column:
+        return let(value, lambda v: F.when(truthy(price) & truthy(v), round_exact(v)))
+
+    label = F.concat(F.lit("2do −"), off.cast("string"), F.lit("%"))
+    second = price * (F.lit(2.0) - off / F.lit(100.0)) / F.lit(2.0)
+    return F.when(
+        (m >= 1) & (m < n) & (n <= 6),
+        _promo("multi", text, F.concat_ws("x", n, m), n, exact(price * m / n)),
+    ).when((off > 0) & (off <= 100), _promo("multi", text, label, F.lit(2), exact(second)))
+
+
 def best_promo(texts: Column, price: Column) -> Column:
     """Of several texts: the lowest effective price, first on a tie; else the first recognised."""
     found = F.filter(F.transform(texts, lambda t: parse_promo(t, price)), lambda p: p.isNotNull())

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fixed
-from shelfscope.functions.numbers import filled, truthy
+from shelfscope.functions.numbers import filled, let, truthy
 
 RAW = "(?iU)"  # raw text: ignore case, Unicode word boundaries
 
@@ -35,7 +34,7 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     characters that become several.
     """
     source, target, dropped, several = [], [], [], {}
-    for code in range(0x80, min(0x10000, sys.maxunicode)):
+    for code in range(0x80, 0x10000):
         if 0xD800 <= code < 0xE000:
             continue
         char = chr(code)
@@ -55,15 +54,35 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
     return "".join(source + dropped), "".join(target), several
 
 
+def _as_ranges(chars: list[str]) -> str:
+    """Body of a character class, neighbours joined to ranges."""
+    codes, parts = sorted(map(ord, chars)), []
+    start = last = codes[0]
+    for code in [*codes[1:], 0]:
+        if code != last + 1:
+            parts.append(f"{chr(start)}-{chr(last)}")
+            start = code
+        last = code
+    return "".join(parts)
+
+
 def strip_accents(text: Column) -> Column:
+    """Compatibility form without combining marks, as far as letters and digits go.
+
+    Plain ASCII is passed through; only texts holding a character that becomes several
+    (a ligature or a fraction, say) are taken apart.
+    """
     source, target, several = _decompositions()
     listed = "\n".join(f"{char}\t{plain}" for char, plain in several.items())
     table = F.str_to_map(F.lit(listed), F.lit("\n"), F.lit("\t"))
-    wide = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c)), "")
-    unfolded = F.when(text.rlike(f"[{''.join(several)}]"), wide).otherwise(text)
-    return F.when(
-        text.rlike(r"[^\x00-\x7F]"), F.translate(unfolded, source, target)
-    ).otherwise(text)
+
+    def apart(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(table[c], c)), "")
+
+    single = F.translate(text, source, target)
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), text).otherwise(
+        let(single, lambda t: F.when(t.rlike(f"[{_as_ranges(list(several))}]"), apart(t)).otherwise(t))
+    )
 
 
 def norm_text(text: Column) -> Column:
@@ -87,30 +106,44 @@ def to_ml(value: Column, unit: Column) -> Column:
         .when(name.isin(fixed.CENTILITRE_UNITS), 10.0)
         .otherwise(1.0)
     )
-    number = value.try_cast("double")
-    return F.when(truthy(number), F.rint(number * factor).cast("int"))
+    return F.when(truthy(value), F.rint(value * factor).cast("int"))
 
 
 def volume_from_name(name: Column) -> Column:
     """First volume in a name, null if there is none or it is zero."""
-    pattern = RAW + fixed.VOLUME_IN_NAME
-    digits = F.replace(F.regexp_extract(name, pattern, 1), F.lit(","), F.lit("."))
-    number = digits.try_cast("double")
-    return F.when(F.regexp_extract(name, pattern, 0) != "", to_ml(number, F.regexp_extract(name, pattern, 2)))
+
+    def parts(found: Column) -> Column:
+        digits = F.regexp_extract(found, r"^[0-9.,]+", 0)
+        number = F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")
+        unit = F.regexp_extract(found, r"(?i)(cm3|[a-z]+)$", 1)
+        return F.struct(number.alias("number"), unit.alias("unit"))
+
+    found = F.regexp_extract(name, RAW + fixed.VOLUME_IN_NAME, 0)
+    return let(
+        found,
+        lambda f: F.when(f != "", let(parts(f), lambda p: to_ml(p["number"], p["unit"]))),
+    )
 
 
 def type_text(name: Column, brand: Column, color: Column = None, style: Column = None) -> Column:
     """What is left of a name without 'Cerveza', brand and volumes."""
-    text = F.regexp_replace(F.coalesce(name, F.lit("")), RAW + r"^Cerveza\s+", "")
+    fallbacks = [F.when(filled(c), c) for c in (style, color) if c is not None]
+
+    def clean(text: Column) -> Column:
+        text = F.regexp_replace(text, RAW + r"\bCerveza\b", "")
+        text = F.regexp_replace(text, RAW + fixed.VOLUME_TOKEN, "")
+        return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" ,-"))
+
+    start = F.regexp_replace(F.coalesce(name, F.lit("")), RAW + r"^Cerveza\s+", "")
     quoted = F.concat(
         F.lit(RAW + r"\b\Q"), F.replace(brand, F.lit(r"\E"), F.lit("")), F.lit(r"\E\b")
     )
-    text = F.when(filled(brand), F.regexp_replace(text, quoted, F.lit(""))).otherwise(text)
-    text = F.regexp_replace(text, RAW + r"\bCerveza\b", "")
-    text = F.regexp_replace(text, RAW + fixed.VOLUME_TOKEN, "")
-    text = F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" ,-"))
-    fallbacks = [F.when(filled(c), c) for c in (style, color) if c is not None]
-    return F.coalesce(F.when(filled(text), text), *fallbacks, F.lit(""))
+    # Most names do not hold the brand's letters at all: no pattern to build then.
+    holds = filled(brand) & F.contains(F.lower(name), F.lower(brand))
+    rest = F.when(F.coalesce(holds, F.lit(False)), F.regexp_replace(start, quoted, F.lit(""))).otherwise(start)
+    return let(
+        clean(rest), lambda t: F.coalesce(F.when(t != "", t), *fallbacks, F.lit(""))
+    )
 
 
 def mentions_zero_alcohol(type_raw: Column, name_raw: Column) -> Column:
@@ -126,11 +159,14 @@ def container(normal: Column) -> Column:
 
 def pack_quantity(normal: Column) -> Column:
     """Units per pack. A first-form hit out of range is final: no second try."""
-    before = F.regexp_extract(normal, fixed.PACK_BEFORE, 1)
-    after = F.regexp_extract(normal, fixed.PACK_AFTER, 1)
-    units = F.when(before != "", before).otherwise(after).try_cast("int")
     low, high = fixed.PACK_RANGE
-    return F.when(units.between(low, high), units).otherwise(F.lit(1))
+    before = F.regexp_extract(normal, fixed.PACK_BEFORE, 1)
+    digits = let(
+        before, lambda b: F.when(b != "", b).otherwise(F.regexp_extract(normal, fixed.PACK_AFTER, 1))
+    )
+    return let(
+        digits.try_cast("int"), lambda n: F.when(n.between(low, high), n).otherwise(F.lit(1))
+    )
 
 
 def normal_gtin(gtin: Column) -> Column:

@@ -20,15 +20,16 @@ def with_stale_fallback(
     expected: DataFrame,
     now: Column,
     max_age_hours: float = fixed.MAX_SNAPSHOT_AGE_HOURS,
+    filled_if: str = "size(productos) > 0",
 ) -> DataFrame:
     """Snapshots of the run plus, for shops that did not arrive, their newest usable one.
 
     ``run`` and ``newest`` hold one envelope per shop. Adds ``stale`` and ``captured_at``.
     """
-    absent = expected.join(run.select("platform"), "platform", "left_anti")
+    absent = missing_platforms(expected, run)
     usable = (
         newest.join(absent, "platform", "left_semi")
-        .filter(F.size("productos") > 0)
+        .filter(filled_if)
         .filter(age_hours(F.col("fecha_scrapeo"), now) <= max_age_hours)
     )
     fresh = run.withColumns({"stale": F.lit(False), "captured_at": F.lit(None).cast("string")})

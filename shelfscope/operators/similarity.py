@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from shelfscope import fixed_values as fixed
+from shelfscope.functions.text import computed_once
+from shelfscope.session import cut_lineage
 
 HOT_GRAM_NAMES = 4096
 
@@ -80,7 +82,7 @@ def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int | None =
         open_score = open_score & (sides < threshold) & (ceiling >= threshold)
     else:
         open_score = open_score & (ceiling > sides)
-    marked = pairs.withColumn("_p", _parts(F.col(left), F.col(right))).withColumn("_open", open_score)
+    marked = computed_once(pairs, {"_p": _parts(F.col(left), F.col(right))}).withColumn("_open", open_score)
     if threshold is not None:
         marked = marked.filter(~empty & (contained | (sides >= threshold) | F.col("_open")))
     lcs = _common_subsequence()(
@@ -98,21 +100,22 @@ def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int | None =
     return scored if threshold is None else scored.filter(F.col("score") >= threshold)
 
 
-def _grams(words: Column) -> Column:
-    """Two-letter grams of the padded text with their occurrence number, as whole numbers.
+def _with_grams(names: DataFrame) -> DataFrame:
+    """One row per two-letter gram of the padded text with its occurrence number.
 
     A text of n characters has n + 1 of them, whatever the order of its words.
     """
-    padded = F.concat(F.lit(" "), words, F.lit(" "))
+    padded = F.concat(F.lit(" "), F.col("words"), F.lit(" "))
     codes = F.array_sort(
         F.transform(
-            F.sequence(F.lit(1), F.length(words) + 1),
+            F.sequence(F.lit(1), F.length("words") + 1),
             lambda i: F.ascii(F.substring(padded, i, 1)) * 128 + F.ascii(F.substring(padded, i + 1, 1)),
         )
     )
-    return F.transform(
-        codes, lambda c, i: (c * 65536 + (i + 1 - F.array_position(codes, c))).cast("int")
+    numbered = F.transform(
+        "_codes", lambda c, i: (c * 65536 + (i + 1 - F.array_position("_codes", c))).cast("int")
     )
+    return computed_once(names, {"_codes": codes}).select("*", F.explode(numbered).alias("gram")).drop("_codes")
 
 
 def similar_names(names: DataFrame) -> DataFrame:
@@ -129,11 +132,9 @@ def similar_names(names: DataFrame) -> DataFrame:
     and the shorter side has no more deletions than insertions, so at most 1.5 d grams
     are lost, which is a third of the shorter length. The one-sided ratios lose less.
     """
-    grams = names.filter("words <> ''").select(
-        "block", "words", "is_open", F.explode(_grams(F.col("words"))).alias("gram")
-    )
+    grams = _with_grams(names.filter("words <> ''"))
     counts = grams.groupBy("block", "gram").agg(F.count(F.lit(1)).alias("n"))
-    ranked = (
+    ranked = cut_lineage(
         grams.join(counts, ["block", "gram"])
         .groupBy("block", "words", "is_open")
         .agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))

@@ -37,7 +37,7 @@ def resolve_run(envelopes: DataFrame, tables: AliasTables | None = None) -> Run:
 
 def local_run(spark: SparkSession, raw: str, out: str, history: str | None, address: str, run_ts: str) -> Run:
     """Latest snapshot of every shop folder to all outputs."""
-    envelopes = with_platform_rank(load_latest(spark, raw), [F.asc("platform")])
+    envelopes = with_platform_rank(load_latest(spark, raw), [F.col("platform")])
     run = resolve_run(envelopes)
     no_health = spark.createDataFrame([], "platform string, ok boolean, stale boolean, captured_at string, last_seen timestamp_ntz")
     publish(run, out, history, address, run_ts, no_health)
@@ -64,7 +64,7 @@ def service_run(
     expected = H.expected_platforms(stores)
     now = F.to_timestamp(F.lit(run_ts))
     chosen = cut_lineage(H.with_stale_fallback(run_envelopes, newest, expected, now, max_age_hours))
-    run = resolve_run(with_platform_rank(chosen, [F.asc("stale"), F.asc("platform")]))
+    run = resolve_run(with_platform_rank(chosen, [F.col("stale"), F.col("platform")]))
     run.published = H.may_publish(run.offers, min_platforms)
     if run.published:
         present = run.offers.select("platform").distinct()

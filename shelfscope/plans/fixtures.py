@@ -24,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").alias("l")
-    parts = table(spark, sf_dir, "part").alias("p")
-    return lines.join(parts, F.expr("l.l_partkey = p.p_partkey")).selectExpr(
+    return listings(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+def listings(lines: DataFrame, parts: DataFrame) -> DataFrame:
+    joined = lines.alias("l").join(parts.alias("p"), F.expr("l.l_partkey = p.p_partkey"))
+    return joined.selectExpr(
         """CASE l.l_suppkey % 8 WHEN 0 THEN 'carrefour' WHEN 1 THEN 'coto' WHEN 2 THEN 'dia'
            WHEN 3 THEN 'disco' WHEN 4 THEN 'jumbo' WHEN 5 THEN 'pedidosya' WHEN 6 THEN 'rappi'
            ELSE 'vea' END AS platform""",

@@ -288,9 +288,15 @@ def statement(body: str, *needs: str) -> str:
 
     for name in needs:
         add(name)
-    recursive = "RECURSIVE " if any("UNION ALL" in PARTS[n][0] for n in done) else ""
-    pieces = ", ".join(f"{name} AS MATERIALIZED ({PARTS[name][0]})" if not recursive or name not in RECURSIVE else f"{name} AS ({PARTS[name][0]})" for name in done)
-    return (f"WITH {recursive}{pieces} " if done else "") + body
+    recursive = "RECURSIVE " if any(name in RECURSIVE for name in done) else ""
+    pieces = ", ".join(
+        f"{name} AS {'' if name in RECURSIVE else 'MATERIALIZED '}({PARTS[name][0]})" for name in done
+    )
+    if not done:
+        return body
+    if body.startswith("WITH "):
+        return f"WITH {recursive}{pieces}, {body[5:]}"
+    return f"WITH {recursive}{pieces} {body}"
 
 
 RECURSIVE: set[str] = set()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfscope.plans.oracle_parts import RECURSIVE, own_key, part
+from shelfscope.plans.oracle_parts import RECURSIVE, own_key, part, rounded
 
 LCS = """list_reduce(list_transform(string_split({a}, ''), lambda c: [CAST(ascii(c) AS INTEGER)]),
   lambda acc, ch: list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [CAST(j AS INTEGER)]),
@@ -161,3 +161,105 @@ def canonical_parts(source: str, suffix: str = "") -> None:
 
 canonical_parts("resolved")
 canonical_parts("resolved_exact", "_exact")
+
+part(
+    "cells",
+    """
+    SELECT *, coalesce(stock, 0) <> 0 AND coalesce(precio_actual, 0) > 0 AS disponible,
+      CASE WHEN promo_tipo = 'multi' AND coalesce(promo_precio_efectivo, 0) <> 0 THEN promo_precio_efectivo END AS efectivo
+    FROM (SELECT *, row_number() OVER (PARTITION BY canonical_id, platform ORDER BY coalesce(nullif(precio_actual, 0), 1e12), offer_ord) AS rn,
+        min(offer_ord) OVER (PARTITION BY canonical_id, platform) AS first_ord FROM matched) WHERE rn = 1""",
+    ["matched"],
+)
+part(
+    "guarded",
+    """
+    SELECT c.*, c.disponible AND coalesce(m.n >= 3 AND c.precio_actual < CAST(0.45 AS DOUBLE) * m.mid, FALSE) AS suspect
+    FROM cells c LEFT JOIN (SELECT canonical_id, len(l) AS n,
+        CASE WHEN len(l) % 2 = 1 THEN l[(len(l) + 1) // 2] ELSE (l[len(l) // 2] + l[len(l) // 2 + 1]) / CAST(2 AS DOUBLE) END AS mid
+      FROM (SELECT canonical_id, list_sort(list(precio_actual)) AS l FROM cells WHERE disponible GROUP BY canonical_id)) m
+      ON m.canonical_id = c.canonical_id""",
+    ["cells"],
+)
+_SAVING = rounded("max(precio_actual) - min(precio_actual)")
+part(
+    "best_shop",
+    f"""
+    SELECT canonical_id, (min({{'p': precio_actual, 'o': first_ord, 's': platform}})).s AS mejor,
+      CASE WHEN count(*) > 1 THEN {_SAVING} ELSE CAST(0 AS DOUBLE) END AS ahorro_abs
+    FROM guarded WHERE disponible AND NOT suspect GROUP BY canonical_id""",
+    ["guarded"],
+)
+part(
+    "matrix",
+    """
+    SELECT c.canonical_id, c.canonical_key, c.brand_display, c.sub_brand, c.variant_slug, c.volume_ml, c.container, c.pack_qty,
+      c.display_name, c.gtin, c.n_platforms, c.match_method, c.review_needed, b.mejor, coalesce(b.ahorro_abs, 0) AS ahorro_abs
+    FROM canonicals c LEFT JOIN best_shop b ON b.canonical_id = c.canonical_id""",
+    ["canonicals", "best_shop"],
+)
+part(
+    "metrics",
+    """
+    SELECT m.*, g.min_price, g.min_price_promo, g.min_per_100ml, g.max_discount, g.has_promo
+    FROM matrix m JOIN (SELECT canonical_id,
+        min(CASE WHEN disponible THEN precio_actual END) AS min_price,
+        min(CASE WHEN disponible THEN least(precio_actual, coalesce(efectivo, precio_actual)) END) AS min_price_promo,
+        min(CASE WHEN disponible THEN nullif(precio_por_100ml, 0) END) AS min_per_100ml,
+        max(coalesce(descuento_pct, 0)) AS max_discount, bool_or(efectivo IS NOT NULL) AS has_promo
+      FROM cells GROUP BY canonical_id) g ON g.canonical_id = m.canonical_id""",
+    ["matrix", "cells"],
+)
+part(
+    "lowest",
+    f"SELECT canonical_key, run_ts, {rounded('min(precio_actual)')} AS p FROM history "
+    "WHERE precio_actual > 0 AND stock > 0 AND canonical_key <> '' GROUP BY 1, 2",
+    ["history"],
+)
+part(
+    "shop_prices",
+    f"""
+    SELECT canonical_key, platform, run_ts, {rounded('p')} AS precio, {rounded('coalesce(d, 0)', 1)} AS descuento_pct,
+      pe AS promo_etiqueta, CASE WHEN pe IS NOT NULL AND coalesce(pp, 0) <> 0 THEN {rounded('pp')} END AS precio_efectivo
+    FROM (SELECT canonical_key, platform, run_ts, min(precio_actual) AS p, max(descuento_pct) AS d,
+        max(promo_etiqueta) AS pe, min(promo_precio_efectivo) AS pp FROM history
+      WHERE precio_actual > 0 AND stock > 0 AND canonical_key <> '' GROUP BY 1, 2, 3)""",
+    ["history"],
+)
+part(
+    "series",
+    """
+    SELECT canonical_key, run_ts, p FROM (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY run_ts DESC) AS rn,
+      count(*) OVER (PARTITION BY canonical_key) AS n FROM lowest) WHERE rn <= 60 AND n >= 2""",
+    ["lowest"],
+)
+part(
+    "shop_series",
+    """
+    SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY canonical_key) AS n FROM (SELECT * EXCLUDE (rn) FROM
+      (SELECT *, row_number() OVER (PARTITION BY canonical_key, platform ORDER BY run_ts DESC) AS rn FROM shop_prices) WHERE rn <= 48)) WHERE n >= 2""",
+    ["shop_prices"],
+)
+part(
+    "closes",
+    """
+    SELECT canonical_key, platform, dia, precio, descuento_pct, promo_etiqueta, precio_efectivo FROM (SELECT *,
+      row_number() OVER (PARTITION BY canonical_key, platform, dia ORDER BY run_ts DESC) AS rn
+      FROM (SELECT *, CAST(run_ts - INTERVAL 3 HOUR AS DATE) AS dia FROM shop_series)) WHERE rn = 1""",
+    ["shop_series"],
+)
+part(
+    "shown_days",
+    "SELECT * EXCLUDE (rk) FROM (SELECT *, dense_rank() OVER (PARTITION BY canonical_key ORDER BY dia DESC) AS rk FROM closes) WHERE rk <= 21",
+    ["closes"],
+)
+part("last_runs", "SELECT platform, max(run_ts) AS last_run FROM obs GROUP BY platform", ["obs"])
+part(
+    "health",
+    """
+    SELECT platform, last_run >= top - INTERVAL 3 DAY AS ok, last_run < top AND last_run >= top - INTERVAL 3 DAY AS stale,
+      CASE WHEN last_run < top AND last_run >= top - INTERVAL 3 DAY THEN strftime(last_run, '%Y-%m-%dT%H:%M:%SZ') END AS captured_at,
+      CASE WHEN last_run < top - INTERVAL 3 DAY THEN last_run END AS last_seen
+    FROM last_runs, (SELECT max(last_run) AS top FROM last_runs)""",
+    ["last_runs"],
+)

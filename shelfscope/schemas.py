@@ -31,7 +31,7 @@ PRODUCT_DDL = ", ".join(f"{name} {kind}" for name, kind in PRODUCT_FIELDS.items(
 
 ENVELOPE_DDL = (
     "plataforma string, external_store_id string, tienda string, direccion string, "
-    "fecha_scrapeo string, source map<string,string>, total int, con_descuento int, "
+    "fecha_scrapeo string, source map<string,string>, total int, con_descuento int, desde bigint, "
     f"productos array<struct<{PRODUCT_DDL.replace(' ', ':').replace(',:', ',')}>>"
 )
 

@@ -6,6 +6,8 @@ Layout: ``{root}/platform=.../external_store_id=.../run_id=.../*.json`` as writt
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,19 @@ from pyspark.sql import functions as F
 from shelfscope import fixed_values as fixed
 from shelfscope.schemas import ENVELOPE_DDL, PRODUCT_FIELDS, STORES_DDL, struct_of
 
+ENVELOPE_PART = 5000
+
+
+def platform_of(path: Column, root: str) -> Column:
+    """Shop of a landed file: the first folder below the root."""
+    below = re.escape(root.rstrip("/").split(":")[-1].replace("//", ""))
+    return F.regexp_extract(path, below + r"/(?:platform=)?([^/]+)/", 1)
+
+
+def snapshot_of(path: Column) -> Column:
+    """A run folder holds one snapshot in several parts; elsewhere each file is one."""
+    return F.regexp_replace(path, r"(/run_id=[^/]*)/.*", "$1")
+
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Paths and times of all landed files; contents are not read."""
@@ -20,21 +35,21 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return files.option("pathGlobFilter", "*.json").load(root).select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        F.element_at(F.split("path", "/"), -2).alias("folder"),
+        platform_of(F.col("path"), root).alias("folder"),
         "modificationTime",
     )
 
 
-def read_envelopes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """One row per snapshot file; a file that is not JSON has ``_corrupt_record`` set."""
+def read_envelopes(spark: SparkSession, paths: list[str] | str, root: str) -> DataFrame:
+    """One row per landed file; a file that is not JSON has ``_corrupt_record`` set."""
     schema = struct_of(ENVELOPE_DDL).add("_corrupt_record", "string")
-    rows = spark.read.schema(schema).json(paths, multiLine=True, mode="PERMISSIVE")
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
+    rows = reader.json(paths, multiLine=True, mode="PERMISSIVE")
     return rows.select(
         "*",
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_modification_time").alias("modified"),
-        F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"),
+        platform_of(F.col("_metadata.file_path"), root).alias("folder"),
     )
 
 
@@ -47,21 +62,23 @@ def latest_by_name(files: DataFrame, platform: str = "platform", name: str = "fi
 def load_latest(spark: SparkSession, root: str) -> DataFrame:
     """Latest snapshot per shop folder. Only the chosen files are read (one path per shop)."""
     chosen = latest_by_name(list_files(spark, root), "folder").select("path").collect()
-    rows = read_envelopes(spark, [r.path for r in chosen])
+    rows = read_envelopes(spark, [r.path for r in chosen], root)
     return rows.withColumn("platform", F.col("folder"))
 
 
 def of_run(envelopes: DataFrame, run_id: str) -> DataFrame:
-    """Snapshots of one run: names ending in the run id; the last listed per shop wins."""
-    segment = F.col("folder")
-    platform = F.coalesce("plataforma", segment)
-    newest = W.partitionBy("platform").orderBy(F.desc("path"))
+    """Snapshots of one run; the last listed per shop wins, with all its parts.
+
+    ``envelopes``: path, folder and the envelope fields. The run id ends the snapshot's name.
+    """
+    listed = W.partitionBy("platform").orderBy(F.desc("_snapshot"))
     return (
-        envelopes.filter(F.col("file_name").endswith(f"{run_id}.json"))
-        .withColumn("platform", platform)
-        .withColumn("_n", F.row_number().over(newest))
+        envelopes.withColumn("_snapshot", snapshot_of(F.col("path")))
+        .filter(F.regexp_replace("_snapshot", r"\.json$", "").endswith(run_id))
+        .withColumn("platform", F.coalesce("plataforma", "folder"))
+        .withColumn("_n", F.rank().over(listed))
         .filter("_n = 1")
-        .drop("_n")
+        .drop("_n", "_snapshot")
     )
 
 
@@ -78,8 +95,11 @@ def newest_usable(envelopes: DataFrame) -> DataFrame:
 
 
 def with_platform_rank(envelopes: DataFrame, order: list[Column]) -> DataFrame:
-    """Position of each shop in the given order (one envelope per shop, so one small sort)."""
-    return envelopes.withColumn("platform_rank", F.row_number().over(W.orderBy(*order)) - 1)
+    """Position of each shop in the given order (sorts the shops only)."""
+    shops = envelopes.groupBy("platform").agg(*[F.min(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    keys = [F.col(f"_o{i}") for i in range(len(order))]
+    ranked = shops.select("platform", (F.row_number().over(W.orderBy(*keys)) - 1).alias("platform_rank"))
+    return envelopes.join(F.broadcast(ranked), "platform")
 
 
 def build_offers(envelopes: DataFrame) -> DataFrame:
@@ -92,6 +112,7 @@ def build_offers(envelopes: DataFrame) -> DataFrame:
         "platform_rank",
         F.coalesce("external_store_id", F.lit("")).alias("store"),
         F.coalesce("fecha_scrapeo", F.lit("")).alias("scraped_at"),
+        F.coalesce("desde", F.lit(0)).alias("desde"),
         F.posexplode("productos").alias("pos", "product"),
     )
     return rows.select(
@@ -100,7 +121,7 @@ def build_offers(envelopes: DataFrame) -> DataFrame:
         "platform",
         "store",
         "scraped_at",
-        (F.col("platform_rank").cast("long") * F.lit(1 << 40) + F.col("pos")).alias("offer_ord"),
+        (F.col("platform_rank").cast("long") * F.lit(1 << 40) + F.col("desde") + F.col("pos")).alias("offer_ord"),
     )
 
 
@@ -117,24 +138,31 @@ def active_stores(stores: DataFrame, platforms: list[str] | None = None) -> Data
     return rows.filter(F.col("platform").isin(platforms)) if platforms else rows
 
 
-def build_envelopes(products: DataFrame) -> DataFrame:
-    """One envelope per shop and store with its counts.
+def envelope_counts(products: DataFrame, keys: list[str]) -> DataFrame:
+    """Listings and discounted listings of each snapshot."""
+    return products.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("int").alias("total"),
+        F.count_if(F.col("descuento_pct") > 0).cast("int").alias("con_descuento"),
+    )
+
+
+def build_envelopes(products: DataFrame, part_size: int = ENVELOPE_PART) -> DataFrame:
+    """Envelopes of the snapshots, in parts of at most ``part_size`` positions.
 
     ``products``: platform, external_store_id, tienda, direccion, fecha_scrapeo, source,
-    pos and the product fields. A snapshot is one file, so its listings form one array.
+    pos and the product fields. ``desde`` is the first position of the part.
     """
-    product = F.struct("pos", *PRODUCT_FIELDS)
     keys = ["platform", "external_store_id", "tienda", "direccion", "fecha_scrapeo"]
-    listed = F.array_sort(F.collect_list(product))
-    return (
-        products.groupBy(*keys)
-        .agg(
-            F.any_value("source").alias("source"),
-            F.count(F.lit(1)).cast("int").alias("total"),
-            F.count_if(F.col("descuento_pct") > 0).cast("int").alias("con_descuento"),
-            listed.alias("_listed"),
-        )
+    listed = F.array_sort(F.collect_list(F.struct("pos", *PRODUCT_FIELDS)))
+    part = F.floor(F.col("pos") / F.lit(part_size)).cast("bigint") * F.lit(part_size)
+    parts = (
+        products.withColumn("desde", part)
+        .groupBy(*keys, "desde")
+        .agg(F.any_value("source").alias("source"), listed.alias("_listed"))
         .withColumn("productos", F.transform("_listed", lambda p: p.dropFields("pos")))
+    )
+    return (
+        parts.join(envelope_counts(products, keys), keys)
         .withColumnRenamed("platform", "plataforma")
         .drop("_listed")
     )
@@ -154,3 +182,9 @@ def land_snapshots(envelopes: DataFrame, root: str, run_id: str) -> None:
         .partitionBy("platform", "store", "run_id")
         .json(root)
     )
+
+
+def read_landed(spark: SparkSession, root: str) -> DataFrame:
+    """Envelopes below shop, store and run folders; conditions on those prune folders."""
+    schema = ENVELOPE_DDL + ", platform string, store string, run_id string"
+    return spark.read.schema(schema).json(root)
