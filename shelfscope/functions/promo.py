@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fixed
 from shelfscope.functions.numbers import filled, let, round_exact, truthy
-from shelfscope.functions.text import RAW
+from shelfscope.functions.text import RAW, whole_number
 
 PROMO_TYPE = (
     "struct<tipo:string,texto:string,etiqueta:string,unidades:int,precio_efectivo:double>"
@@ -33,9 +33,9 @@ def parse_promo(text: Column, price: Column) -> Column:
     numbers = F.struct(
         F.btrim(text).alias("text"),
         price.alias("price"),
-        F.regexp_extract(text, RAW + fixed.PROMO_N_FOR_M, 1).try_cast("int").alias("n"),
-        F.regexp_extract(text, RAW + fixed.PROMO_N_FOR_M, 2).try_cast("int").alias("m"),
-        F.regexp_extract(text, RAW + fixed.PROMO_SECOND_UNIT, 1).try_cast("int").alias("off"),
+        whole_number(F.regexp_extract(text, RAW + fixed.PROMO_N_FOR_M, 1)).alias("n"),
+        whole_number(F.regexp_extract(text, RAW + fixed.PROMO_N_FOR_M, 2)).alias("m"),
+        whole_number(F.regexp_extract(text, RAW + fixed.PROMO_SECOND_UNIT, 1)).alias("off"),
     )
     none = F.lit(None).cast(PROMO_TYPE)
     return F.when(~filled(text), none).otherwise(

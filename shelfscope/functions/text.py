@@ -18,11 +18,13 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add costly columns so that later filters and projections cannot copy them.
 
     Catalyst substitutes a column by its expression when it pushes a filter down; for
-    the long alias expressions that copies them many times. A one-row ``inline`` stays
-    inside generated code and keeps one evaluation per row.
+    the long alias expressions that copies them many times. They are computed in a
+    projection of their own and passed through a one-row ``inline_outer`` that stops the copying (plain ``inline`` would
+    add a filter that computes them a second time).
     """
     fields = F.struct(*[column.alias(name) for name, column in columns.items()])
-    return df.select("*", F.inline(F.array(fields)))
+    packed = df.withColumn("_once", F.array(fields))
+    return packed.select("*", F.inline_outer("_once")).drop("_once")
 
 
 @cache
@@ -91,6 +93,11 @@ def norm_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
+def whole_number(digits: Column, kind: str = "int") -> Column:
+    """Number of a text of digits, null for ''. Failing casts are costly, so none is tried."""
+    return F.when(digits != "", digits).try_cast(kind)
+
+
 def title_words(words: Column) -> Column:
     """Title case of [a-z0-9 ] text; a letter after a digit is a capital too."""
     marked = F.regexp_replace(words, "([0-9])([a-z])", "$1~ $2")
@@ -114,7 +121,7 @@ def volume_from_name(name: Column) -> Column:
 
     def parts(found: Column) -> Column:
         digits = F.regexp_extract(found, r"^[0-9.,]+", 0)
-        number = F.replace(digits, F.lit(","), F.lit(".")).try_cast("double")
+        number = whole_number(F.replace(digits, F.lit(","), F.lit(".")), "double")
         unit = F.regexp_extract(found, r"(?i)(cm3|[a-z]+)$", 1)
         return F.struct(number.alias("number"), unit.alias("unit"))
 
@@ -165,7 +172,7 @@ def pack_quantity(normal: Column) -> Column:
         before, lambda b: F.when(b != "", b).otherwise(F.regexp_extract(normal, fixed.PACK_AFTER, 1))
     )
     return let(
-        digits.try_cast("int"), lambda n: F.when(n.between(low, high), n).otherwise(F.lit(1))
+        whole_number(digits), lambda n: F.when(n.between(low, high), n).otherwise(F.lit(1))
     )
 
 

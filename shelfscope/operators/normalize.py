@@ -44,12 +44,19 @@ def name_texts() -> dict[str, Column]:
         "nombre_norm": name,
         "marca_norm": T.norm_text(F.col("marca")),
         "_kind_norm": kind,
-        "_name_padded": F.concat(F.lit(" "), name, F.lit(" ")),
-        "_words_padded": F.concat(F.lit(" "), kind, F.lit(" "), name, F.lit(" ")),
         "_zero": T.mentions_zero_alcohol(F.col("tipo"), F.col("nombre")),
     }
 
 
+def padded_texts() -> dict[str, Column]:
+    """Name, and type with name, with a space on both sides for whole-word tests."""
+    space = F.lit(" ")
+    return {
+        "_name_padded": F.concat(space, "nombre_norm", space),
+        "_words_padded": F.concat(space, "_kind_norm", space, "nombre_norm", space),
+    }
+
+
 def alias_hits(tables: AliasTables) -> dict[str, Column]:
     """Lines of the alias tables that apply: exact brand, else longest alias in the name;
     for the variant the alias of most words in type and name, unless it is zero alcohol."""
@@ -108,7 +115,7 @@ def structural_key() -> Column:
 def normalize_offers(df: DataFrame, tables: AliasTables | None = None) -> DataFrame:
     """All derived identity columns, in one narrow pass without a shuffle."""
     tables = tables or builtin_aliases()
-    texts = T.computed_once(df, name_texts())
+    texts = T.computed_once(T.computed_once(df, name_texts()), padded_texts())
     hits = T.computed_once(texts, alias_hits(tables))
     variant = variant_column(tables.variants.value("_variant", 1))
     named = hits.withColumns({**brand_columns(tables), "variant_slug": variant})

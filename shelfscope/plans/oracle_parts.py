@@ -100,7 +100,7 @@ def promo_fields(text: str, price: str) -> str:
     card = rf"regexp_matches({text}, '(?i)tarjeta|banco|mi\s*crf|cuotas|visa|master|galicia|santander')"
     n = rf"TRY_CAST(regexp_extract({text}, '(?i)\b([0-9])\s*[x×]\s*([0-9])\b', 1) AS INTEGER)"
     m = rf"TRY_CAST(regexp_extract({text}, '(?i)\b([0-9])\s*[x×]\s*([0-9])\b', 2) AS INTEGER)"
-    off = rf"TRY_CAST(regexp_extract({text}, '(?i)\b(?:2|2d[oa]|2[ªa]|segunda)\b[^%0-9]{{0,20}}([0-9]{{1,3}})\s*%', 1) AS INTEGER)"
+    off = rf"TRY_CAST(regexp_extract({text}, '(?i)\b(?:2|2d[oa]|2[ªa]|segunda)[^%0-9_\pL\pM][^%0-9]{{0,19}}([0-9]{{1,3}})\s*%', 1) AS INTEGER)"
     kind = (
         f"CASE WHEN coalesce({text}, '') = '' THEN '' WHEN {card} THEN 'tarjeta' "
         f"WHEN {m} >= 1 AND {m} < {n} AND {n} <= 6 THEN 'nxm' "
