@@ -29,23 +29,28 @@ def to_observations(offers: DataFrame, run_ts: Column) -> DataFrame:
     )
 
 
+def run_month() -> Column:
+    """Partition of the history table: few enough folders even for years of backfill."""
+    return F.date_format("run_ts", "yyyy-MM")
+
+
 def append_history(observations: DataFrame, path: str) -> None:
-    """Append-only Parquet table, one folder per run day."""
-    (
-        observations.withColumn("run_date", F.to_date("run_ts"))
-        .write.mode("append")
-        .partitionBy("run_date")
-        .parquet(path)
-    )
+    """Append-only Parquet table, one folder per month."""
+    dated = observations.withColumn("run_month", run_month())
+    dated.write.mode("append").partitionBy("run_month").parquet(path)
 
 
 def read_history(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """History of any age: files without the promotion columns give nulls there."""
-    schema = struct_of(OBSERVATION_DDL + ", run_date date")
+    """History of any age: files without the promotion columns give nulls there.
+
+    ``since`` (a day) skips whole folders and, inside the first one, earlier runs.
+    """
+    schema = struct_of(OBSERVATION_DDL + ", run_month string")
     rows = spark.read.schema(schema).parquet(path)
     if since:
-        rows = rows.filter(F.col("run_date") >= F.lit(since).cast("date"))
-    return rows.drop("run_date")
+        first = F.lit(since).cast("timestamp_ntz")
+        rows = rows.filter((F.col("run_month") >= since[:7]) & (F.col("run_ts") >= first))
+    return rows.drop("run_month")
 
 
 def with_missing_columns(old: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.schemas import ENVELOPE_DDL
-from shelfscope.operators.history import append_history, to_observations
+from shelfscope.operators.history import run_month, to_observations
 
 
 def landed_stream(spark: SparkSession, root: str) -> DataFrame:
@@ -31,11 +31,11 @@ def append_new(
 
     def save(batch: DataFrame, number: int) -> None:
         rows = to_observations(to_offers(batch), F.col("run_ts"))
-        dated = rows.withColumns({"batch": F.lit(number), "run_date": F.to_date("run_ts")})
+        dated = rows.withColumns({"batch": F.lit(number), "run_month": run_month()})
         (
             dated.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch", "run_date")
+            .partitionBy("batch", "run_month")
             .parquet(history)
         )
 
@@ -47,5 +47,3 @@ def append_new(
     )
     query.awaitTermination()
 
-
-__all__ = ["append_history", "append_new", "landed_stream"]
