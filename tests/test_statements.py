@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from compare import connect, difference
 
-QUERIES, STATEMENTS = entry.queries(), entry.oracle_sql()
+from shelfscope.plans.registry import ORACLES as STATEMENTS
+from shelfscope.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +16,8 @@ def con(data):
 
 def test_every_query_has_a_statement():
     assert QUERIES.keys() == STATEMENTS.keys()
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
 @pytest.mark.parametrize("key", QUERIES)
