@@ -6,27 +6,64 @@ stages the rows are written as Parquet to the shared folder and read again.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.llm.common import table
-from shelfscope.llm.ranking import classify_quality
+from shelfscope.llm.dart_minhash import first_of_each_class
+from shelfscope.llm.decontam import clean_documents
+from shelfscope.llm.mixing import mixed_documents
+from shelfscope.llm.queries import END_ID, TOKENIZER
+from shelfscope.llm.ranking import accepted_documents
+from shelfscope.llm.token_store import document_keys, store_digest, write_store
 from shelfscope.session import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking accepts. Rows of one id stay together: they stay if one of them is accepted."""
-    accepted = classify_quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(accepted, docs.doc_id.eqNullSafe(accepted.doc_id), "left_semi").select(*COLUMNS)
+    """Documents that the quality ranking accepts."""
+    return accepted_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of exact and near copies: that of the smallest id."""
+    return first_of_each_class(docs.select(*COLUMNS))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order that mixes the sources; files are named and rows stand in that order."""
+    return mixed_documents(docs.select(*COLUMNS))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Store the ids in the order of the rows of the files, and read them back by key: doc_id, start, n_tokens, ids_crc32.
+
+    Documents that don't come straight from files, which only tests pass, are taken by doc_id.
+    """
+    order = ["file", "row"]
+    try:
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        placed, order = docs.select("doc_id", "text"), None
+    return store_digest(write_store(placed, TOKENIZER, END_ID, order), document_keys(docs))
 
 
 STAGES = [
     ("quality classifier", quality_stage),
+    ("MinHash near-dedup", dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("token-ID / binary output", encoding_stage),
 ]
 
-ORACLE_SQL = None  # the stages learn, hash and encode; tests hold them against brute force
+ORACLE_SQL = None  # the stages learn, hash and encode: tests hold them against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,12 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 import shelfscope
+from shelfscope.session import cut_lineage
 
 #: Rows and bytes that one Arrow batch hands to Python: bounds a worker's memory, very long texts included.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
+#: A table of (id, hash, few values) with at most this many rows, some 20 MB, may be sent to all executors.
+BROADCAST_ROWS = 200_000
+
 _SHIPPED: set[str] = set()
 
 
@@ -45,12 +50,12 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str | T.StructType) -> DataFrame:
     """Apply ``function`` to each Arrow batch; it returns the output columns by name (or None for no rows)."""
     return map_partition(df, lambda batches: (function(x) for x in batches), schema)
 
 
-def map_partition(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, object] | None]], schema: str) -> DataFrame:
+def map_partition(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, object] | None]], schema: str | T.StructType) -> DataFrame:
     """The same with an iterator over all batches of a partition."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -58,7 +63,7 @@ def map_partition(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]],
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    arrow = to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
         for columns in function(batches):
@@ -87,6 +92,60 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """doc_id, text and label of at most ``rows`` labelled documents, the same ones in a repeated run.
+
+    The label rows are drawn by a hash of their id; as there are at most ``rows`` of them they are sent to all
+    executors. ``labels`` has doc_id and label, one row per id.
+    """
+    drawn = first_by_hash(labels, "doc_id", rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.join(F.broadcast(drawn), "doc_id").limit(rows)  # more only where ids repeat
+
+
 def first_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most ``rows`` rows, those of the smallest hash of ``key``: a bounded sample that a repeated run draws again."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A small fixed table that is part of the plan."""
+    fields = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows])
+    return spark.range(1).select(F.inline(fields))
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for sending to all executors if it has few rows; beyond that Spark joins it by key."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Add text_hash, which with doc_id names a row; rows equal in both have the same text and the same results."""
+    return docs.withColumn("text_hash", F.xxhash64("text"))
+
+
+def join_by_key(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Join rows found per (doc_id, text_hash), at most one each, to keyed documents; null ids meet null ids."""
+    other = found.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    match = docs.doc_id.eqNullSafe(other._id) & (docs.text_hash == other._hash)
+    return docs.join(if_small(other), match, how).drop("_id", "_hash")
+
+
+def running_position(df: DataFrame, order: list[str], weight: str | None = None, within: str | None = None) -> DataFrame:
+    """Rows in the given order with ``position``: the sum of ``weight`` (1 if None) over all rows before, of the same ``within`` if given.
+
+    Rows are dealt into ranges and written once, so that every later read sees the same ranges; each range is
+    summed by itself and shifted by the totals of the ranges before. Only those totals, one row per range and
+    value of ``within``, come together. Ties in ``order`` get positions one after another.
+    """
+    keys = [within, *order] if within else order
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut_lineage(ranged.withColumns({"_range": F.spark_partition_id(), "_row": row}))
+    amount = F.col(weight) if weight else F.lit(1).cast("long")
+    group = ["_range", within] if within else ["_range"]
+    inside = F.sum(amount).over(Window.partitionBy(*group).orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - amount
+    totals = placed.groupBy(*group).agg(F.sum(amount).alias("_sum"))
+    earlier = Window.partitionBy(within) if within else Window.partitionBy()
+    base = totals.select(*group, (F.sum("_sum").over(earlier.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_sum")).alias("_base"))
+    return placed.withColumn("position", inside).join(if_small(base), group).withColumn("position", F.col("position") + F.col("_base")).drop("_range", "_row", "_base")

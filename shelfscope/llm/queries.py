@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfscope.llm import decontam, licenses, secrets
 from shelfscope.llm.common import table
+from shelfscope.llm.dart_minhash import near_duplicates
 from shelfscope.llm.langid import identify_languages
+from shelfscope.llm.mixing import mix_sources
 from shelfscope.llm.ranking import classify_quality
 from shelfscope.llm.rules import COUNTS, quality_rules
+from shelfscope.llm.token_scan import count_tokens
+from shelfscope.llm.token_store import document_keys, store_digest, write_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,16 +37,53 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_license_scan", licenses.oracle())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", licenses.derived_path().alias("path"), "text")
+    return licenses.scan_licenses(docs).withColumn("cosine", F.round("cosine", 6))
+
+
 @query("op2_language_id")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op4_source_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot", "start")
+
+
 @query("op5_quality_ranking")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op6_secret_scan", secrets.oracle())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op7_token_store")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return store_digest(write_store(docs, TOKENIZER, END_ID), document_keys(docs))
+
+
+@query("op8_near_duplicates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
+
+
+@query("op9_decontamination", decontam.ORACLE)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -11,15 +11,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import first_by_hash, id_remainder, map_batches, one_label, texts_of
-from shelfscope.session import cut_lineage
+from shelfscope.llm.common import id_remainder, labelled_sample, map_batches, one_label, texts_of
 
 FIT_ROWS = 20_000  # labelled rows that pairs are drawn from, at most
 FIT_PAIRS = 40_000  # preference pairs, at most
 ACCEPTED = 0.7  # score that the threshold is moved to
+HELD_OUT_OF, HELD_OUT = 4, 2  # ids with this checksum remainder teach nothing
 SYMBOL_BYTES = np.frombuffer(b"#*$%&|<>~^_={}[]@\\+", np.uint8)
 
 
@@ -112,30 +113,49 @@ def _threshold(raw: np.ndarray, label: np.ndarray) -> float:
     return float(ranked[0] - 1 if q == 0 else ranked[-1] + 1 if q == len(ranked) else (ranked[q - 1] + ranked[q]) / 2)
 
 
-def add_features(docs: DataFrame) -> DataFrame:
-    """doc_id and features of every whole text; null counts as empty."""
+def learn_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ranking:
+    """Ranking learnt from at most ``fit_rows`` of the labelled documents; ``labels`` has doc_id and label."""
 
     def features(batch):
-        return {"doc_id": batch.column("doc_id"), "x": [text_features(t) for t in texts_of(batch)]}
+        return {"x": [text_features(t) for t in texts_of(batch)], "label": batch.column("label")}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), features, "doc_id long, x array<double>")
+    sample = map_batches(labelled_sample(docs, labels, fit_rows).select("text", "label"), features, "x array<double>, label int").collect()
+    return fit_ranking(np.array([r.x for r in sample]).reshape(-1, N_FEATURES), np.array([r.label for r in sample], dtype=int))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out_of: int = 4, held_out: int = 2) -> DataFrame:
+def known_quality(labels: DataFrame, held_out_of: int = HELD_OUT_OF, held_out: int = HELD_OUT) -> DataFrame:
+    """doc_id and label of the rows that may teach: those whose id's checksum isn't in the held-out class."""
+    return one_label(labels, "quality").filter(id_remainder(F.col("doc_id"), held_out_of) != held_out)
+
+
+def _score(batch, model: Ranking) -> np.ndarray:
+    return model.scores(np.array([text_features(t) for t in texts_of(batch)]).reshape(-1, N_FEATURES))
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out_of: int = HELD_OUT_OF, held_out: int = HELD_OUT) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
     Rows whose id's checksum falls into the held-out class teach nothing, nor do rows without an id.
     Repeated ids are scored row by row; label rows with nulls are ignored, conflicting ones count as 0.
-    Without labels of both kinds every score is ACCEPTED.
+    Null texts are empty. Without labels of both kinds every score is ACCEPTED.
     """
-    rows = cut_lineage(add_features(docs).withColumn("held_out", F.coalesce(id_remainder(F.col("doc_id"), held_out_of) == held_out, F.lit(False))))
-    known = first_by_hash(rows.filter(~F.col("held_out")).join(one_label(labels, "quality"), "doc_id"), "doc_id", fit_rows)
-    sample = known.select("x", "label").collect()
-    x = np.array([r.x for r in sample]).reshape(-1, N_FEATURES)
-    model = fit_ranking(x, np.array([r.label for r in sample], dtype=int))
+    model = learn_quality(docs, known_quality(labels, held_out_of, held_out), fit_rows)
 
     def score(batch):
-        found = model.scores(np.array(batch.column("x").to_pylist(), dtype=float).reshape(-1, N_FEATURES))
+        found = _score(batch, model)
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": found, "predicted": (found >= ACCEPTED).astype(np.int32)}
 
+    aside = F.coalesce(id_remainder(F.col("doc_id"), held_out_of) == held_out, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", aside.alias("held_out"))
     return map_batches(rows, score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, that reach the threshold; they are neither joined nor shuffled."""
+    model = learn_quality(docs, known_quality(labels), fit_rows)
+
+    def keep(batch):
+        kept = batch.filter(pa.array(_score(batch, model) >= ACCEPTED))
+        return {name: kept.column(name) for name in kept.schema.names}
+
+    return map_batches(docs, keep, docs.schema)
