@@ -199,14 +199,18 @@ def sign(docs: DataFrame, counted: bool = False, bands: int = BANDS, rows: int =
     return map_batches(docs.select("doc_id", "text_hash", "text"), run, "doc_id long, text_hash long, content binary, has_words boolean, bands array<long>, sketch array<long>")
 
 
-def similarity(a: np.ndarray, b: np.ndarray, counted: bool = False) -> float:
-    """Weighted Jaccard similarity of two arrays of shingle hashes with repeats."""
-    ua, ca = np.unique(a, return_counts=True)
-    ub, cb = np.unique(b, return_counts=True)
-    _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-    if not counted:
-        return len(ia) / max(len(ua) + len(ub) - len(ia), 1)
-    both = int(np.minimum(ca[ia], cb[ib]).sum())
+def elements(text: str, counted: bool = False) -> np.ndarray:
+    """Distinct shingle hashes of a text; ``counted`` tells the occurrences of a shingle apart, so that sets behave as weights do."""
+    hashes, n = np.unique(shingle_hashes(normal_words(text)), return_counts=True)
+    if not counted or not len(hashes):
+        return hashes
+    which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.unique(_mix(np.repeat(hashes, n) + which.astype(np.uint64) * _ODD))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of elements."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(len(a) + len(b) - both, 1)
 
 
@@ -229,9 +233,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, counted: bool =
     others and come first. Further columns are ignored.
 
     Texts of equal words are one node from here on. A bucket (texts that share a band) isn't paired up:
-    each of its texts is compared with one of them, that which shares most buckets with others. Only what
-    is then still in several components of one bucket is compared directly, and only where the sketches of
-    two texts from different components agree as far as the similarity asks.
+    each of its texts is compared with its centre, the one that shares most buckets with others. Only texts
+    that are then still in several components of one bucket are looked at in pairs, and a pair is compared
+    only if it may be similar: by its sketches, and by what both texts share with the centre and besides.
     """
     docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     signed = cut_lineage(sign(docs, counted))
@@ -257,9 +261,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, counted: bool =
 
     labelled = members.select("bucket", "content").join(parts, "content", "left").withColumn("part", F.coalesce("part", "content"))
     mixed = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("bucket")
-    open_rows = cut_lineage(labelled.join(mixed, "bucket").join(sketches, "content"))
-    left, right = open_rows.toDF("a", "bucket", "pa", "sa"), open_rows.toDF("b", "bucket", "pb", "sb")
-    rest = left.join(right, (left.bucket == right.bucket) & (left.a < right.b) & (left.pa != right.pb) & alike(left.sa, right.sb)).select("a", "b").distinct()
+    apart = cut_lineage(labelled.join(mixed, "bucket").join(centre, "bucket").filter("content <> a"))
+    measured = _measured(docs, nodes, apart.select("a", F.col("content").alias("b")).distinct(), counted)
+    open_rows = cut_lineage(apart.join(measured.withColumnRenamed("b", "content"), ["a", "content"]).join(sketches, "content").select("bucket", "content", "part", "sketch", "size", "shared", "rest"))
+    left, right = (open_rows.toDF("bucket", f"{x}", f"part_{x}", f"sketch_{x}", f"size_{x}", f"shared_{x}", f"rest_{x}") for x in "ab")
+    # two texts share at most what both share with the centre, and what they share of their rests
+    at_most = F.least("shared_a", "shared_b") + F.size(F.array_intersect("rest_a", "rest_b"))
+    enough = at_most * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-6
+    may = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & alike(F.col("sketch_a"), F.col("sketch_b")) & enough
+    rest = left.join(right, (left.bucket == right.bucket) & may).select("a", "b").distinct()
     more = _verified(docs, nodes, cut_lineage(rest), least, counted)
     parts = components(linked.unionByName(more))
 
@@ -272,26 +282,47 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, counted: bool =
     return rows.select("doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | own).alias("is_first"))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, counted: bool) -> DataFrame:
-    """Those of the pairs (a, b) of contents whose texts have at least the similarity."""
+def _with_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of contents with their texts: a, b, ta, tb."""
     involved = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
     wanted = cut_lineage(nodes.join(involved, "content", "left_semi").select("first.doc_id", "first.text_hash", "content"))
-    texts = join_by_key(docs, wanted, "inner").select("content", "text").dropDuplicates(["content"])
+    texts = cut_lineage(join_by_key(docs, wanted, "inner").select("content", "text").dropDuplicates(["content"]))
+    return pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+
+
+def _element_pairs(batches, counted: bool):
+    """Per batch the pairs and the elements of both texts; those of a are kept while a stays the same."""
+    last, of_last = None, None
+    for batch in batches:
+        found = []
+        for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), texts_of(batch, "ta"), texts_of(batch, "tb")):
+            if a != last:
+                last, of_last = a, elements(ta, counted)
+            found.append((a, b, of_last, elements(tb, counted)))
+        yield found
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, counted: bool) -> DataFrame:
+    """Those of the pairs (a, b) of contents whose texts have at least the similarity."""
 
     def compare(batches):
-        last, of_last = None, None
-        for batch in batches:
-            names_a, names_b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            good = []
-            for i, (a, ta, tb) in enumerate(zip(names_a, texts_of(batch, "ta"), texts_of(batch, "tb"))):
-                if a != last:
-                    last, of_last = a, shingle_hashes(normal_words(ta))
-                if similarity(of_last, shingle_hashes(normal_words(tb)), counted) >= least:
-                    good.append(i)
-            yield {"a": [names_a[i] for i in good], "b": [names_b[i] for i in good]}
-
-    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-    return cut_lineage(map_partition(both, compare, "a binary, b binary"))
+        for found in _element_pairs(batches, counted):
+            good = [(a, b) for a, b, ea, eb in found if similarity(ea, eb) >= least]
+            yield {"a": [x[0] for x in good], "b": [x[1] for x in good]}
+
+    return cut_lineage(map_partition(_with_texts(docs, nodes, pairs), compare, "a binary, b binary"))
+
+
+def _measured(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, counted: bool) -> DataFrame:
+    """For pairs (a, b) of contents: a, b, size of b, what b shares with a, and the rest of its elements."""
+
+    def measure(batches):
+        for found in _element_pairs(batches, counted):
+            rest = [np.setdiff1d(eb, ea, assume_unique=True).view(np.int64) for _, _, ea, eb in found]
+            size = [len(x[3]) for x in found]
+            yield {"a": [x[0] for x in found], "b": [x[1] for x in found], "size": size, "shared": [n - len(r) for n, r in zip(size, rest)], "rest": rest}
+
+    return cut_lineage(map_partition(_with_texts(docs, nodes, pairs), measure, "a binary, b binary, size long, shared long, rest array<long>"))
 
 
 def components(links: DataFrame) -> DataFrame:
