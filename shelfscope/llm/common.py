@@ -124,6 +124,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_hash", F.xxhash64("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, and the whole row as ``row``, so that no column of it can clash with an operator's."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def join_by_key(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """Join rows found per (doc_id, text_hash), at most one each, to keyed documents; null ids meet null ids."""
     other = found.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import if_small, join_by_key, keyed, map_batches, map_partition, texts_of
+from shelfscope.llm.common import if_small, join_by_key, keyed, map_batches, map_partition, packed, texts_of, unpacked
 from shelfscope.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, counted: bool =
     docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     signed = cut_lineage(sign(docs, counted))
     nodes = cut_lineage(
-        signed.filter("has_words").groupBy("content").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        signed.filter("has_words").groupBy("content").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     buckets = nodes.select("content", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -273,8 +273,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, counted: bool =
     more = _verified(docs, nodes, cut_lineage(rest), least, counted)
     parts = components(linked.unionByName(more))
 
-    named = nodes.select("content", "first").join(parts, "content", "left").withColumn("part", F.coalesce("part", "content"))
-    heads = named.groupBy("part").agg(F.min("first").alias("head"), F.min("first.doc_id").alias("class_id"))
+    named = nodes.select("content", "first", "least_id").join(parts, "content", "left").withColumn("part", F.coalesce("part", "content"))
+    heads = named.groupBy("part").agg(F.min("first").alias("head"), F.min("least_id").alias("class_id"))
     classes = cut_lineage(named.join(heads, "part").select("content", "head", "class_id"))
     rows = signed.select("doc_id", "text_hash", "content", "has_words").join(if_small(classes), "content", "left")
     alone = ~F.col("has_words")
@@ -351,8 +351,8 @@ def first_of_each_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame
     """The rows of ``docs``, all columns, without all but one of each class; of wordless texts every row stays."""
     found = near_duplicates(docs, least).filter("is_first")
     counted = cut_lineage(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
-    kept = join_by_key(keyed(docs), counted.select("doc_id", "text_hash"), "left_semi")
+    kept = join_by_key(packed(docs), counted.select("doc_id", "text_hash"), "left_semi")
     if not counted.filter("n > 1").isEmpty():  # rows repeated in id and text
-        worded = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+        worded = F.coalesce(F.col("row.text").rlike(r"(?U)\S"), F.lit(False))
         kept = kept.filter(worded).dropDuplicates(["doc_id", "text_hash"]).unionByName(kept.filter(~worded))
-    return kept.drop("text_hash")
+    return unpacked(kept)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from shelfscope.functions.text import computed_once
-from shelfscope.llm.common import if_small, join_by_key, keyed
+from shelfscope.llm.common import if_small, join_by_key, keyed, packed, unpacked
 from shelfscope.session import cut_lineage
 
 WINDOW = 10  # words of a window; a shorter item is one window
@@ -141,7 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without a hit."""
     found = contamination(docs, benchmark).filter("contaminated").select(*KEY).distinct()
-    return join_by_key(keyed(docs), cut_lineage(found), "left_anti").drop("text_hash")
+    return unpacked(join_by_key(packed(docs), cut_lineage(found), "left_anti"))
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:

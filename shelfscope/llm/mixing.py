@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import keyed, join_by_key, map_partition, running_position
+from shelfscope.llm.common import join_by_key, keyed, map_partition, packed, running_position, unpacked
 from shelfscope.session import cut_lineage
 
 BLOCK_CHARS = 50_000
@@ -148,6 +148,6 @@ def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, bl
     """The rows of ``docs``, all columns, in mixed order: ranges of slots, sorted within."""
     found = mix_sources(docs, weights, block_chars).select("doc_id", "text_hash", "slot", F.col("start").alias("_start")).withColumnRenamed("slot", "_slot")
     first = found.groupBy("doc_id", "text_hash").agg(F.min(F.struct("_slot", "_start")).alias("at")).select("doc_id", "text_hash", "at._slot", "at._start")
-    placed = join_by_key(keyed(docs), cut_lineage(first), "left")
+    placed = join_by_key(packed(docs), cut_lineage(first), "left")
     order = ["_slot", "_start"]
-    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    return unpacked(placed.repartitionByRange(*order).sortWithinPartitions(*order))

@@ -51,7 +51,7 @@ def scan_ends(spark: SparkSession, folder: str, end: int = END, width: int = 2,
     inside = Window.partitionBy("file_no").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     n_ends = F.size("ends").cast("long")
     earlier = lambda column: F.coalesce(F.sum(column).over(inside), F.lit(0))
-    in_file = found.select("file_no", "block_no", "n_ids", n_ends.alias("n_ends"), F.element_at("ends", -1).alias("last")).select(
+    in_file = found.select("file_no", "block_no", "n_ids", n_ends.alias("n_ends"), F.try_element_at("ends", F.lit(-1)).alias("last")).select(
         "*", earlier(F.col("n_ids")).alias("ids_before"), earlier(F.col("n_ends")).alias("ends_before")
     )
     in_file = in_file.select("*", F.max(F.col("ids_before") + F.col("last")).over(inside).alias("last_before"))

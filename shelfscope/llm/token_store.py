@@ -28,6 +28,8 @@ CELL_KEYS = 4  # mean keys of a cell
 MOST_PILOTS = 1 << 22
 SMALL_SHARDS = 500  # places of at most so many shards, some 80 kB each, are sent to all executors; beyond that shards are joined by name
 PLACE = {"shard_no": "<u4", "record": "<u4", "offset": "<u8", "n_tokens": "<u4"}  # what a slot of the index says, and how it is packed
+INDEX = "bucket long, n long, pilots binary, fingerprints binary, " + ", ".join(f"{c} binary" for c in PLACE)
+NAMES = "file_no string, shard_no long, base long, base_record long"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -100,11 +102,11 @@ class TokenStore:
         return read_id_files(self.spark, f"{self.folder}/shards")
 
     def index(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/index")
+        return self.spark.read.schema(INDEX).parquet(f"{self.folder}/index")
 
     def names(self) -> DataFrame:
         """shard_no, file_no, base: the files in order and the ids in all files before."""
-        return self.spark.read.parquet(f"{self.folder}/names")
+        return self.spark.read.schema(NAMES).parquet(f"{self.folder}/names")
 
     def find(self, keys: DataFrame) -> DataFrame:
         """Places of distinct keys (doc_id, copy): doc_id, copy, shard_no, record, offset (bytes), n_tokens.
@@ -189,7 +191,7 @@ def write_store(docs: DataFrame, tokenizer: str, end: int, order: list[str] | No
         F.coalesce(F.sum("records").over(over), F.lit(0)).alias("base_record"),
     )
     names.write.parquet(f"{folder}/names")
-    names = spark.read.parquet(f"{folder}/names")
+    names = spark.read.schema(NAMES).parquet(f"{folder}/names")
     placed = entries.join(if_small(names), "file_no").withColumn("place", F.col("base_record") + F.col("record"))
     keys = running_position(placed.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), ["place"], within="_key")
     n = entries.count()
@@ -203,7 +205,7 @@ def write_store(docs: DataFrame, tokenizer: str, end: int, order: list[str] | No
         return pd.DataFrame({"bucket": [group.bucket.iloc[0]], "n": [len(a)], "pilots": [pilots.astype("<u4").tobytes()], "fingerprints": [_fingerprint(a, b)[by_slot].astype("<u4").tobytes()]} | packed)
 
     hashed = _hashed(keys.withColumnRenamed("position", "copy"), buckets).select("bucket", "a", "b", *PLACE)
-    index = hashed.groupBy("bucket").applyInPandas(build, "bucket long, n long, pilots binary, fingerprints binary, " + ", ".join(f"{c} binary" for c in PLACE))
+    index = hashed.groupBy("bucket").applyInPandas(build, INDEX)
     index.write.parquet(f"{folder}/index")
     return TokenStore(spark, folder, buckets, one.width)
 

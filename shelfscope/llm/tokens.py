@@ -16,7 +16,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_MEMO, CHUNK_MEMO = 1_000_000, 500_000  # entries that a worker remembers, some 200 MB and 100 MB
+WORD_MEMO, CHUNK_MEMO = 600_000, 250_000  # entries that a worker remembers, some 120 MB and 50 MB
 RECORDS_PER_FILE = 2_000  # bounds what a reader of one file holds
 
 # The two settings under which a text's blank-separated chunks are encoded one by one.
