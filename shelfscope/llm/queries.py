@@ -50,7 +50,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
+    return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER).select("doc_id", "n_tokens")
 
 
 @query("op4_source_mixing")

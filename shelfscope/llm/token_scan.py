@@ -7,27 +7,64 @@ block its place and the start of the document that reaches into it.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import if_small, keyed, map_batches, map_partition, running_position, texts_of
+from shelfscope.llm.common import if_small, map_batches, map_partition, texts_of
 from shelfscope.llm.tokens import encoder, read_id_files, write_id_files
 from shelfscope.session import cut_lineage, scratch_path
 
 END = 0  # in the files of this module the tokenizer's ids are raised by one, and 0 ends a document
 BLOCK_IDS = 1 << 20
+NAME = "<Hq"  # whether there is a doc_id, the doc_id; the files' end id follows
 
 
 def write_flat_files(docs: DataFrame, tokenizer: str, folder: str) -> None:
-    """Flat id files of all texts in ascending doc_id order (ties by a hash of the text); null texts are empty."""
+    """Flat id files of all texts as the rows come, without a shuffle; null texts are empty.
+
+    The ids go to ``kind=ids``. The rows' doc_ids go to ``kind=names`` in the same pass, file by file and row by
+    row in the same order, so that counts can be given to documents; the id files don't depend on them.
+    """
+    spark = docs.sparkSession
 
     def encode(batch):
         one = encoder(tokenizer)
-        return {"ids": [(np.frombuffer(one(x), f"<u{one.width}") + 1).astype(f"<u{one.width}").tobytes() for x in texts_of(batch)]}
+        kinds, values = [], []
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
+            raised = np.frombuffer(one(text), f"<u{one.width}") + np.array(1, f"<u{one.width}")
+            kinds += ["ids", "names"]
+            values += [raised.tobytes(), struct.pack(NAME, doc_id is not None, doc_id or 0)]
+        return {"kind": kinds, "ids": values}
+
+    rows = map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "kind string, ids binary")
+    setting = "spark.sql.maxConcurrentOutputFileWriters"  # both kinds are written at once: rows aren't sorted and keep their order
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "4")
+    try:
+        write_id_files(rows, folder, END, encoder(tokenizer).width, by="kind")
+    finally:
+        spark.conf.set(setting, before)
+
+
+def read_names(spark: SparkSession, folder: str, width: int) -> DataFrame:
+    """doc_no, doc_id: the documents of flat files in file order."""
+    record = np.dtype([("known", "<u2"), ("doc_id", "<i8"), ("end", f"<u{width}")])
+
+    def read(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("file_no").to_pylist(), batch.column("content")):
+                found = np.frombuffer(content.as_buffer(), record)
+                ids = pa.array(np.ascontiguousarray(found["doc_id"]), mask=found["known"] == 0)
+                yield {"file_no": [name] * len(found), "record": np.arange(len(found)), "doc_id": ids}
 
-    ordered = keyed(docs.select("doc_id", "text")).repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
-    write_id_files(map_batches(ordered.select("text"), encode, "ids binary"), folder, END, encoder(tokenizer).width)
+    found = cut_lineage(map_partition(read_id_files(spark, f"{folder}/kind=names"), read, "file_no string, record long, doc_id long"))
+    files = found.groupBy("file_no").agg(F.count(F.lit(1)).alias("n"))
+    base = files.select("file_no", F.coalesce(F.sum("n").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return found.join(if_small(cut_lineage(base)), "file_no").select((F.col("base") + F.col("record")).alias("doc_no"), "doc_id")
 
 
 def scan_ends(spark: SparkSession, folder: str, end: int = END, width: int = 2, block: int = BLOCK_IDS) -> DataFrame:
@@ -88,15 +125,13 @@ def scan_ends(spark: SparkSession, folder: str, end: int = END, width: int = 2,
 
 
 def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Per document: doc_id, doc_no (its place), start, n_tokens, by writing flat files and scanning them for ends.
+    """Per document: doc_id, doc_no (its place in the files), start, n_tokens, by writing flat files and scanning them for ends.
 
-    Rows without an id come first; rows of equal id and text have equal counts, in any order. Null and empty
-    texts have no tokens. Further columns are ignored.
+    Every row has its own result, repeated rows and rows without an id too. Null and empty texts have no
+    tokens. Places follow the rows as Spark reads them. Further columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    folder = scratch_path(spark, "flat")
+    folder, width = scratch_path(spark, "flat"), encoder(tokenizer).width
     write_flat_files(docs, tokenizer, folder)
-    scanned = scan_ends(spark, folder, END, encoder(tokenizer).width)
-    named = running_position(keyed(docs).select("doc_id", "text_hash"), ["doc_id", "text_hash"]).select("doc_id", F.col("position").alias("doc_no"))
-    return named.join(scanned, "doc_no").select("doc_id", "doc_no", "start", "n_tokens")
+    scanned = scan_ends(spark, f"{folder}/kind=ids", END, width)
+    return read_names(spark, folder, width).join(scanned, "doc_no").select("doc_id", "doc_no", "start", "n_tokens")

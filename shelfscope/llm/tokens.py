@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_MEMO, CHUNK_MEMO = 600_000, 250_000  # entries that a worker remembers, some 120 MB and 50 MB
+FILES = "path string, modificationTime timestamp, length long, content binary"
 RECORDS_PER_FILE = 2_000  # bounds what a reader of one file holds
 
 # The two settings under which a text's blank-separated chunks are encoded one by one.
@@ -104,19 +105,22 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_id_files(records: DataFrame, folder: str, end: int, width: int) -> None:
+def write_id_files(records: DataFrame, folder: str, end: int, width: int, by: str | None = None) -> None:
     """Write the binary column ``ids`` of each row, and the end id after it, in the order of the rows of each partition.
 
+    ``by`` names a column whose values get folders of their own.
+
     The bytes of the end id must be below 128, as the separator is given as text.
     """
     separator = end.to_bytes(width, "little").decode("ascii")
-    lines = records.select(F.expr("cast(ids as string)").alias("value"))
-    lines.write.option("lineSep", separator).option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    keys = [by] if by else []
+    lines = records.select(F.expr("cast(ids as string)").alias("value"), *keys)
+    lines.write.partitionBy(*keys).option("lineSep", separator).option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
 def read_id_files(spark: SparkSession, folder: str) -> DataFrame:
     """file_no (a sortable text: partition, then file), content. Files are whole rows: writers bound them by RECORDS_PER_FILE."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    files = spark.read.schema(FILES).format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
     part = F.regexp_extract("path", r"part-(\d+)", 1)
-    count = F.regexp_extract("path", r"-c(\d+)[^/]*$", 1)
+    count = F.regexp_extract("path", r"[-.]c(\d+)(\.[^./-]*)?$", 1)
     return files.select(F.concat(F.lpad(part, 10, "0"), F.lit("-"), F.lpad(count, 10, "0")).alias("file_no"), "content")
