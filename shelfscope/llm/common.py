@@ -93,14 +93,19 @@ def one_label(labels: DataFrame, column: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """doc_id, text and label of at most ``rows`` labelled documents, the same ones in a repeated run.
+    """doc_id, text_hash, text and label of the documents of at most ``rows`` ids, the same ones in a repeated run.
 
     The label rows are drawn by a hash of their id; as there are at most ``rows`` of them they are sent to all
     executors. ``labels`` has doc_id and label, one row per id.
     """
     drawn = first_by_hash(labels, "doc_id", rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.join(F.broadcast(drawn), "doc_id").limit(rows)  # more only where ids repeat
+    return keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).join(F.broadcast(drawn), "doc_id")
+
+
+def one_per_id(sample: DataFrame) -> list:
+    """The rows of a sample (doc_id, text_hash and what was taken from the text), one per id: that of the smallest hash."""
+    rest = [c for c in sample.columns if c != "doc_id"]
+    return [r.row for r in sample.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).collect()]
 
 
 def first_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import id_remainder, labelled_sample, map_batches, one_label, texts_of
+from shelfscope.llm.common import id_remainder, labelled_sample, map_batches, one_label, one_per_id, texts_of
 
 FIT_ROWS = 20_000  # labelled rows that pairs are drawn from, at most
 FIT_PAIRS = 40_000  # preference pairs, at most
@@ -84,6 +84,8 @@ def _expand(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
 
 def fit_ranking(x: np.ndarray, label: np.ndarray, pairs: int = FIT_PAIRS, ridge: float = 1.0, seed: int = 5) -> Ranking:
     """Newton steps on the pairwise logistic loss; without both labels all weights are zero."""
+    order = np.lexsort((label, *x.T))  # the pairs drawn don't hang on the order of the rows
+    x, label = x[order], label[order]
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     mean = x.mean(axis=0) if len(x) else np.zeros(N_FEATURES)
     spread = np.maximum(x.std(axis=0), 1e-6) if len(x) else np.ones(N_FEATURES)
@@ -117,9 +119,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     """Ranking learnt from at most ``fit_rows`` of the labelled documents; ``labels`` has doc_id and label."""
 
     def features(batch):
-        return {"x": [text_features(t) for t in texts_of(batch)], "label": batch.column("label")}
+        return {c: batch.column(c) for c in ("doc_id", "text_hash", "label")} | {"x": [text_features(t) for t in texts_of(batch)]}
 
-    sample = map_batches(labelled_sample(docs, labels, fit_rows).select("text", "label"), features, "x array<double>, label int").collect()
+    sample = one_per_id(map_batches(labelled_sample(docs, labels, fit_rows), features, "doc_id long, text_hash long, x array<double>, label int"))
     return fit_ranking(np.array([r.x for r in sample]).reshape(-1, N_FEATURES), np.array([r.label for r in sample], dtype=int))
 
 
