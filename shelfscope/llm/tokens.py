@@ -13,6 +13,7 @@ import sys
 from array import array
 from functools import cache
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,7 +121,12 @@ def write_id_files(records: DataFrame, folder: str, end: int, width: int, by: st
 
 def read_id_files(spark: SparkSession, folder: str) -> DataFrame:
     """file_no (a sortable text: partition, then file), content. Files are whole rows: writers bound them by RECORDS_PER_FILE."""
-    files = spark.read.schema(FILES).format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    try:
+        files = spark.read.schema(FILES).format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "file_no string, content binary")  # nothing was written
     part = F.regexp_extract("path", r"part-(\d+)", 1)
     count = F.regexp_extract("path", r"[-.]c(\d+)(\.[^./-]*)?$", 1)
     return files.select(F.concat(F.lpad(part, 10, "0"), F.lit("-"), F.lpad(count, 10, "0")).alias("file_no"), "content")
