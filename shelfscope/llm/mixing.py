@@ -4,14 +4,19 @@ Each source's documents, in a seeded random order, are a stream that is cut into
 size. Block j of a source of weight w is released at slot floor(j / w) and due at slot
 ceil((j + 1) / w); each slot takes the released block that is due first. As the weights add up
 to one, no block is late, and at any time a source is less than one block away from its share.
-Weights are whole parts of a period, so the order repeats and is computed for one period only.
-When a source has no blocks left, the others go on with their weights scaled up.
+Weights are exact fractions, so no rounding adds up however many blocks there are. When a source
+has no blocks left, the others start anew with their weights scaled up. Sources of weight zero
+follow all others.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass, field
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,86 +26,92 @@ from shelfscope.llm.common import join_by_key, keyed, map_partition, packed, run
 from shelfscope.session import cut_lineage
 
 BLOCK_CHARS = 50_000
-PERIOD = 1_000  # slots in which a weight is a whole number
-MOST_SOURCES = 256  # the schedule has at most this times PERIOD entries
+PERIOD = 1_000  # slots that a source's part is told of
+MOST_SOURCES = 256  # the schedule is sent to all executors
 NO_SOURCE = ""
 
 
-def whole_parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Weights as parts of a period, at least one each, by largest remainder; ties go by name."""
-    total = sum(weights.values())
-    if total <= 0 or not np.isfinite(total) or min(weights.values()) < 0:
+def whole_parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, Fraction]:
+    """Weights as exact parts of a period; the parts add up to the whole period."""
+    if not all(map(math.isfinite, weights.values())) or min(weights.values()) < 0 or not any(weights.values()):
         raise ValueError("weights must be finite, not negative and not all zero")
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    parts = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(parts.values())]:
-        parts[s] += 1
-    return parts
-
-
-def edf_period(parts: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks within one period: of the released blocks the one that is due first, ties by name."""
-    period = sum(parts.values())
-    release = lambda s, j: j * period // parts[s]
-    due = lambda s, j: -(-(j + 1) * period // parts[s])
-    waiting = [(0, s, 0) for s in sorted(parts)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {s: [] for s in parts}
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, j), s, j))
-        _, s, j = heapq.heappop(ready)  # there is one, as the weights fill the period
-        slots[s].append(t)
-        if j + 1 < parts[s]:
-            heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
-    return slots
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    return {s: w * period / total for s, w in exact.items()}
 
 
-@dataclass
-class _Phase:
-    """While the same sources have blocks: its first slot, the period, and per source its first block and slots in the period."""
+def dealt(blocks: dict[str, int], weights: dict[str, float | Fraction]) -> Iterator[tuple[str, int]]:
+    """Source and block of each slot: of the released blocks the one that is due first, ties by name.
 
-    begin: int
-    period: int
-    first: dict[str, int]
-    slots: dict[str, np.ndarray]
+    Slots are told from the last one in which a source ended. A source that had no slot since then waits in the
+    order of weights, which is that of first due times, so that a source's end costs nothing for those.
+    """
+    left = {s: n for s, n in blocks.items() if n > 0}
+    if not left:
+        return
+    parts = whole_parts({s: weights[s] for s in left})
+    scale = math.lcm(*(x.denominator for x in parts.values()))
+    whole = {s: int(x * scale) for s, x in parts.items()}
+    last = {s: n for s, n in left.items() if not whole[s]}
+    order = sorted(left.keys() - last.keys(), key=lambda s: (-whole[s], s))
+    place = {s: i for i, s in enumerate(order)}
+    after = list(range(len(order) + 1))  # the first place from here on whose source has blocks left, by way of others
+    done, total = dict.fromkeys(order, 0), sum(whole.values())
+
+    def living(i: int) -> int:
+        while after[i] != i:
+            after[i] = after[after[i]]
+            i = after[i]
+        return i
+
+    while total:
+        waiting: list[tuple[int, str, int]] = []  # release, source, block since the start
+        ready: list[tuple[int, str, int]] = []  # due, source, block since the start
+        fresh, t, ended = living(0), 0, False
+        while not ended:
+            while waiting and waiting[0][0] <= t:
+                _, s, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(j + 1) * total // whole[s]), s, j))
+            while fresh < len(order) and (not ready or -(-total // whole[order[fresh]]) <= ready[0][0]):
+                s = order[fresh]
+                heapq.heappush(ready, (-(-total // whole[s]), s, 0))
+                fresh = living(fresh + 1)
+            _, s, j = heapq.heappop(ready)  # there is one, as the weights fill the slots
+            yield s, done[s]
+            done[s], left[s], t = done[s] + 1, left[s] - 1, t + 1
+            ended = not left[s]
+            heapq.heappush(waiting, ((j + 1) * total // whole[s], s, j + 1))
+        after[place[s]] += 1
+        total -= whole[s]
+    yield from dealt(last, dict.fromkeys(last, 1))
+
+
+def edf_period(parts: dict[str, Fraction]) -> dict[str, list[int]]:
+    """Slots of each source's blocks within one period, in which no source ends."""
+    period = int(sum(parts.values()))
+    slots: dict[str, list[int]] = {s: [] for s in parts}
+    for t, (s, _) in enumerate(islice(dealt(dict.fromkeys(parts, period + 1), parts), period)):
+        slots[s].append(t)
+    return slots
 
 
 @dataclass
 class Schedule:
-    phases: list[_Phase] = field(default_factory=list)
+    """The slots of each source's blocks, in order."""
+
+    taken: dict[str, np.ndarray]
 
     def slots(self, source: str, blocks: np.ndarray) -> np.ndarray:
         """Slots of a source's blocks, given by number."""
-        own = [p for p in self.phases if source in p.first]
-        which = np.searchsorted([p.first[source] for p in own], blocks, side="right") - 1
-        found = np.zeros(len(blocks), np.int64)
-        for i, p in enumerate(own):
-            here = which == i
-            j, slots = blocks[here] - p.first[source], p.slots[source]
-            found[here] = p.begin + j // len(slots) * p.period + slots[j % len(slots)]
-        return found
-
-
-def make_schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> Schedule:
-    """Slots for all blocks of all sources. A phase ends when a source has none left."""
-    left, done, begin, schedule = dict(blocks), dict.fromkeys(blocks, 0), 0, Schedule()
-    left = {s: n for s, n in left.items() if n > 0}
-    while left:
-        parts = whole_parts({s: weights[s] for s in left}, max(period, len(left)))
-        size = sum(parts.values())
-        slots = {s: np.array(x, np.int64) for s, x in edf_period(parts).items()}
-        schedule.phases.append(_Phase(begin, size, {s: done[s] for s in left}, slots))
-        # the slot after the last block of the source that ends first
-        ends = min((n - 1) // parts[s] * size + int(slots[s][(n - 1) % parts[s]]) + 1 for s, n in left.items())
-        for s in list(left):
-            used = ends // size * parts[s] + int(np.searchsorted(slots[s], ends % size))
-            done[s], left[s] = done[s] + used, left[s] - used
-        left = {s: n for s, n in left.items() if n > 0}
-        begin += ends
-    return schedule
+        return self.taken[source][blocks]
+
+
+def make_schedule(blocks: dict[str, int], weights: dict[str, float]) -> Schedule:
+    """Slots for all blocks of all sources."""
+    taken = {s: np.zeros(n, np.int64) for s, n in blocks.items()}
+    for t, (s, j) in enumerate(dealt(blocks, weights)):
+        taken[s][j] = t
+    return Schedule(taken)
 
 
 def tempered_weights(sizes: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -129,7 +140,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     if missing := sorted(totals.keys() - targets.keys()):
         raise ValueError(f"no weight for {missing}")
     schedule = make_schedule({s: n // block_chars + 1 for s, n in starts.items()}, targets)
-    shared = spark.sparkContext.broadcast(schedule)  # bounded by MOST_SOURCES and PERIOD
+    shared = spark.sparkContext.broadcast(schedule)  # eight bytes per block
 
     def place(batches):
         for batch in batches:

@@ -144,6 +144,33 @@ def test_shares_deviate_by_less_than_a_block():
         assert all(abs(seen[x] - (t + 1) * parts[x] / mixing.PERIOD) < 1 for x in parts)
 
 
+@pytest.mark.parametrize(
+    "weights",
+    [
+        {"a": 0.9, "b": 0.025, "c": 0.025, "d": 0.025, "e": 0.025},
+        {"a": 0.5, "b": 0.31, "c": 0.1, "d": 0.05, "e": 0.04},
+        {"a": 0.5} | {f"s{i:03}": 0.5 / 255 for i in range(255)},
+        {"a": 1.0, "b": 1e-5},
+    ],
+)
+def test_given_weights_hold_over_many_periods(weights):
+    slots, total = 30 * mixing.PERIOD, sum(weights.values())
+    schedule = mixing.make_schedule({s: int(slots * w / total) + 2 for s, w in weights.items()}, weights)
+    for s, w in weights.items():
+        taken = schedule.slots(s, np.arange(int(slots * w / total) + 2))
+        taken = taken[taken < slots]  # no source ends before
+        share, seen = w / total, np.arange(len(taken))
+        assert (np.abs(seen + 1 - (taken + 1) * share) < 1 + 1e-6).all() and (np.abs(seen - taken * share) < 1 + 1e-6).all()
+        assert abs(len(taken) - slots * share) < 1 + 1e-6
+
+
+def test_sources_of_weight_zero_follow_all_others():
+    schedule = mixing.make_schedule({"a": 3, "b": 2, "c": 2}, {"a": 1.0, "b": 0.0, "c": 0.0})
+    assert [schedule.slots(s, np.arange(n)).tolist() for s, n in (("a", 3), ("b", 2), ("c", 2))] == [[0, 1, 2], [3, 5], [4, 6]]
+    with pytest.raises(ValueError):
+        mixing.make_schedule({"a": 3}, {"a": 0.0})
+
+
 def test_mixing_places_every_row(spark, data):
     docs = table(spark, data, "documents").select("doc_id", "text", "source")
     odd = spark.createDataFrame([(None, None, None), (1, "", "src0"), (1, "", "src0"), (2, "x" * 300_000, "new")], docs.schema)
