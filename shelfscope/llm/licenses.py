@@ -1,21 +1,25 @@
 """License scans: TF-IDF cosine to templates, and licences inherited from directories above.
 
 Every line of a text is compared with the templates as a header; a licence file is compared as a
-whole too. Weights come from the number of documents that hold a term. A line can only reach the
-least cosine if it holds one of the few heavy terms that no template's vector can do without;
-only such lines are weighed. A licence file speaks for its directory, and documents without a
-licence of their own take that of the nearest directory above. All done by DataFrame functions.
+whole too. So are, across line ends, all windows of as many terms as a template or a notice has:
+headers that are wrapped or stand within longer lines, licence texts and tags. Weights come from the
+number of documents that hold a term. A line or window can only reach the least cosine if it holds
+one of the few heavy terms that no template's vector can do without; only such ones are weighed. A
+licence file speaks for its directory, and documents without a licence of their own take that of the
+nearest directory above. All done by DataFrame functions.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfscope.functions.text import computed_once
-from shelfscope.llm.common import if_small, literal_table
+from shelfscope.llm.common import if_small
 from shelfscope.session import cut_lineage
 
 # Phrases by which licences are declared.
@@ -34,6 +38,33 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("Proprietary", "All rights reserved"),
 )
+# Further phrases, of notices, tags and the titles of full texts, that windows are compared with.
+NOTICES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "under the Apache License, Version 2.0"),
+    ("Apache-2.0", "under the Apache 2.0 License"),
+    ("MIT", "under the MIT License"),
+    ("MIT", "The MIT License"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License as published by the Free Software Foundation; either version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU General Public License as published by the Free Software Foundation, either version 3"),
+    ("GPL-3.0", "under the GPLv3"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-2.1", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License as published by the Free Software Foundation, either version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License as published by the Free Software Foundation, either version 3"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("ISC", "under the ISC License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense")),
+)
 FILE_NAMES = ("license", "licence", "copying", "notice")  # names of licence files, before any ending
 LEAST_COSINE = 0.7
 SALTS = 16  # parts into which the documents of a directory are dealt
@@ -47,6 +78,20 @@ def _terms(text: str) -> list[str]:
 
 TEMPLATE_TERMS = [(name, _terms(text)) for name, text in TEMPLATES]
 VOCABULARY = sorted({t for _, terms in TEMPLATE_TERMS for t in terms})
+WINDOW_TERMS = TEMPLATE_TERMS + [(name, _terms(text)) for name, text in NOTICES]
+WINDOW_VOCABULARY = sorted({t for _, terms in WINDOW_TERMS for t in terms})
+
+
+def _array(terms: Iterable[str]) -> Column:
+    """Fixed terms as one literal, which is sooner built than one for each."""
+    return F.split(F.lit(" ".join(terms)), " ")
+
+
+def _table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A fixed table as one literal."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    fields = F.from_json(F.lit(json.dumps([dict(zip(names, row)) for row in rows])), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(fields))
 
 
 def terms_of(text: Column) -> Column:
@@ -55,19 +100,19 @@ def terms_of(text: Column) -> Column:
 
 def term_weights(docs: DataFrame) -> tuple[dict[str, float], float]:
     """idf of every template term over all documents, and that of a term no document holds."""
-    held = docs.select(F.explode(F.array_intersect(terms_of(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, VOCABULARY)))).alias("term"))
+    held = docs.select(F.explode(F.array_intersect(terms_of(F.coalesce("text", F.lit(""))), _array(WINDOW_VOCABULARY))).alias("term"))
     found = {r.term: r.n for r in held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the vocabulary
     n = docs.count()
-    return {t: math.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in VOCABULARY}, math.log(1 + n) + 1
+    return {t: math.log((1 + n) / (1 + found.get(t, 0))) + 1 for t in WINDOW_VOCABULARY}, math.log(1 + n) + 1
 
 
-def needed_terms(weights: dict[str, float], least: float = LEAST_COSINE) -> list[str]:
+def needed_terms(weights: dict[str, float], least: float = LEAST_COSINE, templates: list[tuple[str, list[str]]] = TEMPLATE_TERMS) -> list[str]:
     """Terms of which a line must hold one to reach the cosine with any template.
 
     Without the heaviest terms of a template's vector the rest is shorter than ``least`` of it, and so is any cosine.
     """
     needed = set()
-    for _, terms in TEMPLATE_TERMS:
+    for _, terms in templates:
         parts = sorted(((terms.count(t) * weights[t], t) for t in set(terms)), reverse=True)
         left = whole = sum(x * x for x, _ in parts)
         for x, t in parts:
@@ -78,35 +123,78 @@ def needed_terms(weights: dict[str, float], least: float = LEAST_COSINE) -> list
     return sorted(needed)
 
 
+def key_terms(license: str, terms: list[str]) -> set[str]:
+    """Terms of a phrase that no window may lack: all of a short phrase, else those of the licence's name."""
+    return set(terms) if len(terms) < 5 else set(_terms(license)) & set(terms)
+
+
+def windows(rows: DataFrame, weights: dict[str, float], least: float) -> DataFrame:
+    """path, text_hash, length, line, terms: runs of as many terms as a phrase has that may reach the cosine with one.
+
+    Every run around a term needed by a phrase of its length is taken that holds the key terms of such a phrase.
+    ``line`` is the run's first term; a text that is shorter than a phrase is one run.
+    """
+    by_length: dict[int, list[tuple[str, list[str]]]] = {}
+    for license, terms in WINDOW_TERMS:
+        by_length.setdefault(len(terms), []).append((license, terms))
+    needed = {n: _array(needed_terms(weights, least, phrases)) for n, phrases in by_length.items()}
+    any_needed = _array(needed_terms(weights, least, WINDOW_TERMS))
+    texts = computed_once(rows, {"terms": terms_of(F.col("text"))}).filter(F.arrays_overlap("terms", any_needed)).select("path", "text_hash", "terms")
+    numbered = F.transform("terms", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    texts = computed_once(texts, {"hits": F.filter(numbered, lambda x: F.array_contains(any_needed, x.t))})
+
+    def runs(n: int) -> Column:
+        last = F.greatest(F.size("terms") - n, F.lit(0))
+        around = F.transform(F.filter("hits", lambda x: F.array_contains(needed[n], x.t)), lambda x: F.sequence(F.greatest(x.i - (n - 1), F.lit(0)), F.least(x.i, last)))
+        found = F.transform(F.array_distinct(F.flatten(around)), lambda i: F.struct(F.lit(n).alias("length"), i.alias("line"), F.slice("terms", i + 1, n).alias("terms")))
+        keys = {tuple(sorted(key_terms(*phrase))) for phrase in by_length[n]}
+        if () in keys:
+            return found
+        held = [_array(k) for k in sorted(keys)]
+        return F.filter(found, lambda x: F.greatest(*[F.size(F.array_except(k, x.terms)) == 0 for k in held], F.lit(False)))
+
+    return texts.select("path", "text_hash", F.explode(F.flatten(F.array(*[runs(n) for n in sorted(by_length)]))).alias("w")).select("path", "text_hash", "w.*")
+
+
 def own_licenses(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """path, text_hash, license, cosine, whole: the best licence of every document that declares one.
 
-    ``docs`` has path and text; rows of equal path and text are one. Ties go to the first licence by name,
+    ``docs`` has path and text; rows of equal path and text are one. Lines and files are compared with TEMPLATES,
+    windows with the phrases of their length whose key terms they hold. Ties go to the first licence by name,
     cosines being rounded to nine digits.
     """
     spark = docs.sparkSession
     weights, unknown = term_weights(docs)
-    needed = F.array(*map(F.lit, needed_terms(weights, least)))
+    needed = _array(needed_terms(weights, least))
     rows = docs.select("path", F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     name = F.lower(F.regexp_extract("path", r"([^/.]*)[^/]*$", 1))
     lines = rows.select("path", "text_hash", F.posexplode(F.split("text", "\n")).alias("line", "part"))
     files = rows.filter(name.isin(*FILE_NAMES)).select("path", "text_hash", F.lit(-1).alias("line"), F.col("text").alias("part"))
     units = computed_once(lines.unionByName(files), {"terms": terms_of(F.col("part"))}).filter(F.arrays_overlap("terms", needed))
+    units = units.select("path", "text_hash", F.lit(0).alias("length"), "line", "terms").unionByName(windows(rows, weights, least))
     # rows of equal path and text have the same units: each is taken once
-    units = units.select("path", "text_hash", "line", "terms").distinct()
-    counted = units.select("path", "text_hash", "line", F.explode("terms").alias("term")).groupBy("path", "text_hash", "line", "term").agg(F.count(F.lit(1)).alias("n"))
-    known = literal_table(spark, ["term", "weight"], list(weights.items()))
+    unit = ["path", "text_hash", "length", "line"]
+    units = units.select(*unit, "terms").distinct()
+    counted = units.select(*unit, F.explode("terms").alias("term")).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("n"))
+    known = _table(spark, "term string, weight double, notice boolean", [(t, w, t not in VOCABULARY) for t, w in weights.items()])
     vectors = []
-    for no, (license, terms) in enumerate(TEMPLATE_TERMS):
+    phrases = [(0, *x) for x in TEMPLATE_TERMS] + [(len(x[1]), *x) for x in WINDOW_TERMS]
+    for no, (length, license, terms) in enumerate(phrases):
         parts = {t: terms.count(t) * weights[t] for t in set(terms)}
         norm = math.sqrt(sum(x * x for _, x in sorted(parts.items())))
-        vectors += [(no, license, t, x / norm) for t, x in sorted(parts.items())]
-    templates = literal_table(spark, ["template", "license", "term", "part"], vectors)  # as long as TEMPLATES
-    weighed = counted.join(F.broadcast(known), "term", "left").withColumn("x", F.col("n") * F.coalesce("weight", F.lit(unknown)))
-    unit = ["path", "text_hash", "line"]
+        keys = key_terms(license, terms) if length else set()
+        vectors += [(no, length, license, t, x / norm, int(t in keys), len(keys), terms.count(t)) for t, x in sorted(parts.items())]
+    templates = _table(spark, "template int, length int, license string, term string, part double, key int, keys int, times int", vectors)  # as long as the phrases
+    # lines weigh the terms of TEMPLATES only, windows those of NOTICES too
+    weight = F.when((F.col("length") > 0) | ~F.col("notice"), F.col("weight"))
+    weighed = counted.join(F.broadcast(known), "term", "left").withColumn("x", F.col("n") * F.coalesce(weight, F.lit(unknown)))
     norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(F.broadcast(templates), "term").groupBy(*unit, "template", "license").agg(F.sum(F.col("x") * F.col("part")).alias("dot"))
-    both = dots.join(norms.toDF("p", "h", "l", "norm"), F.col("path").eqNullSafe(F.col("p")) & (F.col("text_hash") == F.col("h")) & (F.col("line") == F.col("l")))
+    # in windows a term counts as often as the phrase has it, lest one that is repeated make up for the others
+    share = F.when(F.col("length") > 0, F.least("n", "times") / F.col("n")).otherwise(1.0)
+    dots = weighed.join(F.broadcast(templates), ["term", "length"]).groupBy(*unit, "template", "license", "keys").agg(F.sum(F.col("x") * F.col("part") * share).alias("dot"), F.sum("key").alias("held"))
+    dots = dots.filter(F.col("held") == F.col("keys"))
+    same = F.col("path").eqNullSafe(F.col("p")) & (F.col("text_hash") == F.col("h")) & (F.col("length") == F.col("n")) & (F.col("line") == F.col("l"))
+    both = dots.join(norms.toDF("p", "h", "n", "l", "norm"), same)
     scored = both.select("path", "text_hash", "line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).filter(F.col("cosine") >= least)
     best = F.min(F.struct((-F.col("cosine")).alias("c"), "license", F.col("line").alias("line"))).alias("b")
     return scored.groupBy("path", "text_hash").agg(best).select("path", "text_hash", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))

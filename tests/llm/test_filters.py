@@ -226,6 +226,31 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark, nothing):
     assert licenses.scan_licenses(nothing.withColumn("path", F.lit("p/q"))).count() == 0
 
 
+DECLARED = [
+    ("Apache-2.0", "// Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with it"),
+    ("Apache-2.0", "# Some tool. It is licensed under the Apache\n# License, Version 2.0 since long ago"),
+    ("MIT", "Licensed under the MIT license."),
+    ("MIT", "Released under the MIT License. Contact the authors for anything else you may need."),
+    ("MIT", "Copyright 2020 Foo\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"),
+    ("Proprietary", "Copyright 2020 Foo Inc. All rights reserved."),
+    ("GPL-3.0", " * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or later"),
+    ("GPL-2.0", " * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or later"),
+    ("LGPL-3.0", "under the GNU Lesser General Public License, version 3, and so on and so forth"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause and then some code"),
+    (None, "SPDX-License-Identifier: Zlib"),
+    (None, "MIT " * 9),
+    (None, "a licensed driver may not use this file, version 2, under the bridge; the rights of all are reserved elsewhere for the public"),
+]
+
+
+def test_licenses_declared_across_lines_and_within_them(spark, data):
+    plain = table(spark, data, "documents").select(F.col("doc_id").alias("doc_id"), F.concat(F.lit("p/"), "doc_id").alias("path"), "text").filter("not text rlike '(?i)licen|rights'")
+    docs = plain.unionByName(spark.createDataFrame([(10_000 + i, f"q/{i}.txt", t) for i, (_, t) in enumerate(DECLARED)], plain.schema))
+    found = {r.doc_id: r.license for r in licenses.scan_licenses(docs).collect()}
+    assert [found.pop(10_000 + i) for i in range(len(DECLARED))] == [x for x, _ in DECLARED]
+    assert set(found.values()) == {None}
+
+
 @pytest.mark.parametrize("key", queries.ORACLES)
 def test_statement(spark, data, key):
     from compare import connect, difference
