@@ -127,6 +127,23 @@ def test_rules_keep_clean_and_drop_symbol_texts(spark):
     assert np.mean([not r.kept for r in found if not r.quality]) > 0.6
 
 
+def test_rules_see_repetition(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abdeiklmnorst"), n))
+
+    def page(lines, repeated):  # unique lines with a short one after each, of which so many are the same
+        short = ["Neto dola"] * repeated + [f"{word(4).capitalize()} {word(4)}" for _ in range(lines - repeated)]
+        return "\n".join(f"{' '.join(word(5) for _ in range(9))}\n{x}" for x in rng.permutation(short))
+
+    sizes = rng.integers(4, 60, 300)
+    docs = [(i, page(n, 2 if i % 10 == 0 else 0) if i < 240 else page(n, n)) for i, n in enumerate(map(int, sizes))]
+    labels = spark.createDataFrame([(i, int(i < 240)) for i in range(270)], "doc_id long, quality int")
+    found = {r.doc_id: r for r in quality_rules(spark.createDataFrame(docs, "doc_id long, text string"), labels).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert np.mean([found[i].kept for i in range(240)]) > 0.95
+    assert np.mean([found[i].kept for i in range(270, 300)]) < 0.2
+
+
 def test_rules_of_odd_rows(odd, nothing, labels):
     found = quality_rules(odd, labels).collect()
     assert len(found) == len(ODD) and all(r.base_failed and not r.kept for r in found)
