@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfscope.llm import decontam, licenses, secrets
+from shelfscope.llm import byte_bpe, decontam, licenses, runs, secrets
 from shelfscope.llm.common import table
 from shelfscope.llm.dart_minhash import near_duplicates
 from shelfscope.llm.langid import identify_languages
@@ -17,11 +17,13 @@ from shelfscope.llm.ranking import classify_quality
 from shelfscope.llm.rules import COUNTS, quality_rules
 from shelfscope.llm.token_scan import count_tokens
 from shelfscope.llm.token_store import document_keys, store_digest, write_store
+from shelfscope.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +90,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *COUNTS, "base_failed", "kept", F.round("anomaly", 6).alias("anomaly"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_byte_level_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoding_digest(byte_bpe.decode_ids(byte_bpe.encode_texts(table(spark, sf_dir, "documents"), RANKS), RANKS))
+
+
+def with_made_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the ids, by hash, have their words repeated with a period from some word on (the query's contract)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words):  # a function of the array, so that it is made once per row
+        n = F.size(words).cast("long")
+        first = F.pmod(g, n)
+        period = F.floor((n - first) / (F.lit(3) + F.pmod(g, F.lit(8)))) + 1
+        place = lambda i: F.when(i < first, i).otherwise(first + F.pmod(i - first, period)).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))), " "))
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    made = F.transform(F.array(words), repeated)[0]
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, F.coalesce(made, F.lit(""))).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(runs.find_runs(with_made_periods(table(spark, sf_dir, "documents"))))
