@@ -12,9 +12,9 @@ from __future__ import annotations
 import base64
 import heapq
 import sys
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from shelfscope.llm.common import map_batches, map_partition, texts_of
 
 BLOCK_CHARS = 4 << 20  # characters of texts whose new words are replayed together; one longer text is a block of its own
-KNOWN_WORDS = 500_000  # words a worker remembers; beyond that it starts anew after the block
+KNOWN_WORDS = 1_000_000  # words a worker remembers; beyond that it keeps those of the last block
 OTHER = "\ue000"  # a character that is neither letter, number nor white space
-RIGHT = 1 << 32  # a pair of tokens as one number: left * RIGHT + right
+RIGHT = 1 << 24  # a pair of tokens as one number: left * RIGHT + right
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,12 +41,14 @@ def _newer_letters() -> dict[int, str]:
     """Code points that the regex module takes as letters or numbers, but not the Unicode version that tiktoken has."""
     import tiktoken
 
-    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
     newer = {}
     for kind in (r"\p{L}", r"\p{N}"):
         single = tiktoken.Encoding("single bytes", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-        older = set(bytes(single.encode_ordinary(every)).decode())
-        newer |= {ord(c): OTHER for c in regex.findall(kind, every) if c not in older}
+        for first in range(0, sys.maxunicode + 1, 4096):
+            some = "".join(chr(c) for c in range(first, first + 4096) if not 0xD800 <= c < 0xE000)
+            mine = regex.findall(kind, some)
+            older = set(bytes(single.encode_ordinary(some)).decode()) if mine else ()
+            newer |= {ord(c): OTHER for c in mine if c not in older}
     return newer
 
 
@@ -85,11 +87,9 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.merged: dict[int, int] = {}  # pair to the rank of its merge, -1 if there is none; grows with the pairs met
 
-    def merge(self, left: int, right: int) -> int:
-        pair = left * RIGHT + right
-        found = self.merged.get(pair)
-        if found is None:
-            found = self.merged[pair] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
+    def merge(self, pair: int) -> int:
+        left, right = divmod(pair, RIGHT)
+        found = self.merged[pair] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
         return found
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -110,7 +110,8 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
 
     ``index`` has the positions of the pairs that wait for a merge, by its rank; pairs that make the same token wait
     together, from left to right, so that ties go as they go within a single word. A merge can enable one of a lower
-    rank, which then comes first. Positions whose pair is gone by their turn are passed over.
+    rank, which then comes first. ``due`` is the rank for which a position's present pair waits: a position that
+    waits for another one by its turn is passed over.
     """
     lengths = np.array([len(w) for w in words], np.int64)
     flat = vocabulary.of_byte[np.frombuffer(b"".join(words), np.uint8)]
@@ -121,74 +122,96 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     before = np.full(n, -1, np.int64)
     after[inside], before[inside + 1] = inside + 1, inside
 
-    index: dict[int, list[int]] = {}
     pairs = flat[inside] * RIGHT + flat[inside + 1]
-    for pair in np.unique(pairs).tolist():
-        vocabulary.merge(*divmod(pair, RIGHT))
     kinds, which = np.unique(pairs, return_inverse=True)
-    ranks = np.array([vocabulary.merged[p] for p in kinds.tolist()], np.int64)[which] if len(kinds) else pairs
+    ranks = np.array([vocabulary.merge(p) for p in kinds.tolist()], np.int64)[which]
+    due = np.full(n, -1, np.int64)
+    due[inside] = ranks
     order = np.argsort(ranks, kind="stable")  # positions rise within a rank
     waiting, first = np.unique(ranks[order], return_index=True)
-    for rank, spots in zip(waiting.tolist(), np.split(inside[order], first[1:])):
-        if rank >= 0:
-            index[rank] = spots.tolist()
+    index = {rank: spots[::-1].tolist() for rank, spots in zip(waiting.tolist(), np.split(inside[order], first[1:])) if rank >= 0}
 
-    token, after, before, merge = flat.tolist(), after.tolist(), before.tolist(), vocabulary.merge
-    turns = list(index)
+    token, after, before, due = flat.tolist(), after.tolist(), before.tolist(), due.tolist()
+    known, merge = vocabulary.merged, vocabulary.merge
+    turns, mixed = list(index), set()  # ranks that wait; those whose positions are out of order
     heapq.heapify(turns)
     while turns:
-        rank = turns[0]
-        spots = index[rank]
-        if not spots:
-            heapq.heappop(turns)
-            del index[rank]
-            continue
-        at = heapq.heappop(spots)
-        mate = after[at]
-        if token[at] < 0 or mate < 0 or merge(token[at], token[mate]) != rank:
-            continue
-        token[at], token[mate] = rank, -1
-        right, left = after[mate], before[at]
-        after[at] = right
-        touched = []
-        if right >= 0:
-            before[right] = at
-            touched.append((merge(rank, token[right]), at))
-        if left >= 0:
-            touched.append((merge(token[left], rank), left))
-        for due, spot in touched:
-            if due >= 0:
-                if due not in index:
-                    index[due] = []
-                    heapq.heappush(turns, due)
-                heapq.heappush(index[due], spot)
+        rank = heapq.heappop(turns)
+        spots = index.pop(rank)  # taken from its end
+        if rank in mixed:
+            mixed.discard(rank)
+            spots.sort(reverse=True)
+        while spots:
+            at = spots.pop()
+            if due[at] != rank:
+                continue
+            mate = after[at]
+            token[at], token[mate], due[mate] = rank, -1, -1
+            right, left = after[mate], before[at]
+            after[at] = right
+            earliest = rank
+            due[at] = -1
+            if right >= 0:
+                before[right] = at
+            for spot, mate in ((at, right), (left, at)):
+                if spot < 0 or mate < 0:
+                    continue
+                pair = token[spot] * RIGHT + token[mate]
+                turn = known.get(pair)
+                if turn is None:
+                    turn = merge(pair)
+                due[spot] = turn
+                if turn in index:
+                    index[turn].append(spot)
+                    mixed.add(turn)
+                elif turn >= 0:
+                    index[turn] = [spot]
+                    heapq.heappush(turns, turn)
+                    earliest = min(earliest, turn)
+            if earliest < rank and spots:
+                index[rank] = spots
+                heapq.heappush(turns, rank)
+                break
     left_over = np.array(token, np.int64)
     alive = left_over >= 0
     return left_over[alive], np.bincount(word[alive], minlength=len(words))
 
 
+class _Places(dict):
+    """Places of words, in the order in which they were first met."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 class BlockEncoder:
     """Ids of blocks of texts; remembers the words of earlier blocks."""
 
     def __init__(self, path: str, pattern: str, known: int = KNOWN_WORDS):
         self.vocabulary, self.cut, self.limit = Vocabulary(path), Cutter(pattern), known
-        self.forget()
+        self.places, self.ids, self.lengths = _Places(), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def forget(self):
-        self.number = defaultdict(lambda: len(self.number))  # word to its place
-        self.ids, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def keep(self, places: np.ndarray):
+        """Forget all words but those at these places."""
+        words = np.array(list(self.places), object)[places].tolist()
+        starts = np.cumsum(self.lengths) - self.lengths
+        self.places = _Places(zip(words, range(len(words))))
+        self.ids, self.lengths = gather(self.ids, starts, self.lengths, places), self.lengths[places]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > self.limit:
-            self.forget()
-        known, number = len(self.number), self.number
-        numbered = [np.fromiter(map(number.__getitem__, self.cut(t)), np.int64) for t in texts]
-        new = [w.encode() for w in list(number)[known:]]
+        known, cut, place = len(self.places), self.cut, self.places.__getitem__
+        places = [np.fromiter(map(place, cut(t)), np.int32) for t in texts]
+        new = [w.encode() for w in islice(self.places, known, None)]
         if new:
             ids, lengths = replay(new, self.vocabulary)
-            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+            self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
         starts = np.cumsum(self.lengths) - self.lengths
-        return [gather(self.ids, starts, self.lengths, words).astype(np.int32) for words in numbered]
+        found = [gather(self.ids, starts, self.lengths, words) for words in places]
+        if len(self.places) > self.limit:
+            self.keep(np.unique(np.concatenate(places)))
+        return found
 
 
 @cache
