@@ -1,4 +1,8 @@
-"""Price history: append, evolve, and the series published from it."""
+"""Price history: append, evolve, and the series published from it.
+
+The history is one Parquet table with a folder per month and run, for runs appended by batch jobs and by streams. A run is
+committed by overwriting its folder, so committing it again leaves its rows once.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from shelfscope import fixed_values as fixed
 from shelfscope.functions.numbers import filled, round_exact, truthy
 from shelfscope.schemas import OBSERVATION_DDL, struct_of
+from shelfscope.session import cut_lineage, if_there
 
 
 def to_observations(offers: DataFrame, run_ts: Column) -> DataFrame:
@@ -29,28 +34,57 @@ def to_observations(offers: DataFrame, run_ts: Column) -> DataFrame:
     )
 
 
-def run_month() -> Column:
-    """Partition of the history table: few enough folders even for years of backfill."""
-    return F.date_format("run_ts", "yyyy-MM")
+RUN_FORMAT = "yyyyMMddHHmmssSSSSSS"
+TABLE_DDL = OBSERVATION_DDL + ", run_month string, run string"
+
+
+def in_run_folders(observations: DataFrame) -> DataFrame:
+    """Add the names of the month's and of the run's folder."""
+    return observations.withColumns({"run_month": F.date_format("run_ts", "yyyy-MM"), "run": F.date_format("run_ts", RUN_FORMAT)})
+
+
+def _commit(rows: DataFrame, path: str) -> None:
+    """Replace the folders of the rows' runs; files have the size that Spark advises, a big run gets several."""
+    dealt = rows.hint("rebalance", "run_month", "run").sortWithinPartitions("run_month", "run", "canonical_key")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_month", "run").parquet(path)
 
 
 def append_history(observations: DataFrame, path: str) -> None:
-    """Append-only Parquet table, one folder per month."""
-    dated = observations.withColumn("run_month", run_month())
-    dated.write.mode("append").partitionBy("run_month").parquet(path)
+    """Commit whole runs: what the table has of these runs is replaced, all other runs stay."""
+    _commit(in_run_folders(observations), path)
+
+
+def append_shops(observations: DataFrame, path: str) -> None:
+    """Commit some shops of some runs, as they come: what the table has of the other shops of these runs stays."""
+    spark = observations.sparkSession
+    new = cut_lineage(in_run_folders(observations))
+    runs = new.select("run_month", "run").distinct().collect()  # the runs of one commit
+    units = new.select("run_month", "run", "platform").distinct()
+    here = _table(spark, path).filter(F.col("run_month").isin([r.run_month for r in runs]) & F.col("run").isin([r.run for r in runs]))
+    others = here.join(units, ["run_month", "run", "platform"], "left_anti")
+    _commit(cut_lineage(others.unionByName(new)), path)
+
+
+def compact_history(spark: SparkSession, path: str, months: list[str]) -> None:
+    """Rewrite the runs of these months (as 2024-01) in files of the advised size, sorted by product."""
+    _commit(cut_lineage(_table(spark, path).filter(F.col("run_month").isin(months))), path)
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    return if_there(spark, lambda: spark.read.schema(TABLE_DDL).parquet(path), TABLE_DDL)
 
 
-def read_history(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
-    """History of any age: files without the promotion columns give nulls there.
+def read_history(spark: SparkSession, path: str, since: str | None = None, runs: list | None = None) -> DataFrame:
+    """History of any age, empty if there is none yet; files without the promotion columns give nulls there.
 
-    ``since`` (a day) skips whole folders and, inside the first one, earlier runs.
+    ``since`` (a day) and ``runs`` (run times) read the folders of those runs only.
     """
-    schema = struct_of(OBSERVATION_DDL + ", run_month string")
-    rows = spark.read.schema(schema).parquet(path)
+    rows = _table(spark, path)
     if since:
-        first = F.lit(since).cast("timestamp_ntz")
-        rows = rows.filter((F.col("run_month") >= since[:7]) & (F.col("run_ts") >= first))
-    return rows.drop("run_month")
+        rows = rows.filter((F.col("run_month") >= since[:7]) & (F.col("run") >= since[:10].replace("-", "")))
+    if runs is not None:
+        rows = rows.filter(F.col("run_month").isin([f"{t:%Y-%m}" for t in runs]) & F.col("run").isin([f"{t:%Y%m%d%H%M%S%f}" for t in runs]))
+    return rows.drop("run_month", "run")
 
 
 def with_missing_columns(old: DataFrame) -> DataFrame:

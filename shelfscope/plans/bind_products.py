@@ -11,15 +11,18 @@ from shelfscope.operators import health as H
 from shelfscope.operators import history as Hi
 from shelfscope.operators import matrix as M
 from shelfscope.operators import resolve as R
+from shelfscope.operators import series
 from shelfscope.operators import views as V
 from shelfscope.operators.similarity import similar_names, word_set
+from shelfscope.operators.sinks import MARK, published
 from shelfscope.plans import fixtures as fx
 from shelfscope.plans import oracle_resolve  # noqa: F401 - defines the statement parts
+from shelfscope.plans.catalog_run import Run, publish
 from shelfscope.plans.oracle_parts import statement
-from shelfscope.plans.registry import history, matrix, offers, query, resolved
+from shelfscope.plans.registry import history, landed, matrix, offers, query, resolved, shared
 from shelfscope.session import cut_lineage, scratch_path
 from shelfscope.sources.aliases import builtin_aliases
-from shelfscope.streaming.alarms import error_window_stream
+from shelfscope.streaming.alarms import alarm_stream, error_window_stream
 
 OFFER = ["platform", "external_product_id"]
 
@@ -483,9 +486,16 @@ def configs(spark, sf):
     )
 
 
+OUTAGES = {"coto": 1, "dia": 2, "jumbo": 9, "vea": 30}  # days before the last run since when a shop brings nothing
+
+
 def _runs(spark, sf):
-    """Per shop its last run, and the last run of all."""
-    last = fx.observations(spark, sf).groupBy("platform").agg(F.max("run_ts").alias("last_run"))
+    """Per shop its last run, and the last run of all; some shops stopped bringing data at some day."""
+    rows = fx.observations(spark, sf)
+    days = F.coalesce(F.create_map(*[F.lit(x) for pair in OUTAGES.items() for x in pair])[F.col("platform")], F.lit(0))
+    until = F.broadcast(rows.agg(F.max("run_ts").alias("end")))  # one row
+    seen = rows.join(until, F.lit(True)).filter(F.col("run_ts") <= F.col("end") - F.make_dt_interval(days))
+    last = seen.groupBy("platform").agg(F.max("run_ts").alias("last_run"))
     return cut_lineage(last.join(F.broadcast(last.agg(F.max("last_run").alias("top"))), F.lit(True)))
 
 
@@ -601,14 +611,82 @@ def flat(spark, sf):
     return table.withColumns(numbers)
 
 
+def _publication(spark, sf):
+    """Folder of the outputs published from the shared matrix."""
+
+    def build():
+        matched, canonicals = resolved(spark, sf)
+        out = scratch_path(spark, "out")
+        publish(Run(matched, canonicals, matrix(spark, sf)), out, None, "x", "2024-01-01T00:00:00Z", _health(spark, sf))
+        return published(spark, out)
+
+    return shared(spark, sf, "publication", build)
+
+
+@query(
+    "j03_published_products",
+    statement("SELECT canonical_id, canonical_key, display_name, n_platforms, match_method, mejor, ahorro_abs FROM matrix", "matrix"),
+)
+def published_products(spark, sf):
+    schema = "canonical_id bigint, canonical_key string, display_name string, n_platforms bigint, match_method string, mejor string, ahorro_abs double"
+    return spark.read.schema(schema).json(f"{_publication(spark, sf)}/matrix_json/products")
+
+
+@query(
+    "j04_published_sheet",
+    statement("SELECT brand_display AS marca, display_name, n_platforms, coalesce(mejor, '') AS mejor, ahorro_abs, CAST(1 AS BIGINT) AS files FROM matrix", "matrix"),
+)
+def published_sheet(spark, sf):
+    """The table as one marked file, read back."""
+    rows = spark.read.csv(f"{_publication(spark, sf)}/matrix_csv", header=True, multiLine=True)
+    rows = rows.withColumnRenamed(rows.columns[0], rows.columns[0].lstrip(MARK))
+    return rows.select(
+        "marca", "display_name", F.col("n_platforms").cast("bigint").alias("n_platforms"), F.coalesce("mejor", F.lit("")).alias("mejor"),
+        F.col("ahorro_abs").cast("double").alias("ahorro_abs"), F.lit(len(rows.inputFiles())).cast("bigint").alias("files"),
+    )
+
+
+def _kept(spark, sf):
+    """Series kept over a history of monthly runs that come in four commits; the first lacks a shop in one year, which the last brings.
+
+    Returns their folder.
+    """
+
+    def build():
+        rows = cut_lineage(history(spark, sf).withColumn("run_ts", F.date_trunc("month", "run_ts").cast("timestamp_ntz")))
+        path, kept = scratch_path(spark, "history"), scratch_path(spark, "series")
+        year = F.year("run_ts")
+        commits = [(year <= 1997) & ~((year == 1996) & (F.col("platform") == "vea")), year.isin(1999, 2000), year.isin(1998, 2001), year == 1996]
+        for commit in commits:
+            some = rows.filter(commit)
+            Hi.append_history(some, path)
+            series.add_runs(spark, path, kept, [r.run_ts for r in some.select("run_ts").distinct().collect()], buckets=8)
+        return kept
+
+    return shared(spark, sf, "kept series", build)
+
+
+@query("f08_g01_kept_series", statement("SELECT canonical_key, run_ts, p FROM monthly_series", "monthly_series"))
+def kept_series(spark, sf):
+    return series.kept_price_series(spark, _kept(spark, sf)).select("canonical_key", "run_ts", "p")
+
+
+@query("f09_g02_kept_shop_series", statement(f"SELECT {', '.join(SHOP_COLUMNS)} FROM monthly_shop_series", "monthly_shop_series"))
+def kept_shop_series(spark, sf):
+    return series.kept_shop_series(spark, _kept(spark, sf)).select(*SHOP_COLUMNS)
+
+
 OBSERVED = """canonical_key, platform, CAST(external_product_id AS VARCHAR) AS external_product_id, TIMESTAMP '2024-01-01' AS run_ts, precio_actual,
   descuento_pct, precio_por_100ml, stock, nullif(promo_etiqueta, '') AS promo_etiqueta, CASE WHEN promo_tipo = 'multi' THEN promo_precio_efectivo END AS promo_precio_efectivo"""
 
 
 @query("j05_appended_observations", statement(f"SELECT {OBSERVED} FROM matched", "matched"))
 def appended(spark, sf):
+    """The same run twice, and one from before that is not asked for."""
     path = scratch_path(spark, "history")
-    Hi.append_history(Hi.to_observations(resolved(spark, sf)[0], F.lit("2024-01-01 00:00:00")), path)
+    rows = resolved(spark, sf)[0]
+    for run in ("2024-01-01", "2023-11-30", "2024-01-01"):
+        Hi.append_history(Hi.to_observations(rows, F.lit(f"{run} 00:00:00")), path)
     return Hi.read_history(spark, path, since="2023-12-31")
 
 
@@ -669,13 +747,13 @@ def guard(spark, sf):
     "j11_landed_layout",
     statement("SELECT platform, CAST(count(*) AS BIGINT) AS listings, CAST(count(*) FILTER (WHERE descuento_pct > 0) AS BIGINT) AS con_descuento FROM products GROUP BY 1", "products"),
 )
-def landed(spark, sf):
+def landed_layout(spark, sf):
     from shelfscope.plans.bind_sources import _envelopes
-    from shelfscope.sources.landing import land_snapshots, read_landed
+    from shelfscope.sources.landing import land_snapshots, load_run
 
     path = scratch_path(spark, "raw")
     land_snapshots(_envelopes(fx.as_products(fx.snapshot(spark, sf))), path, "run-1")
-    rows = read_landed(spark, path)
+    rows = load_run(spark, path, "run-1")
     return rows.groupBy("platform").agg(
         F.sum(F.size("productos")).alias("listings"), F.max("con_descuento").cast("bigint").alias("con_descuento")
     )
@@ -707,7 +785,12 @@ def alarm(spark, sf):
     "k01_source_alarm_stream",
     f"SELECT window_start, errors FROM ({WINDOWS}) WHERE window_start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR",
 )
-def alarm_stream(spark, sf):
+def error_windows_on_stream(spark, sf):
+    return _streamed(spark, sf, error_window_stream, "window_start timestamp, errors bigint")
+
+
+def _streamed(spark, sf, job, schema):
+    """What a streaming job over the events has written when all of them are read."""
     events = (
         spark.readStream.schema(fx.table(spark, sf, "events").schema)
         .option("pathGlobFilter", "events.parquet")
@@ -716,7 +799,7 @@ def alarm_stream(spark, sf):
     )
     path = scratch_path(spark, "windows")
     (
-        error_window_stream(events)
+        job(events)
         .writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", scratch_path(spark, "stream"))
@@ -724,32 +807,42 @@ def alarm_stream(spark, sf):
         .start()
         .awaitTermination()
     )
-    rows = spark.read.schema("window_start timestamp, errors bigint").parquet(path)
-    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "errors")
+    return spark.read.schema(schema).parquet(path).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "k01_alarm_on_stream",
+    f"""SELECT * FROM (SELECT window_start, errors, errors >= 1 AND coalesce(lag(errors) OVER w >= 1 AND lag(window_start) OVER w = window_start - INTERVAL 2 HOUR, FALSE) AS alarm
+    FROM ({WINDOWS}) WINDOW w AS (ORDER BY window_start)) WHERE window_start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""",
+)
+def alarm_on_stream(spark, sf):
+    return _streamed(spark, sf, alarm_stream, "window_start timestamp, errors bigint, alarm boolean")
 
 
 @query(
     "k02_incremental_history",
-    statement("SELECT platform, count(*) AS n, min(run_ts) AS first_run, max(run_ts) AS last_run FROM history GROUP BY platform", "history"),
+    statement(
+        """SELECT platform, run_ts, count(*) AS n, CAST(sum(stock) AS BIGINT) AS stock FROM (SELECT platform, stock, CASE WHEN platform = 'dia' AND year(run_ts) = 2001
+        THEN TIMESTAMP '2001-12-01' ELSE make_timestamp(year(run_ts), 12, 31, 20, 0, 0) END AS run_ts FROM obs WHERE l_linenumber % 3 = 2) GROUP BY 1, 2""",
+        "obs",
+    ),
 )
 def incremental(spark, sf):
-    """Observations of the order lines as they arrive, appended by a stream that stops when done."""
+    """One history from a batch job and from a stream over the landed snapshots, with a run that both append, and that is appended again."""
     from shelfscope.operators.normalize import normalize_offers, with_own_key
-    from shelfscope.streaming.ingest import append_new
+    from shelfscope.sources.landing import build_offers, load_run
+    from shelfscope.streaming.ingest import append_landed
 
-    lines = (
-        spark.readStream.schema(fx.table(spark, sf, "lineitem").schema)
-        .option("pathGlobFilter", "lineitem.parquet")
-        .parquet(sf)
-    )
-    path = scratch_path(spark, "history")
-    append_new(
-        lines,
-        lambda batch: with_own_key(normalize_offers(fx.as_products(fx.listings(batch, fx.table(spark, sf, "part"))))),
-        path,
-        scratch_path(spark, "stream"),
-    )
+    root, path, checkpoint = landed(spark, sf), scratch_path(spark, "history"), scratch_path(spark, "stream")
+
+    def keyed(envelopes):
+        rows = build_offers(envelopes.withColumn("platform_rank", F.lit(0)))
+        return with_own_key(normalize_offers(rows)).withColumn("run_ts", F.to_timestamp_ntz("scraped_at", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
+
+    batch = Hi.to_observations(keyed(load_run(spark, root, "run-1999")), F.col("run_ts"))
+    Hi.append_history(batch, path)
+    append_landed(spark, root, keyed, path, checkpoint)
+    Hi.append_history(batch, path)
+    append_landed(spark, root, keyed, path, checkpoint)
     rows = Hi.read_history(spark, path)
-    return rows.groupBy("platform").agg(
-        F.count(F.lit(1)).alias("n"), F.min("run_ts").alias("first_run"), F.max("run_ts").alias("last_run")
-    )
+    return rows.groupBy("platform", "run_ts").agg(F.count(F.lit(1)).alias("n"), F.sum("stock").alias("stock"))

@@ -14,121 +14,72 @@ from shelfscope.operators.normalize import resolve_volume
 from shelfscope.plans import fixtures as fx
 from shelfscope.plans import oracle_parts as O
 from shelfscope.plans.oracle_parts import statement
-from shelfscope.plans.registry import offers, query
+from shelfscope.plans.registry import landed, offers, query
 from shelfscope.sources import landing, payloads
 from shelfscope.sources.aliases import builtin_aliases
 
 # --- A: scans -----------------------------------------------------------------------
 
-DAY_FILE = "strftime(run_ts, '%Y-%m-%d') || '.json'"
+# The landed snapshots hold all observations: a run per year, three stores per shop.
+LANDED = """SELECT platform, CAST(l_linenumber % 3 AS VARCHAR) AS store, year(run_ts) AS y, count(*) AS listings,
+  CAST(sum(stock) AS BIGINT) AS stock, CAST(count(*) FILTER (WHERE descuento_pct > 0) AS BIGINT) AS reduced FROM obs_products GROUP BY 1, 2, 3"""
+LATE = "platform IN ('dia', 'jumbo')"
+
+
+def _totals(envelopes, *more):
+    """Per shop: the store its listings came from, their number, stock, and how many are reduced."""
+    listings = envelopes.select("platform", "external_store_id", *more, F.explode("productos").alias("p"))
+    return listings.groupBy("platform", F.col("external_store_id").alias("store"), *more).agg(
+        F.count(F.lit(1)).alias("listings"), F.sum("p.stock").alias("stock"), F.count_if(F.col("p.descuento_pct") > 0).alias("reduced")
+    )
 
 
 @query(
     "a01_latest_snapshot_per_platform",
     statement(
-        f"SELECT platform, max({DAY_FILE}) AS file_name, arg_max(n, {DAY_FILE}) AS listings "
-        "FROM (SELECT platform, run_ts, count(*) AS n FROM obs GROUP BY 1, 2) GROUP BY platform",
-        "obs",
+        f"""WITH landed AS ({LANDED}) SELECT platform, store, listings, stock, reduced FROM landed
+        WHERE store = '2' AND y = CASE WHEN {LATE} THEN 2000 ELSE 2001 END AND platform <> 'vea'""",
+        "obs_products",
     ),
 )
 def latest_snapshot(spark, sf):
-    files = (
-        fx.observations(spark, sf)
-        .groupBy("platform", F.concat(F.date_format("run_ts", "yyyy-MM-dd"), F.lit(".json")).alias("file_name"))
-        .agg(F.count(F.lit(1)).alias("listings"))
-    )
-    return landing.latest_by_name(files)
-
-
-RUN = "1997-06"
-PATHS = "'raw/' || platform || '/' || CAST(l_suppkey AS VARCHAR) || '/' || strftime(run_ts, '%Y-%m') || '.json'"
+    """Last by name: the late shops' last run has an earlier name; vea's last one is not whole, coto's never arrived."""
+    return _totals(landing.load_latest(spark, landed(spark, sf)))
 
 
 @query(
     "a02_snapshots_of_one_run",
-    statement(
-        f"""SELECT platform, path, listings FROM (SELECT platform, path, count(*) AS listings,
-        rank() OVER (PARTITION BY platform ORDER BY path DESC) AS rn
-        FROM (SELECT platform, {PATHS} AS path FROM obs WHERE strftime(run_ts, '%Y-%m') = '{RUN}')
-        GROUP BY 1, 2) WHERE rn = 1""",
-        "obs",
-    ),
+    statement(f"WITH landed AS ({LANDED}) SELECT platform, store, listings, stock, reduced FROM landed WHERE store = '2' AND y = 1999", "obs_products"),
 )
 def run_snapshots(spark, sf):
-    path = F.concat_ws(
-        "/", F.lit("raw"), "platform", F.col("l_suppkey").cast("string"), F.date_format("run_ts", "yyyy-MM")
-    )
-    files = (
-        fx.observations(spark, sf)
-        .select(
-            F.concat(path, F.lit(".json")).alias("path"),
-            F.col("platform").alias("folder"),
-            F.when(F.col("l_suppkey") % 5 != 0, F.col("platform")).alias("plataforma"),
-        )
-        .groupBy("path", "folder", "plataforma")
-        .agg(F.count(F.lit(1)).alias("listings"))
-    )
-    return landing.of_run(files, RUN).select("platform", "path", "listings")
+    return _totals(landing.load_run(spark, landed(spark, sf), "1999"))
 
 
 @query(
     "a03_newest_usable_snapshot",
-    statement(
-        f"""SELECT platform, path, listings FROM (SELECT *, row_number() OVER (PARTITION BY platform
-        ORDER BY run_ts DESC, path DESC) AS rn FROM (SELECT platform, {PATHS} AS path, max(run_ts) AS run_ts,
-        count(*) AS listings FROM obs GROUP BY 1, 2)) WHERE rn = 1 AND listings % 2 = 0""",
-        "obs",
-    ),
+    statement(f"WITH landed AS ({LANDED}) SELECT platform, store, listings, stock, reduced FROM landed WHERE store = '2' AND y = 2001 AND platform <> 'vea'", "obs_products"),
 )
 def newest_snapshot(spark, sf):
-    path = F.concat_ws(
-        "/", F.lit("raw"), "platform", F.col("l_suppkey").cast("string"), F.date_format("run_ts", "yyyy-MM")
-    )
-    files = (
-        fx.observations(spark, sf)
-        .groupBy(F.col("platform").alias("folder"), F.concat(path, F.lit(".json")).alias("path"))
-        .agg(F.max("run_ts").alias("modified"), F.count(F.lit(1)).alias("listings"))
-        .withColumn("_corrupt_record", F.when(F.col("listings") % 2 != 0, F.lit("{")))
-    )
-    return landing.newest_usable(files).select("platform", "path", "listings")
-
-
-def _day_envelopes(spark, sf):
-    return (
-        fx.observations(spark, sf)
-        .groupBy("platform", "run_ts")
-        .agg(F.count(F.lit(1)).alias("total"))
-        .withColumn("fecha_scrapeo", L.iso_utc(F.col("run_ts")))
-    )
-
-
-LAST_RUN = "1998-06-15"
+    return _totals(landing.load_newest(spark, landed(spark, sf)))
 
 
 @query(
     "a04_stale_fallback",
     statement(
-        f"""WITH days AS (SELECT platform, run_ts, count(*) AS total FROM obs WHERE run_ts <= TIMESTAMP '{LAST_RUN}' GROUP BY 1, 2),
-        fresh AS (SELECT platform, run_ts, total FROM days WHERE run_ts = TIMESTAMP '{LAST_RUN}'),
-        newest AS (SELECT platform, max(run_ts) AS run_ts, arg_max(total, run_ts) AS total FROM days GROUP BY platform)
-        SELECT platform, total, FALSE AS stale, CAST(NULL AS VARCHAR) AS captured_at FROM fresh
-        UNION ALL SELECT platform, total, TRUE, strftime(run_ts, '%Y-%m-%dT%H:%M:%SZ') FROM newest
-        WHERE platform NOT IN (SELECT platform FROM fresh) AND run_ts >= TIMESTAMP '{LAST_RUN}' - INTERVAL 48 HOUR""",
-        "obs",
+        f"""WITH landed AS ({LANDED}) SELECT platform, store, listings, stock, reduced, {LATE} AS stale,
+        CASE WHEN {LATE} THEN '2001-12-31T20:00:00Z' END AS captured_at
+        FROM landed WHERE store = '2' AND y = 2001 AND platform <> 'dia'""",
+        "obs_products",
     ),
 )
 def stale_fallback(spark, sf):
-    days = _day_envelopes(spark, sf).filter(F.col("run_ts") <= F.lit(LAST_RUN).cast("timestamp_ntz"))
-    run = days.filter(F.col("run_ts") == F.lit(LAST_RUN).cast("timestamp_ntz")).select(
-        "platform", "total", "fecha_scrapeo"
-    )
-    newest = days.groupBy("platform").agg(
-        F.max_by("total", "run_ts").alias("total"), F.max("fecha_scrapeo").alias("fecha_scrapeo")
-    )
-    now = F.to_timestamp(F.lit(f"{LAST_RUN}T00:00:00Z"))
+    """The last run, and the late shops' newest snapshots; that of dia is too old."""
+    root = landed(spark, sf)
+    run = landing.load_run(spark, root, "run-2001")
     expected = H.expected_platforms(fx.observations(spark, sf))
-    chosen = H.with_stale_fallback(run, newest, expected, now, 48.0, "total > 0")
-    return chosen.select("platform", "total", "stale", "captured_at")
+    newest = landing.load_newest(spark, root, H.missing_platforms(expected, run))
+    now = F.to_timestamp(F.lit("2002-01-01T00:00:00Z"))
+    return _totals(H.with_stale_fallback(run, newest, expected, now, 24.0), "stale", "captured_at")
 
 
 @query(

@@ -14,6 +14,8 @@ from shelfscope.functions import text as T
 from shelfscope.functions.numbers import discount_pct, price_per_100ml
 from shelfscope.functions.promo import parse_promo, promo_columns
 from shelfscope.operators.normalize import normalize_offers, with_own_key
+from shelfscope.session import cut_lineage
+from shelfscope.sources.landing import build_envelopes, land_snapshots, write_parts
 
 PLATFORMS = ["carrefour", "coto", "dia", "disco", "jumbo", "pedidosya", "rappi", "vea"]
 POSITIONS_PER_PLATFORM = 1 << 40
@@ -140,3 +142,58 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
             "promo_precio_efectivo"
         ),
     )
+
+
+LATE_SHOPS = ["dia", "jumbo"]  # their last run is landed apart and later, as by a scraper that runs elsewhere
+LAST_YEAR = 2001
+SNAPSHOT_PART = 20
+
+
+def yearly_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observations as listings of yearly snapshots of three stores per shop: platform, external_store_id, run, fecha_scrapeo, pos, fields."""
+    from shelfscope.operators.resolve import dense_rank_at_scale
+
+    rows = as_products(observations(spark, sf_dir))
+    year = F.year("run_ts")
+    late = F.col("platform").isin(LATE_SHOPS) & (year == LAST_YEAR)
+    captured = F.when(late & (F.col("platform") == "dia"), F.concat(year, F.lit("-12-01T00:00:00Z"))).otherwise(F.concat(year, F.lit("-12-31T20:00:00Z")))
+    place = (F.array_position(F.array(*[F.lit(p) for p in PLATFORMS]), F.col("platform")) * 3 + F.col("l_linenumber") % 3) * 100 + year - 1990
+    keyed = rows.withColumns(
+        {
+            "external_store_id": (F.col("l_linenumber") % 3).cast("string"),
+            "run": F.concat(F.when(late, F.lit("home-")).otherwise(F.lit("run-")), year),
+            "fecha_scrapeo": captured,
+            "_ord": place.cast("long") * POSITIONS_PER_PLATFORM + F.col("l_orderkey") * 8 + F.col("l_linenumber"),
+        }
+    )
+    ranked = dense_rank_at_scale(keyed, "_ord", "_rank")
+    snapshot = ["platform", "external_store_id", "run"]
+    starts = ranked.groupBy(*snapshot).agg(F.min("_rank").alias("_start"))
+    empty = {"beer_color": F.lit(""), "beer_style": F.lit(""), "abv": F.lit(None).cast("double"), "origen": F.lit("")}
+    return ranked.join(F.broadcast(starts), snapshot).withColumns(
+        {
+            **empty,
+            "tienda": F.lit("Store"),
+            "direccion": F.lit(""),
+            "source": F.create_map(F.lit("method"), F.lit("tables")),
+            "pos": F.col("_rank") - F.col("_start"),
+            "id": F.col("external_product_id").cast("string"),
+        }
+    )
+
+
+def land_all(spark: SparkSession, sf_dir: str, root: str) -> None:
+    """Land every yearly snapshot, run after run; then the late shops; then two that go wrong.
+
+    coto's newest snapshot lacks its first parts and has no manifest row. vea's newest one was whole, but landing it
+    again broke off.
+    """
+    rows = cut_lineage(yearly_snapshots(spark, sf_dir))
+    runs = [f"run-{y}" for y in range(1995, LAST_YEAR + 1)] + [f"home-{LAST_YEAR}"]
+    for run in runs:
+        land_snapshots(build_envelopes(rows.filter(F.col("run") == run), SNAPSHOT_PART), root, run)
+    again = build_envelopes(rows.filter(F.col("run") == f"run-{LAST_YEAR}"), SNAPSHOT_PART)
+    write_parts(again.filter((F.col("plataforma") == "coto") & (F.col("desde") > 0)), root, f"run-{LAST_YEAR + 1}", "broken-off")
+    vea = again.filter(F.col("plataforma") == "vea")
+    land_snapshots(vea, root, f"run-{LAST_YEAR + 2}")
+    write_parts(vea, root, f"run-{LAST_YEAR + 2}", "broken-off")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shelfscope.plans.oracle_parts import RECURSIVE, own_key, part, rounded
+from shelfscope.plans.oracle_parts import PARTS, RECURSIVE, own_key, part, rounded
 
 LCS = """list_reduce(list_transform(string_split({a}, ''), lambda c: [CAST(ascii(c) AS INTEGER)]),
   lambda acc, ch: list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [CAST(j AS INTEGER)]),
@@ -253,7 +253,19 @@ part(
     "SELECT * EXCLUDE (rk) FROM (SELECT *, dense_rank() OVER (PARTITION BY canonical_key ORDER BY dia DESC) AS rk FROM closes) WHERE rk <= 21",
     ["closes"],
 )
-part("last_runs", "SELECT platform, max(run_ts) AS last_run FROM obs GROUP BY platform", ["obs"])
+part(
+    "last_runs",
+    """SELECT platform, max(run_ts) AS last_run FROM obs WHERE run_ts <= (SELECT max(run_ts) FROM obs)
+    - (CASE platform WHEN 'coto' THEN 1 WHEN 'dia' THEN 2 WHEN 'jumbo' THEN 9 WHEN 'vea' THEN 30 ELSE 0 END) * INTERVAL 1 DAY GROUP BY platform""",
+    ["obs"],
+)
+# Runs of a month each, for series that are kept run by run.
+part("monthly", "SELECT * REPLACE (date_trunc('month', run_ts) AS run_ts) FROM history", ["history"])
+for _name in ("lowest", "shop_prices", "series", "shop_series"):
+    _text, _needs = PARTS[_name]
+    for _source, _other in (("FROM history", "FROM monthly"), ("FROM lowest", "FROM monthly_lowest"), ("FROM shop_prices", "FROM monthly_shop_prices")):
+        _text = _text.replace(_source, _other)
+    part(f"monthly_{_name}", _text, [{"history": "monthly"}.get(n, f"monthly_{n}") for n in _needs])
 part(
     "health",
     """

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfscope.operators.matrix import build_matrix
 from shelfscope.operators.resolve import assign_canonicals
 from shelfscope.plans import fixtures as fx
-from shelfscope.session import cut_lineage
+from shelfscope.session import cut_lineage, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,3 +64,14 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir, "history", lambda: cut_lineage(fx.history(spark, sf_dir)))
+
+
+def landed(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of landed snapshots."""
+
+    def build():
+        root = scratch_path(spark, "landed")
+        fx.land_all(spark, sf_dir, root)
+        return root
+
+    return shared(spark, sf_dir, "landed", build)

@@ -31,10 +31,15 @@ PRODUCT_DDL = ", ".join(f"{name} {kind}" for name, kind in PRODUCT_FIELDS.items(
 
 ENVELOPE_DDL = (
     "plataforma string, external_store_id string, tienda string, direccion string, "
-    "fecha_scrapeo string, source map<string,string>, total int, con_descuento int, desde bigint, "
+    "fecha_scrapeo string, source map<string,string>, total int, con_descuento int, desde bigint, landing string, "
     f"productos array<struct<{PRODUCT_DDL.replace(' ', ':').replace(',:', ',')}>>"
 )
 
+MANIFEST_DDL = (
+    "platform string, store string, landing string, parts bigint, listings bigint, captured string, "
+    "landed_at timestamp, run_id string"
+)
+
 STORES_DDL = (
     "reference_address string, stores array<struct<platform:string,external_store_id:string,"
     "store_name:string,direccion:string,active:boolean,config:map<string,string>>>"

@@ -1,21 +1,28 @@
 """Landed snapshot files: choosing the right ones and turning them into offers.
 
-Layout: ``{root}/platform=.../external_store_id=.../run_id=.../*.json`` as written by
-``land_snapshots``, or ``{root}/{platform}/*.json`` as left by local runs.
+A snapshot, all listings of one store in one run, is the unit. ``land_snapshots`` writes it in parts, one envelope per
+line, below ``{root}/platform=.../store=.../run_id=.../``, and then adds a row to the manifest
+``{root}/_manifests``: a snapshot is there once that row is, and is whole if its parts and listings are as many as the row
+says. Local runs leave loose files ``{root}/{platform}/*.json`` instead, each a snapshot of its own, written as one JSON
+text or line by line.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fixed
-from shelfscope.schemas import ENVELOPE_DDL, PRODUCT_FIELDS, STORES_DDL, struct_of
+from shelfscope.schemas import ENVELOPE_DDL, MANIFEST_DDL, PRODUCT_FIELDS, STORES_DDL, struct_of
+from shelfscope.session import if_there
 
 ENVELOPE_PART = 5000
+RUN_FOLDER = "/run_id=[^/]*/"
+SNAPSHOT = ["platform", "store", "run_id"]
 
 
 def platform_of(path: Column, root: str) -> Column:
@@ -29,6 +36,12 @@ def snapshot_of(path: Column) -> Column:
     return F.regexp_replace(path, r"(/run_id=[^/]*)/.*", "$1")
 
 
+def name_of(path: Column) -> Column:
+    """Name of a snapshot: the run of a run folder, else the file's name without its ending."""
+    last = F.regexp_replace(F.element_at(F.split(snapshot_of(path), "/"), -1), r"^run_id=|\.json$", "")
+    return F.try_url_decode(F.try_url_decode(last))  # once for the folder's name, once for the path
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Paths and times of all landed files; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -41,57 +54,148 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_envelopes(spark: SparkSession, paths: list[str] | str, root: str) -> DataFrame:
-    """One row per landed file; a file that is not JSON has ``_corrupt_record`` set."""
+    """All envelopes below the paths, one row each; what is not JSON has ``_corrupt_record`` set.
+
+    Parts below run folders are read line by line. A loose file is read as a whole: it is one text, or has one
+    envelope in every line.
+    """
     schema = struct_of(ENVELOPE_DDL).add("_corrupt_record", "string")
-    reader = spark.read.schema(schema).option("recursiveFileLookup", "true")
-    rows = reader.json(paths, multiLine=True, mode="PERMISSIVE")
-    return rows.select(
-        "*",
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-        platform_of(F.col("_metadata.file_path"), root).alias("folder"),
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    path, modified = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")
+    place = [path.alias("path"), modified.alias("modified")]
+    parts = reader.schema(schema).json(paths, mode="PERMISSIVE").select("*", *place).filter(F.col("path").rlike(RUN_FOLDER))
+    plain = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(paths, wholetext=True)
+    lines = F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")
+    by_line = F.forall(lines, lambda x: x.startswith("{") & x.endswith("}"))
+    texts = plain.select("value", *place).filter(~F.col("path").rlike(RUN_FOLDER))
+    texts = texts.select(F.explode(F.when((F.size(lines) > 1) & by_line, lines).otherwise(F.array("value"))).alias("value"), "path", "modified")
+    read = texts.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e"), "path", "modified")
+    broken = F.coalesce(F.col("e._corrupt_record"), F.when(F.col("e").isNull(), F.col("value")))
+    loose = read.select("e.*", "value", "path", "modified", broken.alias("_broken")).withColumn("_corrupt_record", F.col("_broken")).drop("_broken", "value")
+    return parts.unionByName(loose).withColumns({"folder": platform_of(F.col("path"), root), "snapshot": snapshot_of(F.col("path")), "name": name_of(F.col("path"))})
+
+
+def whole_snapshots(envelopes: DataFrame, key: list[str]) -> DataFrame:
+    """Keys of the snapshots all of whose envelopes are JSON and, if in parts, hold as many listings as they say in all."""
+    listings = F.coalesce(F.size("productos"), F.lit(0))
+    state = envelopes.groupBy(*key).agg(
+        F.bool_or(F.col("_corrupt_record").isNotNull()).alias("_broken"),
+        F.bool_or(F.col("desde").isNotNull()).alias("_in_parts"),
+        F.max("total").alias("_total"),
+        F.sum(listings).alias("_listings"),
     )
+    return state.filter(~F.col("_broken") & (~F.col("_in_parts") | (F.col("_listings") == F.coalesce("_total", F.lit(-1))))).select(*key)
 
 
-def latest_by_name(files: DataFrame, platform: str = "platform", name: str = "file_name") -> DataFrame:
-    """Last file by name of each shop."""
-    newest = W.partitionBy(platform).orderBy(F.desc(name))
-    return files.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
-
-
-def load_latest(spark: SparkSession, root: str) -> DataFrame:
-    """Latest snapshot per shop folder. Only the chosen files are read (one path per shop)."""
-    chosen = latest_by_name(list_files(spark, root), "folder").select("path").collect()
-    rows = read_envelopes(spark, [r.path for r in chosen], root)
-    return rows.withColumn("platform", F.col("folder"))
+def latest_by_name(snapshots: DataFrame, platform: str = "platform", name: str = "file_name", *ties: str) -> DataFrame:
+    """Last snapshot by name of each shop."""
+    newest = W.partitionBy(platform).orderBy(F.desc(name), *[F.desc(t) for t in ties])
+    return snapshots.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
 def of_run(envelopes: DataFrame, run_id: str) -> DataFrame:
-    """Snapshots of one run; the last listed per shop wins, with all its parts.
+    """Whole snapshots of one run; the last listed per shop wins, with all its parts.
 
-    ``envelopes``: path, folder and the envelope fields. The run id ends the snapshot's name.
+    ``envelopes``: as ``read_envelopes`` gives them. The run id ends the snapshot's name.
     """
-    listed = W.partitionBy("platform").orderBy(F.desc("_snapshot"))
-    return (
-        envelopes.withColumn("_snapshot", snapshot_of(F.col("path")))
-        .filter(F.regexp_replace("_snapshot", r"\.json$", "").endswith(run_id))
-        .withColumn("platform", F.coalesce("plataforma", "folder"))
-        .withColumn("_n", F.rank().over(listed))
-        .filter("_n = 1")
-        .drop("_n", "_snapshot")
-    )
+    rows = envelopes.filter(F.col("name").endswith(run_id)).withColumn("platform", F.coalesce("plataforma", "folder"))
+    rows = rows.join(whole_snapshots(rows, ["snapshot"]), "snapshot", "left_semi")
+    listed = W.partitionBy("platform").orderBy(F.desc("snapshot"))
+    return rows.withColumn("_n", F.rank().over(listed)).filter("_n = 1").drop("_n")
 
 
 def newest_usable(envelopes: DataFrame) -> DataFrame:
-    """Newest snapshot of each shop by modification time; none if that one is not JSON."""
-    newest = W.partitionBy("folder").orderBy(F.desc("modified"), F.desc("path"))
-    return (
-        envelopes.withColumn("_n", F.row_number().over(newest))
-        .filter("_n = 1")
-        .filter(F.col("_corrupt_record").isNull())
-        .withColumn("platform", F.col("folder"))
-        .drop("_n")
-    )
+    """Newest snapshot of each shop by modification time, with all its parts; none if that one is not JSON or not whole."""
+    times = envelopes.groupBy("folder", "snapshot").agg(F.max("modified").alias("modified"))
+    newest = latest_by_name(times, "folder", "modified", "snapshot").select("snapshot")
+    rows = envelopes.join(newest, "snapshot", "left_semi")
+    return rows.join(whole_snapshots(rows, ["snapshot"]), "snapshot", "left_semi").withColumn("platform", F.col("folder"))
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The last manifest row of every landed snapshot; no rows if nothing was ever landed below the root."""
+    rows = if_there(spark, lambda: spark.read.schema(MANIFEST_DDL).json(f"{root.rstrip('/')}/_manifests"), MANIFEST_DDL)
+    rest = [f.name for f in struct_of(MANIFEST_DDL) if f.name not in SNAPSHOT]
+    last = F.max_by(F.struct(*rest), F.struct("landed_at", "landing"))
+    return rows.groupBy(*SNAPSHOT).agg(last.alias("m")).select(*SNAPSHOT, "m.*")
+
+
+def folder_name(value: str) -> str:
+    """A value as Spark writes it into the name of a partition's folder."""
+    return re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def read_landed(spark: SparkSession, root: str, runs: list[str] | None = None) -> DataFrame:
+    """Envelopes below shop, store and run folders, line by line; with ``runs`` no other run's folders are listed or read."""
+    root = root.rstrip("/")
+    schema = ENVELOPE_DDL + ", platform string, store string, run_id string"
+    names = "*" if runs is None else "{" + ",".join(folder_name(r).replace(",", "\\,") for r in runs) + "}"
+    reader = spark.read.schema(schema).option("basePath", root)
+    return if_there(spark, lambda: reader.json(f"{root}/platform=*/store=*/run_id={names}"), schema)
+
+
+def landed_rows(spark: SparkSession, root: str, chosen: DataFrame) -> DataFrame:
+    """Envelopes of the chosen rows of ``manifest`` whose parts and listings are all there; only their runs' folders are read.
+
+    ``chosen`` has a row per shop or per store of a run, so it is sent to all executors.
+    """
+    runs = [r.run_id for r in chosen.select("run_id").distinct().collect()]
+    promised = F.broadcast(chosen.select("landing", F.col("parts").alias("_parts"), F.col("listings").alias("_listings")))
+    rows = read_landed(spark, root, runs).join(promised, "landing")
+    found = rows.groupBy("landing", "_parts", "_listings").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("productos")).alias("listed"))
+    whole = found.filter((F.col("n") == F.col("_parts")) & (F.col("listed") == F.col("_listings"))).select("landing")
+    return rows.join(F.broadcast(whole), "landing", "left_semi").drop("_parts", "_listings")
+
+
+def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """One row per snapshot: platform, name, snapshot (sorts as listed), modified, and what is needed to read it. No contents are read.
+
+    Landed ones come from the manifest; loose files are looked for in the shops' folders and the stores' folders below.
+    """
+    root = root.rstrip("/")
+    landed = manifest(spark, root).select(
+        "platform", F.col("run_id").alias("name"), F.concat_ws("/", *SNAPSHOT).alias("snapshot"), F.col("landed_at").alias("modified"),
+        "run_id", "landing", "parts", "listings", F.lit(None).cast("string").alias("path"),
+    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json")
+    listed = if_there(spark, lambda: files.load(f"{root}/{{[^_.]*,[^_.]*/*}}/*.json"), "path string, modificationTime timestamp, length bigint, content binary")
+    folder = platform_of(F.col("path"), root)
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "")
+    loose = listed.select(folder.alias("platform"), name.alias("name"), F.concat_ws("/", folder, F.col("path")).alias("snapshot"), F.col("modificationTime").alias("modified"), "path")
+    return landed.unionByName(loose, allowMissingColumns=True)
+
+
+def read_snapshots(spark: SparkSession, root: str, chosen: DataFrame) -> DataFrame:
+    """Envelopes of the chosen rows of ``list_snapshots``, those that are whole; with platform and snapshot."""
+    rows = landed_rows(spark, root, chosen.filter(F.col("landing").isNotNull())).withColumn("snapshot", F.concat_ws("/", *SNAPSHOT))
+    paths = [r.path for r in chosen.filter(F.col("path").isNotNull()).select("path").collect()]
+    if paths:
+        files = read_envelopes(spark, paths, root)
+        files = files.join(whole_snapshots(files, ["snapshot"]), "snapshot", "left_semi")
+        files = files.withColumns({"platform": F.col("folder"), "snapshot": F.concat_ws("/", "folder", "path")})
+        rows = rows.unionByName(files.drop("folder", "name", "modified", "path", "_corrupt_record"), allowMissingColumns=True)
+    return rows
+
+
+def load_latest(spark: SparkSession, root: str) -> DataFrame:
+    """Latest snapshot per shop by name. Only the chosen snapshots are read; one that was landed by half has no name yet."""
+    return read_snapshots(spark, root, latest_by_name(list_snapshots(spark, root), "platform", "name", "snapshot"))
+
+
+def load_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+    """Whole snapshots of one run: per shop that of the store listed last. The run id ends the snapshot's name."""
+    rows = read_snapshots(spark, root, list_snapshots(spark, root).filter(F.col("name").endswith(run_id)))
+    rows = rows.withColumn("platform", F.coalesce("plataforma", "platform"))
+    last = rows.groupBy("platform").agg(F.max("snapshot").alias("snapshot"))
+    return rows.join(F.broadcast(last), ["platform", "snapshot"], "left_semi")
+
+
+def load_newest(spark: SparkSession, root: str, platforms: DataFrame | None = None) -> DataFrame:
+    """Newest snapshot of each shop (of ``platforms``) by time; none for a shop whose newest one is not whole."""
+    listed = list_snapshots(spark, root)
+    if platforms is not None:
+        listed = listed.join(F.broadcast(platforms.select("platform").distinct()), "platform", "left_semi")
+    return read_snapshots(spark, root, latest_by_name(listed, "platform", "modified", "snapshot"))
 
 
 def with_platform_rank(envelopes: DataFrame, order: list[Column]) -> DataFrame:
@@ -174,17 +278,24 @@ def accepted_snapshots(products: DataFrame, keys: list[str], minimum: int = fixe
     return products.join(good, keys, "left_semi")
 
 
-def land_snapshots(envelopes: DataFrame, root: str, run_id: str) -> None:
-    """Append one run below its shop, store and run folders."""
-    (
-        envelopes.withColumns({"platform": F.col("plataforma"), "store": F.col("external_store_id"), "run_id": F.lit(run_id)})
-        .write.mode("append")
-        .partitionBy("platform", "store", "run_id")
-        .json(root)
-    )
+def write_parts(envelopes: DataFrame, root: str, run_id: str, landing: str) -> None:
+    """Write envelopes below their shop, store and run folders; a folder that is written again is replaced."""
+    keys = {"platform": F.col("plataforma"), "store": F.coalesce("external_store_id", F.lit("")), "run_id": F.lit(run_id)}
+    rows = envelopes.withColumns(keys).withColumn("landing", F.concat_ws("/", F.lit(landing), "platform", "store"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SNAPSHOT).json(root)
 
 
-def read_landed(spark: SparkSession, root: str) -> DataFrame:
-    """Envelopes below shop, store and run folders; conditions on those prune folders."""
-    schema = ENVELOPE_DDL + ", platform string, store string, run_id string"
-    return spark.read.schema(schema).json(root)
+def land_snapshots(envelopes: DataFrame, root: str, run_id: str) -> None:
+    """Land one run's snapshots: the parts first, then a row per snapshot in the manifest.
+
+    Landing a snapshot again replaces it. Until its new row is there, the old row doesn't fit its parts any more, and
+    it counts as not whole.
+    """
+    spark, landing = envelopes.sparkSession, uuid.uuid4().hex
+    write_parts(envelopes, root, run_id, landing)
+    written = read_landed(spark, root, [run_id]).filter(F.col("landing").startswith(landing))
+    rows = written.groupBy(*SNAPSHOT, "landing").agg(
+        F.count(F.lit(1)).alias("parts"), F.sum(F.size("productos")).alias("listings"), F.max("fecha_scrapeo").alias("captured")
+    )
+    rows = rows.withColumn("landed_at", F.current_timestamp())
+    rows.write.mode("append").partitionBy("run_id").json(f"{root.rstrip('/')}/_manifests")

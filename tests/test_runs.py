@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from shelfscope.operators import history as Hi
+from shelfscope.operators import sinks
 from shelfscope.plans.catalog_run import local_run, service_run
 from shelfscope.sources import landing
 
@@ -45,9 +46,10 @@ def test_local_run_end_to_end(spark, tmp_path):
     stored = Hi.read_history(spark, str(tmp_path / "hist"))
     assert stored.count() == 8
     assert Hi.price_series(stored).count() == 2
-    header = spark.read.json(str(tmp_path / "out/matrix_json/header")).first()
+    out = sinks.published(spark, str(tmp_path / "out"))
+    header = spark.read.json(f"{out}/matrix_json/header").first()
     assert header.platforms == ["coto", "dia", "jumbo"] and header.comparables == 1
-    part = next((tmp_path / "out/matrix_csv").glob("*.csv")).read_bytes()
+    part = next((tmp_path / "out/versions" / out.rsplit("/", 1)[1] / "matrix_csv").glob("*.csv")).read_bytes()
     assert part.startswith(b"\xef\xbb\xbfmarca,")
 
 
@@ -67,7 +69,7 @@ def test_service_run_fallback_guard_and_health(spark, tmp_path):
     result = service_run(*args)
     assert result.published
     assert {r.platform for r in result.offers.select("platform").collect()} == {"dia", "jumbo"}
-    health = spark.read.json(str(tmp_path / "out/matrix_json/header")).first().platform_health
+    health = spark.read.json(f"{sinks.published(spark, str(tmp_path / 'out'))}/matrix_json/header").first().platform_health
     state = {h.platform: (h.ok, h.stale) for h in health}
     assert state == {"dia": (True, False), "jumbo": (True, True), "vea": (False, False), "coto": (False, False)}
     assert not service_run(*args, min_platforms=3).published
