@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
@@ -27,38 +28,48 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return packed.select("*", F.inline_outer("_once")).drop("_once")
 
 
+HANGUL = (0xAC00, 0xD7A3)  # syllables, taken apart by arithmetic as the Unicode standard says
+BLOCK = 256
+
+
 @cache
-def _decompositions() -> tuple[str, str, dict[str, str]]:
-    """Characters whose compatibility form holds plain letters or digits.
+def _decompositions() -> tuple[str, str, dict[int, str]]:
+    """The compatibility decomposition of every code point but Hangul, without combining marks.
 
-    Built from the Unicode rule over the basic plane: pairs for a one-to-one
-    translation (combining marks go last and are dropped) and a map for
-    characters that become several.
+    Pairs for a one-to-one translation (characters that vanish go last), and code points that become several.
     """
     source, target, dropped, several = [], [], [], {}
-    for code in range(0x80, 0x10000):
-        if 0xD800 <= code < 0xE000:
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000 or HANGUL[0] <= code <= HANGUL[1]:
             continue
         char = chr(code)
-        if unicodedata.combining(char):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if not plain:
             dropped.append(char)
-            continue
-        plain = "".join(
-            c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
-        )
-        if plain == char or not any(c.isascii() and c.isalnum() for c in plain):
-            continue
-        if len(plain) == 1:
-            source.append(char)
-            target.append(plain)
-        else:
-            several[char] = plain
+        elif plain != char:
+            if len(plain) == 1:
+                source.append(char)
+                target.append(plain)
+            else:
+                several[code] = plain
     return "".join(source + dropped), "".join(target), several
 
 
-def _as_ranges(chars: list[str]) -> str:
+@cache
+def _several_table() -> tuple[str, str]:
+    """Two-level table of what becomes several: per block of code points its place, and per place 256 texts ('' for none)."""
+    several = _decompositions()[2]
+    blocks = sorted({code // BLOCK for code in several})
+    places = ["-1"] * (sys.maxunicode // BLOCK + 1)
+    for place, block in enumerate(blocks):
+        places[block] = str(place)
+    texts = [several.get(block * BLOCK + i, "") for block in blocks for i in range(BLOCK)]
+    return ",".join(places), "\n".join(texts)
+
+
+def _as_ranges(codes: list[int]) -> str:
     """Body of a character class, neighbours joined to ranges."""
-    codes, parts = sorted(map(ord, chars)), []
+    parts = []
     start = last = codes[0]
     for code in [*codes[1:], 0]:
         if code != last + 1:
@@ -68,22 +79,36 @@ def _as_ranges(chars: list[str]) -> str:
     return "".join(parts)
 
 
+def _apart(char: Column) -> Column:
+    """What one character becomes if it becomes several, else itself."""
+    places, texts = _several_table()
+    code = F.ascii(char)
+    place = F.get(F.split(F.lit(places), ",").cast("array<int>"), F.floor(code / BLOCK).cast("int"))
+    plain = F.get(F.split(F.lit(texts), "\n"), place * BLOCK + code % BLOCK)
+    syllable = code - HANGUL[0]
+    lead, vowel, tail = F.floor(syllable / 588).cast("int"), F.floor(syllable % 588 / 28).cast("int"), syllable % 28
+    letters = F.concat(_letter(lead + 0x1100), _letter(vowel + 0x1161), F.when(tail > 0, _letter(tail + 0x11A7)).otherwise(F.lit("")))
+    return F.when(code.between(*HANGUL), letters).when((place >= 0) & (plain != ""), plain).otherwise(char)
+
+
+def _letter(code: Column) -> Column:
+    """The character of a code point of three bytes."""
+    parts = [F.shiftright(code, 12) + 0xE0, F.shiftright(code, 6) % 64 + 0x80, code % 64 + 0x80]
+    return F.decode(F.unhex(F.concat(*[F.lpad(F.hex(p), 2, "0") for p in parts])), "UTF-8")
+
+
 def strip_accents(text: Column) -> Column:
-    """Compatibility form without combining marks, as far as letters and digits go.
+    """Compatibility form without combining marks, for texts of any script.
 
     Plain ASCII is passed through; only texts holding a character that becomes several
-    (a ligature or a fraction, say) are taken apart.
+    (a ligature, a fraction or a Hangul syllable, say) are taken apart, by the table's place of each code point.
     """
     source, target, several = _decompositions()
-    listed = "\n".join(f"{char}\t{plain}" for char, plain in several.items())
-    table = F.str_to_map(F.lit(listed), F.lit("\n"), F.lit("\t"))
-
-    def apart(t: Column) -> Column:
-        return F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(table[c], c)), "")
-
     single = F.translate(text, source, target)
+    listed = _as_ranges(sorted(several)) + f"{chr(HANGUL[0])}-{chr(HANGUL[1])}"
+    apart = lambda t: F.array_join(F.transform(F.split(t, ""), _apart), "")
     return F.when(~text.rlike(r"[^\x00-\x7F]"), text).otherwise(
-        let(single, lambda t: F.when(t.rlike(f"[{_as_ranges(list(several))}]"), apart(t)).otherwise(t))
+        let(single, lambda t: F.when(t.rlike(f"[{listed}]"), apart(t)).otherwise(t))
     )
 
 

@@ -9,6 +9,7 @@ from shelfscope import fixed_values as fixed
 from shelfscope.functions import text as T
 from shelfscope.functions.labels import canonical_key
 from shelfscope.functions.numbers import filled, truthy
+from shelfscope.session import cut_lineage, if_there
 from shelfscope.sources.aliases import (
     AliasTables,
     brand_order,
@@ -115,11 +116,15 @@ def structural_key() -> Column:
 def normalize_offers(df: DataFrame, tables: AliasTables | None = None) -> DataFrame:
     """All derived identity columns, in one narrow pass without a shuffle."""
     tables = tables or builtin_aliases()
+    return _finish(_resolved(df, tables), tables)
+
+
+def _resolved(df: DataFrame, tables: AliasTables) -> DataFrame:
+    """Brand and variant of each row, by its texts."""
     texts = T.computed_once(T.computed_once(df, name_texts()), padded_texts())
     hits = T.computed_once(texts, alias_hits(tables))
     variant = variant_column(tables.variants.value("_variant", 1))
-    named = hits.withColumns({**brand_columns(tables), "variant_slug": variant})
-    return _finish(named.drop("_brand", "_variant"), tables)
+    return hits.withColumns({**brand_columns(tables), "variant_slug": variant}).drop("_brand", "_variant")
 
 
 def _finish(df: DataFrame, tables: AliasTables) -> DataFrame:
@@ -137,6 +142,57 @@ def _finish(df: DataFrame, tables: AliasTables) -> DataFrame:
     )
 
 
+TEXTS = ["nombre", "tipo", "marca"]
+TEXT_COLUMNS = ["nombre_norm", "brand_slug", "brand_display", "sub_brand", "variant_slug", "container", "pack_qty", "_zero"]
+SMALL_DICTIONARY = 50_000  # entries that are sent to all executors, some 15 MB; a bigger one is joined by hash
+
+
+def text_dictionary(texts: DataFrame, tables: AliasTables | None = None) -> DataFrame:
+    """What follows from the texts of a listing alone: per distinct name, type and brand, with their hash ``_text``."""
+    keyed = texts.select(*TEXTS).distinct().withColumn("_text", F.xxhash64(*TEXTS))
+    rows = _resolved(keyed, tables or builtin_aliases())
+    derived = {"container": T.container(F.col("nombre_norm")), "pack_qty": T.pack_quantity(F.col("nombre_norm"))}
+    return T.computed_once(rows, derived).select("_text", *TEXTS, *TEXT_COLUMNS)
+
+
+def extend_dictionary(df: DataFrame, path: str, tables: AliasTables | None = None) -> DataFrame:
+    """The kept dictionary at ``path`` with the texts of ``df`` that it lacked; only those are resolved.
+
+    It holds for one set of alias tables: with other ones keep another dictionary.
+    """
+    spark = df.sparkSession
+    schema = text_dictionary(df.limit(0), tables).schema
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+    known = lambda: if_there(spark, lambda: spark.read.schema(schema).parquet(path), ddl)
+    here = known().select(F.col("_text").alias("_hash"), *[F.col(c).alias(f"_{c}") for c in TEXTS])
+    same = [F.xxhash64(*TEXTS) == F.col("_hash"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TEXTS]]
+    lacking = df.select(*TEXTS).distinct().join(here, same, "left_anti")
+    text_dictionary(cut_lineage(lacking), tables).write.mode("append").parquet(path)
+    return known()
+
+
+def normalize_offers_by_text(df: DataFrame, tables: AliasTables | None = None, dictionary: DataFrame | None = None) -> DataFrame:
+    """The same as ``normalize_offers``, with each distinct name, type and brand resolved once.
+
+    ``dictionary`` has all texts of ``df``; without one it is made for this call. Listings repeat their texts from
+    run to run and shop to shop, so resolving texts is the smaller part of resolving rows; the rows are joined to it by the
+    texts' hash.
+    """
+    tables = tables or builtin_aliases()
+    entries = cut_lineage(text_dictionary(df, tables)) if dictionary is None else dictionary
+    entries = entries.select(F.col("_text").alias("_hash"), *[F.col(c).alias(f"_{c}") for c in TEXTS], *TEXT_COLUMNS)
+    if entries.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
+        entries = F.broadcast(entries)
+    same = [F.xxhash64(*TEXTS) == F.col("_hash"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in TEXTS]]
+    joined = df.join(entries, same).drop("_hash", *[f"_{c}" for c in TEXTS])
+    derived = {
+        "volume_ml_canon": resolve_volume(tables),
+        "gtin_norm": T.normal_gtin(F.col("gtin")),
+        "is_zero": F.coalesce("is_zero_alcohol", F.lit(False)) | F.col("_zero"),
+    }
+    return T.computed_once(joined, derived).withColumn("structural_key", structural_key()).drop("_zero")
+
+
 def normalize_offers_by_join(
     df: DataFrame, brands: DataFrame, variants: DataFrame, tables: AliasTables, max_words: int = 4
 ) -> DataFrame:

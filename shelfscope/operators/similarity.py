@@ -7,41 +7,59 @@ ratios of edit distance (insertions and deletions) to length.
 
 from __future__ import annotations
 
-from functools import cache
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from shelfscope import fixed_values as fixed
+from shelfscope.functions.numbers import let
 from shelfscope.functions.text import computed_once
 from shelfscope.session import cut_lineage
 
 HOT_GRAM_NAMES = 4096
 
 
-@cache
-def _common_subsequence():
-    """Arrow function: length of the longest common subsequence of two texts."""
+WORD_BITS = 60  # of a number that holds one bit per character: a sum of two such numbers stays positive
+
+
+def common_subsequence(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts, by bits.
+
+    ``a`` is cut into pieces of 60 characters, each with a row of bits that starts as all ones. Every character of
+    ``b`` adds to each row the bits where the piece has that character, with the carry of the piece before; in the end
+    the zeros count the common characters.
+    """
+    one = F.lit(1).cast("long")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(a) - 1) / WORD_BITS).cast("int")), lambda i: F.substring(a, i * WORD_BITS + 1, F.lit(WORD_BITS)))
+    full = lambda piece: F.call_function("shiftleft", one, F.length(piece)) - 1
+
+    def bits(piece: Column, letter: Column) -> Column:
+        """Bits of the positions of a letter, the first position lowest."""
+        letters = F.reverse(F.split(piece, ""))
+        return F.aggregate(letters, F.lit(0).cast("long"), lambda m, x: m * 2 + F.when(x == letter, one).otherwise(F.lit(0).cast("long")))
+
+    def over(p: Column) -> Column:
+        letters = F.split(b, "")
+        known = F.array_distinct(letters)
+        masks = F.map_from_arrays(known, F.transform(known, lambda c: F.transform(p, lambda piece: bits(piece, c))))
+        return let(masks, lambda m: F.aggregate(letters, F.transform(p, full), lambda rows, c: step(p, rows, m[c]), lambda rows: found(p, rows)))
+
+    def step(p: Column, rows: Column, mask: Column) -> Column:
+        start = F.struct(F.array().cast("array<bigint>").alias("rows"), F.lit(0).cast("long").alias("carry"))
 
-    def length(a: str, b: str) -> int:
-        if not a or not b:
-            return 0
-        masks: dict[str, int] = {}
-        for i, c in enumerate(a):
-            masks[c] = masks.get(c, 0) | (1 << i)
-        full = (1 << len(a)) - 1
-        row = full
-        for c in b:
-            hit = row & masks.get(c, 0)
-            row = ((row + hit) | (row - hit)) & full
-        return len(a) - row.bit_count()
+        def add(state: Column, i: Column) -> Column:
+            row, hit = rows[i], rows[i].bitwiseAND(mask[i])
+            total = row + hit + state["carry"]
+            kept = total.bitwiseOR(row - hit).bitwiseAND(full(p[i]))
+            carry = F.shiftright(total, WORD_BITS)
+            return F.struct(F.concat(state["rows"], F.array(kept)).alias("rows"), carry.alias("carry"))
 
-    def batch(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([length(a, b) for a, b in zip(left, right)], dtype="int32")
+        return F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), start, add, lambda state: state["rows"])
 
-    return F.pandas_udf(batch, IntegerType())
+    def found(p: Column, rows: Column) -> Column:
+        zeros = F.transform(rows, lambda row, i: F.length(p[i]) - F.bit_count(row))
+        return F.aggregate(zeros, F.lit(0), lambda n, x: n + x)
+
+    return F.when((a == "") | (b == ""), F.lit(0)).otherwise(let(pieces, over))
 
 
 def word_set(normal: Column) -> Column:
@@ -85,10 +103,7 @@ def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int | None =
     marked = computed_once(pairs, {"_p": _parts(F.col(left), F.col(right))}).withColumn("_open", open_score)
     if threshold is not None:
         marked = marked.filter(~empty & (contained | (sides >= threshold) | F.col("_open")))
-    lcs = _common_subsequence()(
-        F.when(F.col("_open"), p["a"]).otherwise(F.lit("")),
-        F.when(F.col("_open"), p["b"]).otherwise(F.lit("")),
-    )
+    lcs = F.when(F.col("_open"), common_subsequence(p["a"], p["b"])).otherwise(F.lit(0))
     distance = len_a + len_b - 2 * F.col("_lcs")
     score = (
         F.when(empty, F.lit(0.0))
@@ -96,7 +111,7 @@ def score_pairs(pairs: DataFrame, left: str, right: str, threshold: int | None =
         .when(F.col("_open"), F.greatest(sides, ratio(distance, whole_a + whole_b)))
         .otherwise(sides)
     )
-    scored = marked.withColumn("_lcs", lcs).withColumn("score", score).drop("_p", "_open", "_lcs")
+    scored = computed_once(marked, {"_lcs": lcs}).withColumn("score", score).drop("_p", "_open", "_lcs")
     return scored if threshold is None else scored.filter(F.col("score") >= threshold)
 
 

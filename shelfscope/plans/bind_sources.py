@@ -627,6 +627,18 @@ def normal_text(spark, sf):
     )
 
 
+OTHER_SCRIPTS = ("aeiouéèüàçñöä", "άέίόύйёЇήΰΩЌѓ")  # letters of a text and what stands for them, to have texts of other scripts
+
+
+@query(
+    "c10_accents_of_other_scripts",
+    f"SELECT doc_id, md5(strip_accents(translate(text, '{OTHER_SCRIPTS[0]}', '{OTHER_SCRIPTS[1]}'))) AS plain_md5 FROM documents",
+)
+def accents_of_other_scripts(spark, sf):
+    docs = _documents(spark, sf)
+    return docs.select("doc_id", F.md5(T.strip_accents(F.translate("text", *OTHER_SCRIPTS)).cast("binary")).alias("plain_md5"))
+
+
 @query(
     "c12_c17_zero_alcohol",
     statement(

@@ -13,7 +13,7 @@ from shelfscope.operators import health as H
 from shelfscope.operators import history as Hi
 from shelfscope.operators import series, sinks
 from shelfscope.operators.matrix import build_matrix, run_summary
-from shelfscope.operators.normalize import normalize_offers
+from shelfscope.operators.normalize import normalize_offers_by_text
 from shelfscope.operators.resolve import assign_canonicals
 from shelfscope.session import cut_lineage
 from shelfscope.sources.aliases import AliasTables
@@ -36,7 +36,7 @@ class Run:
 
 def resolve_run(envelopes: DataFrame, tables: AliasTables | None = None) -> Run:
     """Envelopes (with platform_rank) to products and matrix."""
-    offers, canonicals = assign_canonicals(normalize_offers(build_offers(envelopes), tables))
+    offers, canonicals = assign_canonicals(normalize_offers_by_text(build_offers(envelopes), tables))
     return Run(offers, canonicals, build_matrix(canonicals, offers), run_summary(offers, canonicals))
 
 

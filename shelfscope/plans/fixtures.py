@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfscope.functions import text as T
 from shelfscope.functions.numbers import discount_pct, price_per_100ml
 from shelfscope.functions.promo import parse_promo, promo_columns
-from shelfscope.operators.normalize import normalize_offers, with_own_key
+from shelfscope.operators.normalize import normalize_offers_by_text, with_own_key
 from shelfscope.session import cut_lineage
 from shelfscope.sources.landing import build_envelopes, land_snapshots, write_parts
 
@@ -122,12 +122,12 @@ def as_products(rows: DataFrame) -> DataFrame:
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised offers of the latest snapshot."""
-    return normalize_offers(as_products(snapshot(spark, sf_dir)))
+    return normalize_offers_by_text(as_products(snapshot(spark, sf_dir)))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price observations of all runs, keyed by each row's own canonical key."""
-    rows = with_own_key(normalize_offers(as_products(observations(spark, sf_dir))))
+    rows = with_own_key(normalize_offers_by_text(cut_lineage(as_products(observations(spark, sf_dir)))))
     return rows.select(
         "canonical_key",
         "platform",

@@ -66,6 +66,17 @@ def test_normal_text_equals_unicode_rule(spark):
     assert [r.n for r in df.select(T.norm_text(F.col("s")).alias("n")).collect()] == [rule(s) for s in samples]
 
 
+def test_accents_of_every_code_point(spark):
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = ["|".join(map(chr, codes[i : i + 4000])) for i in range(0, len(codes), 4000)]
+    rows += ["Ωμέγα й ё Ї", "각힣가 plain", "ﬁ½\U0001d400é"]
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, s string").repartition(8)
+    for r in df.select("s", T.strip_accents(F.col("s")).alias("n")).collect():
+        assert r.n == "|".join(map(plain, r.s.split("|"))) if "|" in r.s else plain(r.s)
+    assert {r.n for r in df.filter("s LIKE 'Ω%'").select(T.strip_accents(F.col("s")).alias("n")).collect()} == {"Ωμεγα и е І"}
+
+
 def test_volume_pack_container_type(spark):
     names = ["Cerveza Quilmes 473 ml lata", "Pack x 6 473ml", "x 60", "6 x 473cc", "Andes 1,5 L porrón", "dos litros", "60x3 x 4"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
@@ -129,3 +140,22 @@ def test_unknown_platform_has_no_normalizer():
     assert payloads.available_platforms()[0] == "carrefour"
     with pytest.raises(KeyError):
         payloads.normalizer_of("nowhere")
+
+
+def test_texts_are_resolved_once_and_kept(spark, tmp_path, monkeypatch):
+    from shelfscope.operators import normalize as N
+
+    rows = _offers(spark).unionByName(_offers(spark).withColumn("gtin", F.lit("007"))).unionByName(
+        spark.createDataFrame([(None, None, None, None, None, None), (None, "", None, 0, "", True), ("", None, "", 354, "1", None)], _offers(spark).schema)
+    )
+    wanted = normalize_offers(rows)
+    key = lambda df: sorted((str(r) for r in df.select(*wanted.columns).collect()))
+    assert key(N.normalize_offers_by_text(rows)) == key(wanted)
+    path = str(tmp_path / "texts")
+    some = N.extend_dictionary(rows.filter("gtin = '007'"), path)
+    before = some.count()
+    words = N.extend_dictionary(rows, path)
+    assert (before, words.count(), words.select("_text").distinct().count()) == (6, 9, 9)
+    assert N.extend_dictionary(rows, path).count() == 9
+    monkeypatch.setattr(N, "SMALL_DICTIONARY", 0)
+    assert key(N.normalize_offers_by_text(rows, dictionary=words)) == key(wanted)

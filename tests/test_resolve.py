@@ -116,3 +116,18 @@ def test_dense_rank_over_many_ranges(spark):
     df = spark.createDataFrame([(n,) for n in reversed(numbers)], "n long")
     got = {r.n: r.r for r in dense_rank_at_scale(df, "n", "r").collect()}
     assert got == {n: i for i, n in enumerate(numbers)}
+
+
+def test_common_subsequence_of_long_texts_and_without_python(spark, data):
+    from brute import lcs
+
+    from shelfscope.operators.similarity import common_subsequence
+    from shelfscope.plans.bind_products import fuzzy_pairs
+
+    rng = random.Random(9)
+    pairs = [tuple("".join(rng.choices("abc d", k=rng.randint(0, n))) for n in sizes) for sizes in [(5, 5), (60, 61), (61, 130), (200, 190)] for _ in range(40)]
+    pairs += [("a" * 60, "a" * 60), ("a" * 120, "a" * 121), ("ab" * 60, "ba" * 60)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", common_subsequence(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(r.n == lcs(r.a, r.b) for r in rows)
+    plan = fuzzy_pairs(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
