@@ -7,12 +7,17 @@ to one, no block is late, and at any time a source is less than one block away f
 Weights are exact fractions, so no rounding adds up however many blocks there are. When a source
 has no blocks left, the others start anew with their weights scaled up. Sources of weight zero
 follow all others.
+
+Weights over a common denominator make the order repeat after so many slots. So the driver schedules one period
+between two ends of sources, and executors place any block from it by arithmetic: neither work nor what is sent to them
+grows with the blocks.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -29,6 +34,8 @@ BLOCK_CHARS = 50_000
 PERIOD = 1_000  # slots that a source's part is told of
 MOST_SOURCES = 256  # the schedule is sent to all executors
 NO_SOURCE = ""
+DENOMINATOR = 10_000  # default weights are whole parts of this
+LONGEST_PERIOD = 1_000_000  # slots; weights without a common denominator up to here are scheduled block by block
 
 
 def whole_parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, Fraction]:
@@ -114,17 +121,93 @@ def make_schedule(blocks: dict[str, int], weights: dict[str, float]) -> Schedule
     return Schedule(taken)
 
 
-def tempered_weights(sizes: dict[str, int], power: float = 0.5) -> dict[str, float]:
-    """Weights that grow slower than the sources: size to the given power."""
-    return {s: float(n) ** power for s, n in sizes.items()}
+@dataclass
+class Phase:
+    """Slots between two ends of sources: from ``start``, repeating after ``period`` slots."""
+
+    start: int
+    period: int
+    first: dict[str, int]  # each source's first block here
+    taken: dict[str, np.ndarray]  # each source's slots in a period, or in the whole phase if that is shorter
+
 
+@dataclass
+class PeriodicSchedule:
+    """The same as a ``Schedule``, from one period per phase."""
+
+    phases: list[Phase]
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, seed: int = 1) -> DataFrame:
+    def slots(self, source: str, blocks: np.ndarray) -> np.ndarray:
+        """Slots of a source's blocks, given by number."""
+        mine = [p for p in self.phases if len(p.taken.get(source, ()))]
+        which = np.searchsorted([p.first[source] for p in mine], blocks, side="right") - 1
+        found = np.zeros(len(blocks), np.int64)
+        for i in np.unique(which):
+            phase, here = mine[i], which == i
+            taken = phase.taken[source]
+            k = blocks[here] - phase.first[source]
+            found[here] = phase.start + k // len(taken) * phase.period + taken[k % len(taken)]
+        return found
+
+
+def common_parts(weights: dict[str, float | Fraction]) -> dict[str, int] | None:
+    """Weights as whole parts of their sum: of the fractions that they stand for, None if those have no short period.
+
+    A float stands for the fraction of a denominator up to LONGEST_PERIOD that it is the closest float of.
+    """
+    exact = {s: Fraction(w).limit_denominator(LONGEST_PERIOD) for s, w in weights.items()}
+    if any(float(f) != float(weights[s]) for s, f in exact.items()):
+        return None
+    scale = math.lcm(*(f.denominator for f in exact.values()))
+    whole = {s: int(f * scale) for s, f in exact.items()}
+    shared = math.gcd(*whole.values())
+    return None if sum(whole.values()) > LONGEST_PERIOD * shared else {s: w // shared for s, w in whole.items()}
+
+
+def make_periodic_schedule(blocks: dict[str, int], parts: dict[str, int]) -> PeriodicSchedule:
+    """Slots for all blocks, given whole parts; at most a period is gone through per phase, of which there are as many as sources."""
+    left = {s: n for s, n in blocks.items() if n > 0}
+    done, start, phases = dict.fromkeys(left, 0), 0, []
+    while left:
+        weighty = {s: parts[s] for s in left if parts[s]} or dict.fromkeys(left, 1)  # those of weight zero come last, alike
+        shared = math.gcd(*weighty.values())
+        size = {s: w // shared for s, w in weighty.items()}
+        period, taken, length = sum(size.values()), {s: [] for s in weighty}, None
+        for t, (s, _) in enumerate(islice(dealt(dict.fromkeys(size, period + 1), size), period)):
+            taken[s].append(t)
+            if len(taken[s]) == left[s]:
+                length = t + 1
+                break
+        if length is None:  # all go on after the first period: the first end is where a last block's slot is earliest
+            length = 1 + min((left[s] - 1) // size[s] * period + taken[s][(left[s] - 1) % size[s]] for s in size)
+        phases.append(Phase(start, period, {s: done[s] for s in size}, {s: np.array(x, np.int64) for s, x in taken.items()}))
+        for s in size:
+            n = length // period * size[s] + bisect_left(taken[s], length % period)
+            done[s], left[s] = done[s] + n, left[s] - n
+        left, start = {s: n for s, n in left.items() if n}, start + length
+    return PeriodicSchedule(phases)
+
+
+def schedule_of(blocks: dict[str, int], weights: dict[str, float | Fraction]) -> Schedule | PeriodicSchedule:
+    """Slots for all blocks of all sources, by exactly these weights."""
+    whole_parts({s: weights[s] for s in blocks})  # raises what is no weight
+    parts = common_parts({s: weights[s] for s in blocks})
+    return make_schedule(blocks, weights) if parts is None else make_periodic_schedule(blocks, parts)
+
+
+def tempered_weights(sizes: dict[str, int], power: float = 0.5) -> dict[str, Fraction]:
+    """Weights that grow slower than the sources: size to the given power, in whole parts of DENOMINATOR, one at least."""
+    grown = {s: float(n) ** power for s, n in sizes.items()}
+    total = math.fsum(grown.values())
+    return {s: Fraction(max(round(x / total * DENOMINATOR), 1), DENOMINATOR) for s, x in grown.items()}
+
+
+def mix_sources(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, block_chars: int = BLOCK_CHARS, seed: int = 1) -> DataFrame:
     """Per document: doc_id, text_hash, source, block, slot, start (characters of its source before it).
 
     A document belongs to the block in which it starts, and counts one character at least. Every document
     gets a place: nothing is repeated or left out. A null source is the source ''. Sources missing in
-    ``weights`` are an error, as are more than MOST_SOURCES; without weights they are the roots of the sizes.
+    ``weights`` are an error, as are more than MOST_SOURCES; without weights they are the roots of the sizes, in parts of 10,000.
     Rows of equal id and text follow one another. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -139,8 +222,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     targets = tempered_weights(totals) if weights is None else weights
     if missing := sorted(totals.keys() - targets.keys()):
         raise ValueError(f"no weight for {missing}")
-    schedule = make_schedule({s: n // block_chars + 1 for s, n in starts.items()}, targets)
-    shared = spark.sparkContext.broadcast(schedule)  # eight bytes per block
+    schedule = schedule_of({s: n // block_chars + 1 for s, n in starts.items()}, targets)
+    shared = spark.sparkContext.broadcast(schedule)  # a period per phase; eight bytes per block where there is no short period
 
     def place(batches):
         for batch in batches:
@@ -155,7 +238,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, block_
     return map_partition(placed, place, "doc_id long, text_hash long, source string, block long, slot long, start long")
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: dict[str, float | Fraction] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, in mixed order: ranges of slots, sorted within."""
     found = mix_sources(docs, weights, block_chars).select("doc_id", "text_hash", "slot", F.col("start").alias("_start")).withColumnRenamed("slot", "_slot")
     first = found.groupBy("doc_id", "text_hash").agg(F.min(F.struct("_slot", "_start")).alias("at")).select("doc_id", "text_hash", "at._slot", "at._start")

@@ -3,6 +3,7 @@
 import heapq
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -135,6 +136,36 @@ def test_schedule_is_earliest_deadline_first():
     assert [found[t] for t in range(len(wanted))] == wanted and len(found) == len(wanted)
 
 
+@pytest.mark.parametrize(
+    "blocks, weights",
+    [
+        ({"a": 1300, "b": 700, "c": 90, "d": 1, "e": 0}, {"a": "1/2", "b": "31/100", "c": "1/10", "d": "1/20", "e": "1/25"}),
+        ({"a": 40, "b": 7, "c": 90, "d": 33}, {"a": "1/3", "b": "1/7", "c": "1/100", "d": "2/9"}),
+        ({"a": 500, "b": 501, "c": 3}, {"a": "1/2", "b": "1/2", "c": "1/1000"}),
+        ({"a": 5000, "b": 1}, {"a": "1", "b": "1/99999"}),
+    ],
+)
+def test_a_period_places_blocks_as_slot_by_slot(blocks, weights):
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    wanted = brute_order({s: n for s, n in blocks.items() if n}, exact)
+    schedule = mixing.schedule_of(blocks, exact)
+    assert isinstance(schedule, mixing.PeriodicSchedule)
+    found = {int(t): (s, j) for s, n in blocks.items() for j, t in enumerate(schedule.slots(s, np.arange(n)))}
+    assert [found[t] for t in range(len(wanted))] == wanted and len(found) == len(wanted)
+
+
+def test_work_for_a_schedule_does_not_grow_with_the_blocks():
+    weights = {"a": 0.5, "b": 0.31, "c": 0.1, "d": 0.05, "e": 0.04}
+    schedule = mixing.schedule_of({s: 10**12 + i for i, s in enumerate(weights)}, weights)
+    assert sum(len(x) for p in schedule.phases for x in p.taken.values()) < 500
+    for s, w in weights.items():
+        at = np.array([0, 1, 10**9, 10**9 + 1, 10**10])
+        assert (np.abs(at + 1 - (schedule.slots(s, at) + 1) * w) < 1 + 1e-3).all()  # in the first phase
+    last = sorted((int(schedule.slots(s, np.array([10**12 + i - 1]))[0]), s) for i, s in enumerate(weights))
+    assert last[-1][0] == 5 * 10**12 + 10 - 1  # no slot is empty or taken twice
+    assert isinstance(mixing.schedule_of({"a": 3, "b": 3}, {"a": 0.123456789, "b": 1.0}), mixing.Schedule)
+
+
 def test_shares_deviate_by_less_than_a_block():
     parts = mixing.whole_parts({f"s{i}": (i + 1) ** 2 for i in range(20)})
     seen = Counter()
@@ -153,9 +184,10 @@ def test_shares_deviate_by_less_than_a_block():
         {"a": 1.0, "b": 1e-5},
     ],
 )
-def test_given_weights_hold_over_many_periods(weights):
+@pytest.mark.parametrize("schedule", [mixing.make_schedule, mixing.schedule_of])
+def test_given_weights_hold_over_many_periods(weights, schedule):
     slots, total = 30 * mixing.PERIOD, sum(weights.values())
-    schedule = mixing.make_schedule({s: int(slots * w / total) + 2 for s, w in weights.items()}, weights)
+    schedule = schedule({s: int(slots * w / total) + 2 for s, w in weights.items()}, weights)
     for s, w in weights.items():
         taken = schedule.slots(s, np.arange(int(slots * w / total) + 2))
         taken = taken[taken < slots]  # no source ends before
@@ -270,5 +302,5 @@ def test_pipeline_stages(spark, data):
         assert stage(spark, empty, data).count() == 0
 
 
-def test_queries_are_ten():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+def test_queries_are_thirteen():
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
