@@ -190,6 +190,8 @@ def make_periodic_schedule(blocks: dict[str, int], parts: dict[str, int]) -> Per
 
 def schedule_of(blocks: dict[str, int], weights: dict[str, float | Fraction]) -> Schedule | PeriodicSchedule:
     """Slots for all blocks of all sources, by exactly these weights."""
+    if not blocks:
+        return PeriodicSchedule([])
     whole_parts({s: weights[s] for s in blocks})  # raises what is no weight
     parts = common_parts({s: weights[s] for s in blocks})
     return make_schedule(blocks, weights) if parts is None else make_periodic_schedule(blocks, parts)
