@@ -75,10 +75,14 @@ VIEW_ORDERS = {
 }
 
 
-def ordered_view(matrix: DataFrame, order: str = "default") -> DataFrame:
+def view_order(order: str = "default") -> list[Column]:
     """One of the named orders; equal rows stay in matrix order."""
     ties = [F.desc("n_platforms"), F.asc("brand_display"), F.coalesce("volume_ml", F.lit(0)).asc(), F.asc("canonical_id")]
-    return matrix.orderBy(*VIEW_ORDERS[order](), *ties)
+    return [*VIEW_ORDERS[order](), *ties]
+
+
+def ordered_view(matrix: DataFrame, order: str = "default") -> DataFrame:
+    return matrix.orderBy(*view_order(order))
 
 
 def first_rows(view: DataFrame, count: int, skip: int = 0) -> DataFrame:

@@ -13,6 +13,7 @@ from shelfscope.operators import matrix as M
 from shelfscope.operators import resolve as R
 from shelfscope.operators import series
 from shelfscope.operators import views as V
+from shelfscope.operators.pages import read_page, write_pages
 from shelfscope.operators.similarity import similar_names, word_set
 from shelfscope.operators.sinks import MARK, published
 from shelfscope.plans import fixtures as fx
@@ -456,6 +457,22 @@ def second_page(spark, sf):
     return V.first_rows(rows, fixed.NEXT_PAGE_ROWS, fixed.FIRST_PAGE_ROWS).select("canonical_id", "display_name")
 
 
+@query(
+    "h05_pages_by_place",
+    statement(
+        f"""SELECT canonical_id, display_name, min_price, CAST(row_number() OVER (ORDER BY {ORDERS['cheap']}, n_platforms DESC, brand_display, coalesce(volume_ml, 0), canonical_id) - 1 AS BIGINT) AS place
+        FROM metrics ORDER BY place LIMIT {2 * fixed.NEXT_PAGE_ROWS} OFFSET {fixed.FIRST_PAGE_ROWS}""",
+        "metrics",
+    ),
+)
+def pages_by_place(spark, sf):
+    """The second and third page of the cheapest products, read from a view that is kept in this order."""
+    path = scratch_path(spark, "pages")
+    write_pages(V.with_metrics(matrix(spark, sf)).select("canonical_id", "display_name", "n_platforms", "brand_display", "volume_ml", "min_price"), "cheap", path)
+    pages = [read_page(spark, path, fixed.FIRST_PAGE_ROWS + i * fixed.NEXT_PAGE_ROWS, fixed.NEXT_PAGE_ROWS) for i in (0, 1)]
+    return pages[0].unionByName(pages[1]).select("canonical_id", "display_name", "min_price", "place")
+
+
 @query(
     "h03_shops_by_price",
     statement(

@@ -240,6 +240,22 @@ def quick_commerce(spark, sf):
     WHERE page_id % 7 <> 3""",
 )
 def page_state(spark, sf):
+    return _page_products(spark, sf, F.lit(False))
+
+
+@query(
+    "b02_pages_with_odd_fields",
+    """SELECT page_id, CAST(c AS BIGINT) * 2 + i AS pos, CAST(page_id AS VARCHAR) || '-' || CAST(c AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS product_id,
+    'Cerveza ' || split_part(url, '/', 3) AS name, CASE WHEN NOT (page_id % 5 = 0 AND c = 0 AND i = 1) THEN CAST(length(html) + i AS DOUBLE) END AS price
+    FROM pages, (VALUES (0), (1)) a(c), (VALUES (0), (1)) b(i)
+    WHERE page_id % 7 <> 3""",
+)
+def page_state_with_odd_fields(spark, sf):
+    """A price that is no number costs that price and nothing else."""
+    return _page_products(spark, sf, F.col("page_id") % 5 == 0)
+
+
+def _page_products(spark, sf, odd):
     pages = fx.table(spark, sf, "pages")
 
     def product(c, i):
@@ -255,9 +271,9 @@ def page_state(spark, sf):
     entry = F.struct(F.struct(F.struct(components.alias("components")).alias("data")).alias("aisle_detail_response"))
     node = F.concat(F.lit("storefront/"), F.col("page_id").cast("string"))
     state = F.struct(F.struct(F.struct(F.create_map(node, entry, F.lit("other"), entry).alias("fallback")).alias("pageProps")).alias("props"))
-    script = F.concat(
-        F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(state), F.lit("</script><script></script>")
-    )
+    text = F.to_json(state)
+    text = F.when(odd, F.regexp_replace(text, r'("product_id":"[^"]*-0-1","name":"[^"]*","price":)[0-9.E]+', '$1"n/a"')).otherwise(text)
+    script = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), text, F.lit("</script><script></script>"))
     full = pages.select(
         "page_id",
         F.when(F.col("page_id") % 7 != 3, F.concat("html", script)).otherwise(F.col("html")).alias("html"),

@@ -42,7 +42,7 @@ MANIFEST_DDL = (
 
 STORES_DDL = (
     "reference_address string, stores array<struct<platform:string,external_store_id:string,"
-    "store_name:string,direccion:string,active:boolean,config:map<string,string>>>"
+    "store_name:string,direccion:string,active:boolean,config:variant>>"
 )
 
 OBSERVATION_DDL = (
@@ -64,11 +64,6 @@ STOREFRONT_PRODUCT = (
     "attributes:struct<beer_color:string,beer_style:string,abv:double,is_zero_alcohol:boolean,"
     "beer_origin:string>>"
 )
-STOREFRONT_PAGE_DDL = (
-    "props struct<pageProps:struct<fallback:map<string,struct<aisle_detail_response:struct<"
-    f"data:struct<components:array<struct<resource:struct<products:array<{STOREFRONT_PRODUCT}>>>>>>>>>>"
-)
-
 _TEASER = "struct<Name:string,`<Name>k__BackingField`:string>"
 CATALOG_DDL = (
     "productId string, productName string, brand string, items array<struct<itemId:string,"

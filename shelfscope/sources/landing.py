@@ -236,6 +236,11 @@ def read_stores(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def store_setting(path: str, kind: str = "string") -> Column:
+    """A value of a store's own settings, null where it is missing or of another type."""
+    return F.try_variant_get("config", path, kind)
+
+
 def active_stores(stores: DataFrame, platforms: list[str] | None = None) -> DataFrame:
     """Stores not switched off, of the wanted platforms if any are given."""
     rows = stores.filter(F.coalesce("active", F.lit(True)))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shelfscope import fixed_values as fixed
 from shelfscope.functions import text as T
@@ -20,7 +21,7 @@ from shelfscope.schemas import (
     PRODUCT_FIELDS,
     QUICK_COMMERCE_DDL,
     SEARCH_DDL,
-    STOREFRONT_PAGE_DDL,
+    STOREFRONT_PRODUCT,
     struct_of,
 )
 
@@ -232,19 +233,29 @@ def embedded_page(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, fixed.EMBEDDED_JSON, 1), F.lit(""))
 
 
+def lenient(value: Column, kind: StructType, path: str = "$") -> Column:
+    """Fields of a variant by a schema, each by itself: one of another type than declared is null, and the others stay."""
+    fields = []
+    for f in kind:
+        inner = f"{path}.{f.name}"
+        nested = isinstance(f.dataType, StructType)
+        fields.append((lenient(value, f.dataType, inner) if nested else F.try_variant_get(value, inner, f.dataType.simpleString())).alias(f.name))
+    return F.struct(*fields)
+
+
 def storefront_page_products(df: DataFrame, html: str, node: Column) -> DataFrame:
     """Products in the page state of each page: one row per product, column ``payload``.
 
-    ``node`` names the page's own entry of the state (store and aisle).
+    ``node`` names the page's own entry of the state (store and aisle). The state is read as it comes: a field or a
+    component of another type than expected is left out, the page's other products stay.
     """
     keys = [c for c in df.columns if c != html]
-    state = F.from_json(embedded_page(F.col(html)), struct_of(STOREFRONT_PAGE_DDL))
-    entry = F.try_element_at(F.col("_state")["props"]["pageProps"]["fallback"], node)
-    lists = F.transform(
-        entry["aisle_detail_response"]["data"]["components"], lambda c: c["resource"]["products"]
-    )
+    nodes = F.try_variant_get(F.try_parse_json(embedded_page(F.col(html))), "$.props.pageProps.fallback", "map<string,variant>")
+    components = F.try_variant_get(F.try_element_at(nodes, node), "$.aisle_detail_response.data.components", "array<variant>")
+    lists = F.transform(components, lambda c: F.try_variant_get(c, "$.resource.products", "array<variant>"))
     products = F.flatten(F.filter(lists, lambda x: x.isNotNull()))
-    return T.computed_once(df, {"_state": state}).select(*keys, F.posexplode(products).alias("pos", "payload"))
+    each = T.computed_once(df, {"_products": products}).select(*keys, F.posexplode("_products").alias("pos", "_product"))
+    return each.select(*keys, "pos", lenient(F.col("_product"), struct_of(f"p {STOREFRONT_PRODUCT}")["p"].dataType).alias("payload"))
 
 
 def build_id(html: Column) -> Column:
