@@ -4,6 +4,9 @@ A filter position holds one bit per language. Inserting an n-gram sets its langu
 its hash positions; looking it up ands the masks there, which gives all languages that may
 contain it in one step. A text's n-grams are counted per language, the counts are corrected
 for each language's false-positive rate, and the largest corrected count decides.
+
+A language's n-grams are those that two of its texts hold, unless another language has them far more
+often: quotations and names then don't fill every language's filter as the data grow.
 """
 
 from __future__ import annotations
@@ -15,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfscope.llm.common import id_remainder, map_partition, texts_of
+from shelfscope.session import cut_lineage
 
 ORDERS = (2, 3)  # characters in an n-gram
 HASHES = 3
 BITS_PER_GRAM = 12
 MAX_LANGUAGES = 64  # bits of a mask
-MIN_SHARE = 0.02  # of a language's texts that must hold an n-gram; bounds the filter by n-grams per text / MIN_SHARE
+MIN_TEXTS = 2  # of a language that must hold an n-gram, whatever its size
+MIN_RATE = 0.1  # least share of a language's texts that hold an n-gram, against the largest such share of any language
+POSITIONS = 1 << 22  # at most, 32 MB; more n-grams than fit well make more false positives, which the counts are corrected for
 FLUSH = 1 << 20  # distinct n-grams that a task counts before it hands them on
 UNKNOWN = "und"
 
@@ -53,12 +59,16 @@ class LanguageFilter:
 
     @staticmethod
     def build(grams: dict[str, np.ndarray]) -> LanguageFilter:
+        """Filter over the n-gram hashes of each language."""
         languages = sorted(grams)
-        most = max((len(x) for x in grams.values()), default=0)
-        masks = np.zeros(1 << max(10, int(np.ceil(np.log2(max(1, most * BITS_PER_GRAM))))), np.uint64)
+        masks = np.zeros(filter_size(max((len(x) for x in grams.values()), default=0)), np.uint64)
         for bit, language in enumerate(languages):
             for at in _positions(grams[language], len(masks)):
                 masks[at] |= np.uint64(1 << bit)  # one language at a time: a repeated position gets the same bit
+        return LanguageFilter.of(languages, masks)
+
+    @staticmethod
+    def of(languages: list[str], masks: np.ndarray) -> LanguageFilter:
         full = np.array([float(((masks >> np.uint64(b)) & np.uint64(1)).mean()) for b in range(len(languages))])
         return LanguageFilter(languages, masks, full**HASHES)
 
@@ -78,21 +88,54 @@ class LanguageFilter:
         return self.languages[best], float(true[best] / true.sum()) if true.any() else 0.0
 
 
+def filter_size(most: int) -> int:
+    """Positions for ``most`` n-grams in one language: a power of two."""
+    return min(POSITIONS, 1 << max(10, int(np.ceil(np.log2(max(1, most * BITS_PER_GRAM))))))
+
+
 def _positions(h: np.ndarray, size: int):
     step = (h >> np.uint64(40)) | np.uint64(1)
     for k in range(HASHES):
         yield ((h + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64)
 
 
-def learn_languages(known: DataFrame, min_share: float = MIN_SHARE) -> LanguageFilter:
-    """Filter over the n-grams that at least ``min_share`` of a language's texts hold.
+def learn_languages(known: DataFrame, min_texts: int = MIN_TEXTS, min_rate: float = MIN_RATE) -> LanguageFilter:
+    """Filter over each language's n-grams: see ``language_grams``.
 
-    ``known`` has lang and text without nulls. Texts per n-gram are counted on executors, over all rows.
+    The filter's words are put together on executors; the driver gets POSITIONS of them at most, whatever the data.
     More than MAX_LANGUAGES languages are an error.
     """
+    texts = texts_by_language(known)
+    languages = sorted(texts)
+    grams = cut_lineage(language_grams(known, texts, min_texts, min_rate))
+    size = filter_size(max((r.n for r in grams.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()), default=0))
+
+    def set_bits(batches):
+        for batch in batches:
+            at = np.concatenate(list(_positions(batch.column("gram").to_numpy().view(np.uint64), size)))
+            bits = np.array([1 << languages.index(x) for x in batch.column("lang").to_pylist()], np.uint64)
+            yield {"at": at, "mask": np.tile(bits, HASHES).view(np.int64)}
+
+    masks = np.zeros(size, np.uint64)
+    words = map_partition(grams.select("lang", "gram"), set_bits, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow()
+    masks[words.column("at").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return LanguageFilter.of(languages, masks)
+
+
+def texts_by_language(known: DataFrame) -> dict[str, int]:
     texts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(texts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    return texts
+
+
+def language_grams(known: DataFrame, texts: dict[str, int], min_texts: int = MIN_TEXTS, min_rate: float = MIN_RATE) -> DataFrame:
+    """lang, gram: n-grams that ``min_texts`` texts of the language hold, and at least ``min_rate`` times the share of its
+    texts that holds them in the language where that share is largest.
+
+    ``known`` has lang and text without nulls; ``texts`` are its languages' numbers of texts. Texts per n-gram are
+    counted on executors, over all rows.
+    """
 
     def count(batches):
         held, size = {}, 0
@@ -116,13 +159,12 @@ def learn_languages(known: DataFrame, min_share: float = MIN_SHARE) -> LanguageF
         yield from flush()
 
     counted = map_partition(known.select("lang", "text"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = {k: max(1, int(np.ceil(min_share * n))) for k, n in texts.items()}
-    keep = F.lit(False)
-    for lang, n in least.items():
-        keep = keep | ((F.col("lang") == F.lit(lang)) & (F.col("n") >= n))
-    found = counted.filter(keep).select("lang", "gram").toArrow()
-    langs, grams = np.array(found.column("lang").to_pylist(), dtype=object), found.column("gram").to_numpy()
-    return LanguageFilter.build({k: np.sort(grams[langs == k]).view(np.uint64) for k in texts})
+    total = F.lit(None)
+    for lang, n in texts.items():
+        total = F.when(F.col("lang") == F.lit(lang), F.lit(n)).otherwise(total)
+    each = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", "n", (F.col("n") / total).alias("rate"))).alias("held"))  # as long as the languages
+    usual = F.filter("held", lambda x: (x.n >= min_texts) & (x.rate >= min_rate * F.array_max("held.rate")))
+    return each.select("gram", F.explode(usual).alias("x")).select("x.lang", "gram")
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +177,12 @@ def identify_languages(docs: DataFrame, held_out_of: int = 3, held_out: int = 1)
 
     Learns from rows with an id, a text and a language whose id's checksum isn't in the held-out class.
     Every row is predicted from its whole text alone; null and letterless texts, and all if nothing was
-    learned, are UNKNOWN with score 0. Repeated rows get equal results.
+    learned, are UNKNOWN with score 0. Ties go to the first language by name. Repeated rows get equal results;
+    further columns are ignored.
     """
     rest = id_remainder(F.col("doc_id"), held_out_of)
     learned = learn_languages(docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (rest != held_out)))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(learned)  # at most n-grams per text / MIN_SHARE positions, see above
+    shared = docs.sparkSession.sparkContext.broadcast(learned)  # at most POSITIONS words
 
     def predict(batches):
         model = shared.value

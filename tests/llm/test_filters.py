@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfscope.llm import decontam, licenses, queries, secrets
+from shelfscope.llm import decontam, langid, licenses, queries, secrets
 from shelfscope.llm.common import table
-from shelfscope.llm.langid import LanguageFilter, gram_hashes, identify_languages
+from shelfscope.llm.langid import LanguageFilter, gram_hashes, identify_languages, language_grams, learn_languages, texts_by_language
 from shelfscope.llm.ranking import ACCEPTED, accepted_documents, classify_quality, fit_ranking
 from shelfscope.llm.rules import COUNTS, STATISTICS, fit_forest, quality_rules, rule_counts
 
@@ -60,6 +60,54 @@ def test_filter_returns_every_language_of_an_inserted_gram():
     assert (model.wrong < 0.01).all()
 
 
+def test_language_grams_and_counts_against_exact_sets(spark, data):
+    known = table(spark, data, "documents").filter("text is not null and lang is not null")
+    rows = [(r.lang, (r.text or "").lower()) for r in known.select("lang", "text").collect()]
+    grams_of = lambda t: [t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)]
+    texts, held = Counter(x for x, _ in rows), {}
+    for lang, text in rows:
+        for g in set(grams_of(text)):
+            held.setdefault(g, Counter())[lang] += 1
+    exact = {x: set() for x in texts}
+    for g, n in held.items():
+        most = max(n[x] / texts[x] for x in n)
+        for x in n:
+            if n[x] >= 2 and n[x] / texts[x] >= 0.1 * most:
+                exact[x].add(g)
+    found = Counter(r.lang for r in language_grams(known, texts_by_language(known)).collect())
+    assert found == {x: len(s) for x, s in exact.items()}
+    model = learn_languages(known)
+    for _, text in rows[:60]:
+        counts = {x: sum(g in exact[x] for g in grams_of(text)) for x in model.languages}
+        if text and max(counts.values()) > sorted(counts.values())[-2] + 0.01 * len(text):
+            assert model.predict(text)[0] == max(counts, key=counts.get)
+
+
+def test_full_filter_still_decides_by_corrected_counts():
+    rng = np.random.default_rng(3)
+    own = {x: rng.integers(0, 1 << 63, 4000).astype(np.uint64) for x in "abc"}
+    masks = np.zeros(1 << 13, np.uint64)  # three of four positions are taken in each language
+    for bit, x in enumerate("abc"):
+        for at in langid._positions(own[x], len(masks)):
+            masks[at] |= np.uint64(1 << bit)
+    model = LanguageFilter.of(list("abc"), masks)
+    assert (model.wrong > 0.3).all() and langid.filter_size(1 << 40) == langid.POSITIONS
+    for x in "abc":
+        hit = np.bitwise_and.reduce([masks[at] for at in langid._positions(own[x], len(masks))])
+        count = np.array([np.count_nonzero(hit & np.uint64(1 << b)) for b in range(3)])
+        true = (count - 4000 * model.wrong) / (1 - model.wrong)
+        assert abs(true["abc".index(x)] - 4000) < 1 and sorted(true)[-2] < 400
+
+
+def test_language_of_rare_grams_is_kept_and_foreign_ones_are_not(spark):
+    word = lambda i: "".join(chr(0x4E00 + (i * 37 + k * 411) % 9000) for k in range(6))
+    rows = [("zh", word(i) + word(i + 1)) for i in range(400)] + [("en", f"the cat number {i} sat on the mat") for i in range(400)]
+    rows += [("zh", "the cat number 7 sat")] * 3  # English among the Chinese texts
+    model = learn_languages(spark.createDataFrame(rows, "lang string, text string"))
+    assert all(model.predict(word(i))[0] == "zh" for i in range(1, 400))  # each n-gram is in two texts of 403
+    assert model.predict("the cat sat on the mat") == ("en", 1.0)
+
+
 def test_languages_of_odd_rows(spark, odd, nothing):
     more = spark.createDataFrame([(i, "lorem ipsum same no id here", "en", *[None] * 5) for i in range(50, 60)], DOCS)
     found = {(r.doc_id, r.lang_pred) for r in identify_languages(odd.union(more)).collect()}
