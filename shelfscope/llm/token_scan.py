@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfscope.llm.common import if_small, map_batches, map_partition, texts_of
-from shelfscope.llm.tokens import encoder, read_id_files, write_id_files
+from shelfscope.llm.tokens import encoder, read_id_files, width_for, write_id_files
 from shelfscope.session import cut_lineage, scratch_path
 
 END = 0  # in the files of this module the tokenizer's ids are raised by one, and 0 ends a document
@@ -23,6 +23,11 @@ BLOCK_IDS = 1 << 20
 NAME = "<Hq"  # whether there is a doc_id, the doc_id; the files' end id follows
 
 
+def flat_width(vocabulary: int) -> int:
+    """Bytes of an id in these files: there is one more id than in the vocabulary."""
+    return width_for(vocabulary + 1)
+
+
 def write_flat_files(docs: DataFrame, tokenizer: str, folder: str) -> None:
     """Flat id files of all texts as the rows come, without a shuffle; null texts are empty.
 
@@ -35,7 +40,7 @@ def write_flat_files(docs: DataFrame, tokenizer: str, folder: str) -> None:
         one = encoder(tokenizer)
         kinds, values = [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-            raised = np.frombuffer(one(text), f"<u{one.width}") + np.array(1, f"<u{one.width}")
+            raised = np.frombuffer(one(text), f"<u{one.width}").astype(f"<u{flat_width(one.size)}") + 1
             kinds += ["ids", "names"]
             values += [raised.tobytes(), struct.pack(NAME, doc_id is not None, doc_id or 0)]
         return {"kind": kinds, "ids": values}
@@ -45,7 +50,7 @@ def write_flat_files(docs: DataFrame, tokenizer: str, folder: str) -> None:
     before = spark.conf.get(setting)
     spark.conf.set(setting, "4")
     try:
-        write_id_files(rows, folder, END, encoder(tokenizer).width, by="kind")
+        write_id_files(rows, folder, END, flat_width(encoder(tokenizer).size), by="kind")
     finally:
         spark.conf.set(setting, before)
 
@@ -131,7 +136,7 @@ def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     tokens. Places follow the rows as Spark reads them. Further columns are ignored.
     """
     spark = docs.sparkSession
-    folder, width = scratch_path(spark, "flat"), encoder(tokenizer).width
+    folder, width = scratch_path(spark, "flat"), flat_width(encoder(tokenizer).size)
     write_flat_files(docs, tokenizer, folder)
     scanned = scan_ends(spark, f"{folder}/kind=ids", END, width)
     return read_names(spark, folder, width).join(scanned, "doc_no").select("doc_id", "doc_no", "start", "n_tokens")

@@ -46,7 +46,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             set_up = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.size = self.tokenizer.get_vocab_size()
+        self.code = {2: "H", 4: "I"}[width_for(self.size)]
         self.width = array(self.code).itemsize
         self.special = [t["content"] for t in set_up["added_tokens"]]
         kinds = [n.get("type") for n in (set_up.get("normalizer") or {}).get("normalizers", [])]
@@ -100,6 +101,11 @@ class _Chunks(dict):
         return found
 
 
+def width_for(ids: int) -> int:
+    """Bytes of an id where there are so many: two, or four."""
+    return 2 if ids <= 1 << 16 else 4
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary file."""

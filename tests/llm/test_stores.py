@@ -16,7 +16,7 @@ from shelfscope.llm import dart_minhash as darts
 from shelfscope.llm import mixing, token_scan, token_store
 from shelfscope.llm.common import running_position, table
 from shelfscope.llm.queries import END_ID, QUERIES, TOKENIZER
-from shelfscope.llm.tokens import encoder, write_id_files
+from shelfscope.llm.tokens import encoder, width_for, write_id_files
 from shelfscope.session import cut_lineage, scratch_path
 
 HARD = [
@@ -48,6 +48,11 @@ def test_encoding_equals_the_library(spark, data, name):
         assert np.frombuffer(mine(text), f"<u{mine.width}").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_width_has_room_for_the_end_id():
+    assert [token_scan.flat_width(n) for n in (49_408, (1 << 16) - 1, 1 << 16, (1 << 16) + 1)] == [2, 2, 4, 4]
+    assert [width_for(n) for n in (1 << 16, (1 << 16) + 1)] == [2, 4]
+
+
 def test_store_round_trip(rows, docs):
     found = token_store.store_digest(token_store.write_store(docs, TOKENIZER, END_ID), token_store.document_keys(docs)).collect()
     ids = [(i, whole(t) + [END_ID]) for i, t in rows]
