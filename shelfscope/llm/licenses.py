@@ -30,8 +30,12 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("0BSD", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
@@ -50,6 +54,15 @@ NOTICES = (
     ("GPL-3.0", "GNU General Public License, version 3"),
     ("GPL-3.0", "GNU General Public License as published by the Free Software Foundation, either version 3"),
     ("GPL-3.0", "under the GPLv3"),
+    ("GPL-2.0", "GNU GPL v2"),
+    ("GPL-3.0", "GNU GPL v3"),
+    ("GPL-3.0", "GNU GPL version 3"),
+    ("LGPL-2.1", "GNU LGPL v2.1"),
+    ("LGPL-2.1", "GNU LGPL version 2.1"),
+    ("LGPL-3.0", "GNU LGPL v3"),
+    ("LGPL-3.0", "GNU LGPL version 3"),
+    ("LGPL-3.0", "under the LGPLv3"),
+    ("AGPL-3.0", "GNU AGPL v3"),
     ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
     ("LGPL-2.1", "GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"),
     ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
@@ -57,16 +70,24 @@ NOTICES = (
     ("AGPL-3.0", "GNU Affero General Public License, version 3"),
     ("AGPL-3.0", "GNU Affero General Public License as published by the Free Software Foundation, either version 3"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD", "under the BSD license"),
+    ("BSD", "under a BSD license"),
     ("BSD-2-Clause", "BSD 2-Clause License"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
     ("ISC", "under the ISC License"),
+    ("BSL-1.0", "Boost Software License Version 1.0"),
+    ("Zlib", "under the zlib License"),
     ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
     ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
     *((name, f"SPDX-License-Identifier: {name}") for name in ("Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense")),
 )
+# A licence is not taken where a text also declares one that goes with the same words and says more.
+YIELDS = {"BSD": ("BSD-2-Clause", "BSD-3-Clause"), "BSD-2-Clause": ("BSD-3-Clause",), "0BSD": ("ISC",)}
+LAST = "Proprietary"  # its phrase stands in many texts of other licences, and yields to all of them
 FILE_NAMES = ("license", "licence", "copying", "notice")  # names of licence files, before any ending
 LEAST_COSINE = 0.7
+STRETCH = 1_024  # terms of a text whose windows are found at a time: bounds a row, however long the text
 SALTS = 16  # parts into which the documents of a directory are dealt
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # terms are what lies between, A-Z as small letters
@@ -140,13 +161,19 @@ def windows(rows: DataFrame, weights: dict[str, float], least: float) -> DataFra
     needed = {n: _array(needed_terms(weights, least, phrases)) for n, phrases in by_length.items()}
     any_needed = _array(needed_terms(weights, least, WINDOW_TERMS))
     texts = computed_once(rows, {"terms": terms_of(F.col("text"))}).filter(F.arrays_overlap("terms", any_needed)).select("path", "text_hash", "terms")
+    # each stretch goes on so far that it holds all windows that start in its first terms
+    cut = lambda k: F.struct(k.alias("first"), F.slice("terms", k + 1, F.lit(STRETCH + max(by_length) - 1)).alias("terms"))
+    stretches = F.transform(F.sequence(F.lit(0), F.size("terms") - 1, F.lit(STRETCH)), cut)
+    texts = texts.select("path", "text_hash", F.explode(stretches).alias("s")).select("path", "text_hash", "s.*").filter(F.arrays_overlap("terms", any_needed))
     numbered = F.transform("terms", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
     texts = computed_once(texts, {"hits": F.filter(numbered, lambda x: F.array_contains(any_needed, x.t))})
 
     def runs(n: int) -> Column:
-        last = F.greatest(F.size("terms") - n, F.lit(0))
-        around = F.transform(F.filter("hits", lambda x: F.array_contains(needed[n], x.t)), lambda x: F.sequence(F.greatest(x.i - (n - 1), F.lit(0)), F.least(x.i, last)))
-        found = F.transform(F.array_distinct(F.flatten(around)), lambda i: F.struct(F.lit(n).alias("length"), i.alias("line"), F.slice("terms", i + 1, n).alias("terms")))
+        last = F.least(F.when(F.col("first") == 0, F.greatest(F.size("terms") - n, F.lit(0))).otherwise(F.size("terms") - n), F.lit(STRETCH - 1))
+        start = lambda x: F.greatest(x.i - (n - 1), F.lit(0))
+        near = F.filter("hits", lambda x: F.array_contains(needed[n], x.t) & (start(x) <= last))
+        around = F.transform(near, lambda x: F.sequence(start(x), F.least(x.i, last)))
+        found = F.transform(F.array_distinct(F.flatten(around)), lambda i: F.struct(F.lit(n).alias("length"), (F.col("first") + i).alias("line"), F.slice("terms", i + 1, n).alias("terms")))
         keys = {tuple(sorted(key_terms(*phrase))) for phrase in by_length[n]}
         if () in keys:
             return found
@@ -160,8 +187,9 @@ def own_licenses(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """path, text_hash, license, cosine, whole: the best licence of every document that declares one.
 
     ``docs`` has path and text; rows of equal path and text are one. Lines and files are compared with TEMPLATES,
-    windows with the phrases of their length whose key terms they hold. Ties go to the first licence by name,
-    cosines being rounded to nine digits.
+    windows with the phrases of their length whose key terms they hold. The highest cosine decides among the
+    licences that don't yield to another one found (YIELDS, LAST); ties go to the first licence by name, cosines being
+    rounded to nine digits.
     """
     spark = docs.sparkSession
     weights, unknown = term_weights(docs)
@@ -196,15 +224,28 @@ def own_licenses(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     same = F.col("path").eqNullSafe(F.col("p")) & (F.col("text_hash") == F.col("h")) & (F.col("length") == F.col("n")) & (F.col("line") == F.col("l"))
     both = dots.join(norms.toDF("p", "h", "n", "l", "norm"), same)
     scored = both.select("path", "text_hash", "line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).filter(F.col("cosine") >= least)
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), "license", F.col("line").alias("line"))).alias("b")
-    return scored.groupBy("path", "text_hash").agg(best).select("path", "text_hash", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    each = scored.groupBy("path", "text_hash", "license").agg(F.max("cosine").alias("cosine"))
+    found = F.collect_list(F.struct((-F.col("cosine")).alias("c"), "license")).alias("found")  # as long as the licences
+    return each.groupBy("path", "text_hash").agg(found).select("path", "text_hash", best("found").alias("b")).select("path", "text_hash", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+
+
+def best(found: str) -> Column:
+    """The best of an array of (c, license), c being the cosine below 0, after those that yield to another one of it."""
+    names = F.col(f"{found}.license")
+    yields = lambda x: F.greatest(
+        (x.license == LAST) & (F.size(F.array_remove(names, LAST)) > 0),
+        *[(x.license == less) & F.arrays_overlap(names, _array(more)) for less, more in YIELDS.items()],
+    )
+    return F.array_min(F.filter(found, lambda x: ~yields(x)))
 
 
 def directory_licenses(own: DataFrame) -> DataFrame:
-    """dir, license: what the licence files of a directory say; the highest cosine, then the first name."""
+    """dir, license: what the licence files of a directory say, as if they were one text: see ``own_licenses``."""
     name = F.lower(F.regexp_extract("path", r"([^/.]*)[^/]*$", 1))
     files = own.filter(name.isin(*FILE_NAMES)).withColumn("dir", directory("path"))
-    return files.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("dir", F.col("b.license").alias("license"))
+    each = files.groupBy("dir", "license").agg(F.max("cosine").alias("cosine"))
+    found = F.collect_list(F.struct((-F.col("cosine")).alias("c"), "license")).alias("found")
+    return each.groupBy("dir").agg(found).select("dir", best("found").license.alias("license"))
 
 
 def directory(path: str) -> Column:
@@ -226,7 +267,7 @@ def scan_licenses(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     origin is 'own' for a licence declared in the text, 'inherited' for that of the nearest directory at or
     above the document's that has a licence file with a licence, 'none' otherwise (license null). Null texts
     are empty; documents without a path inherit nothing; repeated rows get equal results; further columns
-    are ignored.
+    are ignored; whole texts are searched, however long.
     """
     docs = docs.select("doc_id", "path", "text")
     own = cut_lineage(own_licenses(docs, least))
@@ -267,6 +308,8 @@ def oracle(least: float = LEAST_COSINE) -> str:
     """The scan of documents under derived paths as DuckDB SQL."""
     phrases = ", ".join(f"({no}, '{name}', '{' '.join(terms)}')" for no, (name, terms) in enumerate(TEMPLATE_TERMS))
     names = ", ".join(f"'{n}'" for n in FILE_NAMES)
+    others = sorted({name for name, _ in WINDOW_TERMS} - {LAST})
+    pairs = ", ".join(f"('{less}', '{more}')" for less, all_more in [*YIELDS.items(), (LAST, others)] for more in all_more)
     words = f"list_filter(regexp_split_to_array(translate({{}}, '{CAPITALS}', '{CAPITALS.lower()}'), '{SEPARATOR}'), lambda x: x <> '')"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {PATH_SQL} AS path, coalesce(text, '') AS text FROM documents),
@@ -281,8 +324,12 @@ c AS (SELECT rn, line, term, count(*) AS n FROM (SELECT rn, line, unnest({words.
 x AS (SELECT rn, line, term, n * coalesce(weight, ln(1 + (SELECT count(*) FROM d)) + 1) AS x FROM c LEFT JOIN w USING (term)),
 n AS (SELECT rn, line, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
 s AS (SELECT rn, license, round(sum(x * part) / any_value(norm), 9) AS cosine FROM x JOIN tn USING (term) JOIN n USING (rn, line) GROUP BY rn, line, no, license),
-o AS (SELECT rn, license, cosine FROM s WHERE cosine >= {least} QUALIFY row_number() OVER (PARTITION BY rn ORDER BY cosine DESC, license) = 1),
-f AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license FROM o JOIN d USING (rn) WHERE lower(regexp_extract(path, '([^/.]*)[^/]*$', 1)) IN ({names})
+y AS (SELECT * FROM (VALUES {pairs}) v(less, more)),
+o AS (SELECT rn, license, cosine FROM s WHERE cosine >= {least}
+  AND NOT EXISTS (SELECT 1 FROM s t JOIN y ON t.license = y.more WHERE t.cosine >= {least} AND t.rn = s.rn AND y.less = s.license)
+  QUALIFY row_number() OVER (PARTITION BY rn ORDER BY cosine DESC, license) = 1),
+e AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, license, cosine FROM o JOIN d USING (rn) WHERE lower(regexp_extract(path, '([^/.]*)[^/]*$', 1)) IN ({names})),
+f AS (SELECT dir, license FROM e WHERE NOT EXISTS (SELECT 1 FROM e t JOIN y ON t.license = y.more WHERE t.dir = e.dir AND y.less = e.license)
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) = 1),
 a AS (SELECT d.rn, f.dir, f.license FROM d JOIN f ON starts_with(d.path, f.dir || '/') QUALIFY row_number() OVER (PARTITION BY d.rn ORDER BY length(f.dir) DESC) = 1)
 SELECT doc_id, path, coalesce(o.license, a.license) AS license,

@@ -291,6 +291,42 @@ def test_licenses_are_inherited_from_the_nearest_directory(spark, nothing):
     assert licenses.scan_licenses(nothing.withColumn("path", F.lit("p/q"))).count() == 0
 
 
+BSD = """Copyright (c) 2020, Foo
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
+ZLIB = """Copyright (c) 2020 Foo
+
+This software is provided 'as-is', without any express or implied warranty. In
+no event will the authors be held liable for any damages arising from the use of
+this software.
+
+Permission is granted to anyone to use this software for any purpose, including
+commercial applications, and to alter it and redistribute it freely, subject to
+the following restrictions:
+"""
+ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS."""
+
 DECLARED = [
     ("Apache-2.0", "// Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with it"),
     ("Apache-2.0", "# Some tool. It is licensed under the Apache\n# License, Version 2.0 since long ago"),
@@ -302,6 +338,17 @@ DECLARED = [
     ("GPL-2.0", " * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version 2 of the License, or later"),
     ("LGPL-3.0", "under the GNU Lesser General Public License, version 3, and so on and so forth"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause and then some code"),
+    ("BSD-2-Clause", BSD),
+    ("BSD-3-Clause", BSD + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"),
+    ("BSD", "available under a BSD license. All rights reserved."),
+    ("BSL-1.0", BOOST),
+    ("Zlib", ZLIB),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.\n\n" + ISC_END),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\n" + ISC_END),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\nCopyright Foo, all rights reserved."),
+    ("LGPL-3.0", "It may be copied under the GNU LGPL v3 or later."),
+    ("LGPL-2.1", "GNU LGPL v2.1"),
+    ("GPL-2.0", "distributed under the GNU GPL v2 only"),
     (None, "SPDX-License-Identifier: Zlib"),
     (None, "MIT " * 9),
     (None, "a licensed driver may not use this file, version 2, under the bridge; the rights of all are reserved elsewhere for the public"),
@@ -316,6 +363,34 @@ def test_licenses_declared_across_lines_and_within_them(spark, data):
     assert set(found.values()) == {None}
 
 
+def test_license_files_of_whole_texts_long_texts_and_ties(spark):
+    long, full = "plain prose words " * 100_000, "a copy of the software " * 2_000
+    rows = [
+        (1, "a/LICENSE", BSD), (2, "b/LICENSE", BOOST), (3, "c/COPYING", ZLIB), (4, "d/LICENSE", "Licensed under the MIT license."), (5, "d/NOTICE", "All rights reserved."),
+        *((10 + i, f"{x}/y.txt", "plain") for i, x in enumerate("abcd")), (19, "g.txt", full + "is under the\nMIT\nlicense, " + full), (20, "e.txt", long + "\nReleased under the MIT License.\n" + long),
+        (21, "f.txt", "Licensed under CC BY-SA 4.0\nLicensed under CC BY 4.0"), (21, "f.txt", "Licensed under CC BY 4.0\nLicensed under CC BY-SA 4.0"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    found = Counter((r.doc_id, r.license) for r in licenses.scan_licenses(docs).collect())
+    names = ["BSD-2-Clause", "BSL-1.0", "Zlib", "MIT"]
+    wanted = [(i + 1, x) for i, x in enumerate(names)] + [(5, "Proprietary"), (19, "MIT"), (20, "MIT"), (21, "CC-BY-4.0"), (21, "CC-BY-4.0")]
+    assert found == Counter(wanted + [(10 + i, x) for i, x in enumerate(names)])
+
+
+def test_windows_of_stretches_are_those_of_whole_texts(spark, monkeypatch):
+    texts = [BSD, ZLIB, "of " * 9 + "the MIT license", "MIT", "under the MIT license " * 7, ISC_END + "\n" + BOOST]
+    rows = spark.createDataFrame([(str(i), i, t) for i, t in enumerate(texts)], "path string, text_hash long, text string")
+    weights = {t: 1.0 + len(t) / 10 for t in licenses.WINDOW_VOCABULARY}
+    found = []
+    for size in (1 << 20, 10, 1):
+        monkeypatch.setattr(licenses, "STRETCH", size)
+        found.append(Counter((r.path, r.length, r.line, tuple(r.terms)) for r in licenses.windows(rows, weights, 0.7).collect()))
+    assert found[0] and found[1] == found[0] == found[2] and max(found[0].values()) == 1
+    for (path, length, line, terms), _ in found[0].items():
+        words = licenses._terms(texts[int(path)])
+        assert list(terms) == words[line : line + length]
+
+
 @pytest.mark.parametrize("key", queries.ORACLES)
 def test_statement(spark, data, key):
     from compare import connect, difference
