@@ -134,6 +134,32 @@ def test_ranking_learns_order_and_needs_both_labels():
     assert (fit_ranking(x[:0], label[:0]).scores(x) == ACCEPTED).all()
 
 
+def test_ranking_against_plain_gradient_steps():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 15))
+    label = (x[:, 0] - 0.7 * x[:, 1] + 0.8 * rng.normal(size=120) > 0).astype(int)
+    model = fit_ranking(x, label, pairs=600)
+    order = np.lexsort((label, *x.T))
+    x, label = x[order], label[order]
+    z = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -6, 6)
+    z = np.hstack([z, z * z])
+    draw = np.random.default_rng(5)
+    first, second = draw.choice(np.flatnonzero(label == 1), 600), draw.choice(np.flatnonzero(label == 0), 600)
+    w = np.zeros(30)
+    for _ in range(20_000):  # the mean of log(1 + exp(-w.(a - b))) and w.w / 2 over the pairs, downhill
+        slope = w.copy()
+        d = z[first] - z[second]
+        slope -= (d / (1 + np.exp(d @ w))[:, None]).sum(axis=0)
+        w -= slope / 3000
+        if np.abs(slope).max() < 1e-9:
+            break
+    assert np.abs(w - model.weights).max() < 1e-5
+    raw = sorted(zip(z @ w, label))
+    errors = lambda t: sum((score >= t) != bool(good) for score, good in raw)
+    fewest = min(errors(t) for t in [raw[0][0] - 1, raw[-1][0] + 1, *(score for score, _ in raw)])
+    assert errors(model.threshold) == fewest == sum((model.scores(x) >= ACCEPTED) != (label == 1))
+
+
 def test_quality_of_odd_rows(odd, nothing, labels):
     assert classify_quality(odd, labels).count() == len(ODD) and classify_quality(nothing, labels).count() == 0
     kept = accepted_documents(odd, labels.limit(0))
@@ -169,6 +195,32 @@ def test_forest_finds_outliers():
     assert fit_forest(usual[:1]).scores(odd_ones).shape == (2,) and fit_forest(np.ones((50, 3))).scores(odd_ones).shape == (2,)
 
 
+def test_forest_scores_against_following_each_tree():
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(700, 3)), 1)  # with ties
+    forest = fit_forest(x, trees=25)
+    left_over = lambda n: 0.0 if n < 2 else 2 * sum(1 / i for i in range(1, n)) - 2 * (n - 1) / n
+
+    def path(tree, node, row, level):
+        f = forest.feature[tree, node]
+        if f < 0:
+            return level, forest.depth[tree, node] - level
+        return path(tree, 2 * node + 1 + int(row[f] >= forest.value[tree, node]), row, level + 1)
+
+    size = 256
+    for row, score in zip(x[:40], forest.scores(x[:40])):
+        found = [path(t, 0, row, 0) for t in range(25)]
+        assert all(level <= 8 and rest >= 0 and (rest == 0 or level == 8 or rest <= left_over(size)) for level, rest in found)
+        assert abs(score - 2 ** (-np.mean([a + b for a, b in found]) / left_over(size))) < 5e-3
+    for t in range(25):  # the leaves' shares of the drawn rows add up to all of them
+        def rows_under(node, level):
+            if forest.feature[t, node] >= 0:
+                return rows_under(2 * node + 1, level + 1) + rows_under(2 * node + 2, level + 1)
+            rest = forest.depth[t, node] - level
+            return min(range(1, size + 1), key=lambda n: abs(left_over(n) - rest)) if rest else 1
+        assert abs(rows_under(0, 0) - size) < 0.25 * size
+
+
 def test_rules_keep_clean_and_drop_symbol_texts(spark):
     found = quality_rules(table(spark, MIDDLE, "documents"), table(spark, MIDDLE, "labels")).join(table(spark, MIDDLE, "labels"), "doc_id").filter("not base_failed").collect()
     assert np.mean([r.kept for r in found if r.quality]) > 0.98

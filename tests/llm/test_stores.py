@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -309,3 +310,30 @@ def test_pipeline_stages(spark, data):
 
 def test_queries_are_thirteen():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
+
+
+def test_pipeline_stages_on_odd_rows(spark, data):
+    usual = table(spark, data, "documents").withColumn("text_hash", F.lit("mine")).withColumn("file", F.lit(1))
+    good = usual.filter("length(text) between 400 and 900").orderBy("doc_id").first()
+    rows = [
+        (None, None, None, None, None, None, None), (None, good.text, "en", "a", 5, "x", 2), (900_001, "", None, "a", 0, None, None), (900_002, None, "en", None, 0, "x", 2),
+        (900_003, " \n\t", "en", "a", 3, "x", 2), (900_004, good.text, "en", "a", 5, "x", 2), (900_004, good.text, "en", "a", 5, "x", 2), (900_005, good.text.upper(), "en", "b", 5, "x", 2),
+        (900_006, good.text + " and more " * 30_000, "en", "b", 5, "x", 2),
+    ]
+    odd = spark.createDataFrame(rows, T.StructType([T.StructField(f.name, f.dataType) for f in usual.schema]))
+    docs = cut_lineage(usual.unionByName(odd))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = cut_lineage(stage(spark, docs, data))
+        assert after.columns == corpus_pipeline.COLUMNS and after.exceptAll(docs.select(*after.columns)).isEmpty()
+        ids = Counter(r.doc_id for r in after.select("doc_id").collect())
+        if name.startswith("MinHash"):  # equal words are one document, that without an id; wordless ones all stay
+            assert not {900_004, 900_005, good.doc_id} & set(ids)
+        if name.startswith("mixing"):
+            assert ids == Counter(r.doc_id for r in docs.select("doc_id").collect())
+        # each stage is tried on all odd rows too, whatever the stages before let pass
+        alone = cut_lineage(stage(spark, cut_lineage(odd), data))
+        assert alone.columns == corpus_pipeline.COLUMNS and alone.exceptAll(odd.select(*alone.columns)).isEmpty()
+        docs = after
+    last = corpus_pipeline.STAGES[-1][1](spark, cut_lineage(odd), data).collect()
+    wanted = Counter((r[0], len(whole(r[1])) + 1) for r in rows)
+    assert Counter((r.doc_id, r.n_tokens) for r in last) == wanted
