@@ -2,6 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; between
 stages the rows are written as Parquet to the shared folder and read again.
+
+Any column may be null: a null text counts as empty, a document without an id is one like any other.
+Further columns of documents are left behind by the first stage. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -23,28 +26,35 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranking accepts."""
+    """Documents that the quality ranking accepts; equal texts are kept or dropped together, repeated rows stay repeated."""
     return accepted_documents(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of exact and near copies: that of the smallest id."""
+    """One document of each class of exact and near copies: that of the smallest id, none before all others.
+
+    Among rows of one id it is that of the smallest hash of the text, and one of equal rows. Documents without words all stay.
+    """
     return first_of_each_class(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item; those without words have none."""
     return clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order that mixes the sources; files are named and rows stand in that order."""
+    """All documents, in the order that mixes the sources; files are named and rows stand in that order.
+
+    Documents without a source are a source of their own; repeated rows all stay.
+    """
     return mixed_documents(docs.select(*COLUMNS))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Store the ids in the order of the rows of the files, and read them back by key: doc_id, start, n_tokens, ids_crc32.
 
+    Every row has its own result, repeated ones and those without an id too; an empty text has the end id alone.
     Documents that don't come straight from files, which only tests pass, are taken by doc_id.
     """
     order = ["file", "row"]
