@@ -145,6 +145,31 @@ def join_by_key(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.join(if_small(other), match, how).drop("_id", "_hash")
 
 
+def label_scores(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scored rows (doc_id, text_hash, scores) of labelled ids with their ``label``, one row per id: that of the smallest hash.
+
+    ``labels`` has doc_id and label, one row per id. Rows of an id are combined before they are shuffled.
+    """
+    rest = [c for c in scored.columns if c != "doc_id"]
+    first = scored.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    return first.join(labels, "doc_id").select("doc_id", "row.*", "label")
+
+
+def sums_by_score(labelled: DataFrame, score: str) -> DataFrame:
+    """Per distinct value of ``score``: ``good`` and ``bad`` labels of all rows up to and with it (written table).
+
+    Values are dealt into ranges, each summed by itself and shifted by the totals of the ranges before.
+    """
+    counts = labelled.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
+    placed = cut_lineage(counts.repartitionByRange("score").sortWithinPartitions("score").withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range comes together
+    totals = placed.groupBy("_range").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    base = totals.select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in "gb"])
+    summed = placed.select("_range", "score", F.sum("good").over(inside).alias("good"), F.sum("bad").over(inside).alias("bad"))
+    return cut_lineage(summed.join(if_small(base), "_range").select("score", (F.col("good") + F.col("g")).alias("good"), (F.col("bad") + F.col("b")).alias("bad")))
+
+
 def running_position(df: DataFrame, order: list[str], weight: str | None = None, within: str | None = None) -> DataFrame:
     """Rows in the given order with ``position``: the sum of ``weight`` (1 if None) over all rows before, of the same ``within`` if given.
 

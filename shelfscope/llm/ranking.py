@@ -2,20 +2,21 @@
 
 Every labelled good text is preferred to every labelled bad one. The model gives a text the
 score w.x of its features and the preference the probability sigmoid(w.(x_good - x_bad)); w
-minimises the logistic loss over a bounded set of such pairs. A quantile of the scores of the
+minimises the logistic loss over a bounded set of such pairs. A quantile of the scores of all
 labelled rows is the threshold between accepted and rejected texts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import id_remainder, labelled_sample, map_batches, one_label, one_per_id, texts_of
+from shelfscope.llm.common import id_remainder, keyed, label_scores, labelled_sample, map_batches, one_label, one_per_id, sums_by_score, texts_of
+from shelfscope.session import cut_lineage
 
 FIT_ROWS = 20_000  # labelled rows that pairs are drawn from, at most
 FIT_PAIRS = 40_000  # preference pairs, at most
@@ -70,9 +71,12 @@ class Ranking:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """0 to 1, at least ACCEPTED for accepted texts."""
+        return self.scores_of_raw(self.raw(x))
+
+    def scores_of_raw(self, raw: np.ndarray) -> np.ndarray:
         if not self.weights.any():  # nothing to prefer
-            return np.full(len(x), ACCEPTED)
-        z = np.clip((self.raw(x) - self.threshold) / self.scale, -30, 30) + np.log(ACCEPTED / (1 - ACCEPTED))
+            return np.full(len(raw), ACCEPTED)
+        z = np.clip((raw - self.threshold) / self.scale, -30, 30) + np.log(ACCEPTED / (1 - ACCEPTED))
         found = 1 / (1 + np.exp(-z))
         return np.where(z >= np.log(ACCEPTED / (1 - ACCEPTED)), np.maximum(found, ACCEPTED), np.minimum(found, np.nextafter(ACCEPTED, 0)))
 
@@ -116,7 +120,10 @@ def _threshold(raw: np.ndarray, label: np.ndarray) -> float:
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Ranking:
-    """Ranking learnt from at most ``fit_rows`` of the labelled documents; ``labels`` has doc_id and label."""
+    """Ranking learnt from at most ``fit_rows`` of the labelled documents; ``labels`` has doc_id and label.
+
+    Its threshold is that of the sample.
+    """
 
     def features(batch):
         return {c: batch.column(c) for c in ("doc_id", "text_hash", "label")} | {"x": [text_features(t) for t in texts_of(batch)]}
@@ -125,13 +132,39 @@ def learn_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     return fit_ranking(np.array([r.x for r in sample]).reshape(-1, N_FEATURES), np.array([r.label for r in sample], dtype=int))
 
 
+def rank_documents(docs: DataFrame, model: Ranking) -> DataFrame:
+    """Per row: doc_id, text_hash, raw (the score w.x of its whole text), as a written table."""
+
+    def rank(batch):
+        return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "raw": model.raw(_features(batch))}
+
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return cut_lineage(map_batches(rows, rank, "doc_id long, text_hash long, raw double"))
+
+
+def with_threshold(model: Ranking, ranked: DataFrame, labels: DataFrame) -> Ranking:
+    """The model with the threshold that splits all labelled ones of the ranked rows with the fewest errors, halfway to the next lower score.
+
+    Rows of equal scores stay together; of equally good splits it is the lowest.
+    """
+    sums = sums_by_score(label_scores(ranked, labels), "raw")
+    # the split that rejects all up to a score loses the good ones and lets the bad ones above it pass
+    best = sums.agg(F.max("score").alias("top"), F.min("score").alias("bottom"), F.min_by("score", F.struct(F.col("good") - F.col("bad"), "score")).alias("score"), F.min(F.col("good") - F.col("bad")).alias("errors")).first()
+    if best.top is None:
+        return model
+    if best.errors >= 0:  # to reject none is as good
+        return replace(model, threshold=best.bottom - 1)
+    above = sums.filter(F.col("score") > best.score).agg(F.min("score")).first()[0]
+    return replace(model, threshold=best.top + 1 if above is None else (best.score + above) / 2)
+
+
 def known_quality(labels: DataFrame, held_out_of: int = HELD_OUT_OF, held_out: int = HELD_OUT) -> DataFrame:
     """doc_id and label of the rows that may teach: those whose id's checksum isn't in the held-out class."""
     return one_label(labels, "quality").filter(id_remainder(F.col("doc_id"), held_out_of) != held_out)
 
 
-def _score(batch, model: Ranking) -> np.ndarray:
-    return model.scores(np.array([text_features(t) for t in texts_of(batch)]).reshape(-1, N_FEATURES))
+def _features(batch) -> np.ndarray:
+    return np.array([text_features(t) for t in texts_of(batch)]).reshape(-1, N_FEATURES)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held_out_of: int = HELD_OUT_OF, held_out: int = HELD_OUT) -> DataFrame:
@@ -139,25 +172,29 @@ def classify_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROW
 
     Rows whose id's checksum falls into the held-out class teach nothing, nor do rows without an id.
     Repeated ids are scored row by row; label rows with nulls are ignored, conflicting ones count as 0.
-    Null texts are empty. Without labels of both kinds every score is ACCEPTED.
+    Null texts are empty. Without labels of both kinds every score is ACCEPTED. Further columns are ignored.
     """
-    model = learn_quality(docs, known_quality(labels, held_out_of, held_out), fit_rows)
+    known = known_quality(labels, held_out_of, held_out)
+    model = learn_quality(docs, known, fit_rows)
+    ranked = rank_documents(docs, model)
+    model = with_threshold(model, ranked, known)
 
     def score(batch):
-        found = _score(batch, model)
+        found = model.scores_of_raw(batch.column("raw").to_numpy(zero_copy_only=False))
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": found, "predicted": (found >= ACCEPTED).astype(np.int32)}
 
     aside = F.coalesce(id_remainder(F.col("doc_id"), held_out_of) == held_out, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", aside.alias("held_out"))
-    return map_batches(rows, score, "doc_id long, held_out boolean, score double, predicted int")
+    return map_batches(ranked.select("doc_id", "raw", aside.alias("held_out")), score, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows of ``docs``, all columns, that reach the threshold; they are neither joined nor shuffled."""
-    model = learn_quality(docs, known_quality(labels), fit_rows)
+    """The rows of ``docs``, all columns, that reach the threshold; they are neither joined nor shuffled, but ranked twice."""
+    known = known_quality(labels)
+    model = learn_quality(docs, known, fit_rows)
+    model = with_threshold(model, rank_documents(docs, model), known)
 
     def keep(batch):
-        kept = batch.filter(pa.array(_score(batch, model) >= ACCEPTED))
+        kept = batch.filter(pa.array(model.scores(_features(batch)) >= ACCEPTED))
         return {name: kept.column(name) for name in kept.schema.names}
 
     return map_batches(docs, keep, docs.schema)

@@ -3,7 +3,7 @@
 An isolation forest cuts a small sample by random splits; rows that are separated after few
 splits are anomalous. One forest sees what a text is made of, another how it repeats itself: in one
 forest, what hardly tells good from bad hides what does. They are fitted on a bounded sample of rows
-labelled good; the verdict's thresholds are calibrated on labelled rows of both kinds.
+labelled good; the verdict's thresholds are calibrated on all labelled rows of both kinds.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import labelled_sample, map_batches, one_label, one_per_id, texts_of
+from shelfscope.llm.common import keyed, label_scores, labelled_sample, map_batches, one_label, one_per_id, sums_by_score, texts_of
+from shelfscope.session import cut_lineage
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -23,7 +24,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 STATISTICS = [*COUNTS, "n_capitals", "n_lines"]
 _COLUMNS = ", ".join(f"{c} long" for c in STATISTICS)
 
-FIT_ROWS = 20_000  # labelled rows that the forest and its threshold are fitted on, at most
+FIT_ROWS = 20_000  # labelled rows that the forests are grown on, at most; thresholds take all
 TREES, SUBSAMPLE = 100, 256
 GOOD_COST = 10.0  # of losing a share of the rows labelled good, where keeping that share of the bad ones costs 1
 
@@ -139,74 +140,72 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
     return (n < 20) | (100 * repeats > 30 * n)
 
 
-@dataclass
-class RuleForests:
-    """A forest over rule_vectors and one over repetition_vectors, and the most that a kept row may score in each."""
-
-    forests: tuple[IsolationForest, IsolationForest]
-    most: tuple[float, float]
-
-    def judge(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Anomaly and verdict of rows of STATISTICS; the second forest's scores are moved to the first one's threshold."""
-        one, two = self.forests[0].scores(rule_vectors(counts)), self.forests[1].scores(repetition_vectors(counts))
-        return np.maximum(one, two + (self.most[0] - self.most[1])), (one <= self.most[0]) & (two <= self.most[1])
+Forests = tuple[IsolationForest, IsolationForest]  # over rule_vectors, and over repetition_vectors
 
 
-def _threshold(scores: np.ndarray, good: np.ndarray, good_cost: float) -> float:
-    """The good row's score that loses the least as a threshold."""
-    steps = np.unique(scores[good])
-    lost = 1 - np.searchsorted(np.sort(scores[good]), steps, side="right") / good.sum()
-    kept = np.searchsorted(np.sort(scores[~good]), steps, side="right") / max((~good).sum(), 1)
-    return float(steps[len(steps) - 1 - np.argmin((good_cost * lost + kept)[::-1])])
-
-
-def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, good_cost: float = GOOD_COST) -> RuleForests | None:
-    """Forests and thresholds from at most ``fit_rows`` labelled documents that pass the base rules; None if none of them is good.
-
-    The forests are grown on the good ones. A threshold loses the least, a share of the good ones lost counting
-    ``good_cost`` times as much as the same share of the bad ones kept; the second forest's is that of the rows
-    which the first one keeps.
-    """
+def fit_forests(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Forests | None:
+    """Forests over the good ones of at most ``fit_rows`` labelled documents that pass the base rules; None if there are none."""
 
     def statistics(batch):
         found = _counted(batch)
         return {c: batch.column(c) for c in ("doc_id", "text_hash", "label")} | {c: found[:, i] for i, c in enumerate(STATISTICS)}
 
-    sampled = one_per_id(map_batches(labelled_sample(docs, one_label(labels, "quality"), fit_rows), statistics, f"doc_id long, text_hash long, label int, {_COLUMNS}"))
+    sampled = one_per_id(map_batches(labelled_sample(docs, labels, fit_rows), statistics, f"doc_id long, text_hash long, label int, {_COLUMNS}"))
     sample = np.array([[r[c] for c in [*STATISTICS, "label"]] for r in sampled]).reshape(-1, len(STATISTICS) + 1)
-    sample = sample[~base_failed(sample)]
-    counts, good = sample[:, :-1], sample[:, -1] == 1
-    if not good.any():
+    good = sample[~base_failed(sample) & (sample[:, -1] == 1), :-1]
+    if not len(good):
         return None
-    forests, most, left = [], [], np.ones(len(good), bool)
-    for vectors in (rule_vectors, repetition_vectors):
-        x = vectors(counts)
-        forests.append(fit_forest(x[good][np.lexsort(x[good].T)]))  # in an order that doesn't hang on the partitions
-        scores = forests[-1].scores(x)
-        most.append(_threshold(scores[left], good[left], good_cost))
-        left &= scores <= most[-1]
-    return RuleForests(tuple(forests), tuple(most))
+    vectors = rule_vectors(good), repetition_vectors(good)
+    return tuple(fit_forest(x[np.lexsort(x.T)]) for x in vectors)  # in an order that doesn't hang on the partitions
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, good_cost: float = GOOD_COST) -> DataFrame:
-    """Per document: doc_id, the statistics, base_failed, anomaly (the higher score of the forests), kept.
-
-    Every row gets one result, repeated ids and empty or null texts too (those fail the base rules). Further
-    columns of either table are ignored; label rows with nulls are too. Without rows labelled good that pass
-    the base rules there are no forests: anomaly is 0 and the base rules decide alone.
-    """
-    fitted = fit_rules(docs, labels, fit_rows, good_cost)
+def rule_scores(docs: DataFrame, forests: Forests | None) -> DataFrame:
+    """Per row: doc_id, text_hash, the statistics of the whole text, base_failed, and the forests' scores one and two (0 without forests), as a written table."""
 
-    def judge(batch):
+    def score(batch):
         counts = _counted(batch)
-        failed = base_failed(counts)
-        anomaly, usual = np.zeros(len(counts)), np.ones(len(counts), bool)
-        if fitted is not None and len(counts):
-            anomaly, usual = fitted.judge(counts)
+        one, two = np.zeros(len(counts)), np.zeros(len(counts))
+        if forests is not None and len(counts):
+            one, two = forests[0].scores(rule_vectors(counts)), forests[1].scores(repetition_vectors(counts))
         return (
-            {"doc_id": batch.column("doc_id"), "base_failed": failed, "anomaly": anomaly, "kept": ~failed & usual}
+            {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "base_failed": base_failed(counts), "one": one, "two": two}
             | {c: counts[:, i] for i, c in enumerate(STATISTICS)}
         )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(rows, judge, f"doc_id long, {_COLUMNS}, base_failed boolean, anomaly double, kept boolean")
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return cut_lineage(map_batches(rows, score, f"doc_id long, text_hash long, {_COLUMNS}, base_failed boolean, one double, two double"))
+
+
+def score_limit(labelled: DataFrame, score: str, good_cost: float) -> float | None:
+    """The good row's score that loses the least as the most a kept row may have; of equally good ones the highest. None without good rows.
+
+    A share of the good ones lost counts ``good_cost`` times as much as the same share of the bad ones kept.
+    """
+    sums = sums_by_score(labelled, score)
+    good, bad = sums.agg(F.max("good"), F.max("bad")).first()
+    if not good:
+        return None
+    loss = F.lit(float(good_cost)) * (1 - F.col("good") / F.lit(float(good))) + F.col("bad") / F.lit(float(max(bad, 1)))
+    of_good = sums.join(labelled.filter("label = 1").select(F.col(score).alias("score")).distinct(), "score", "left_semi")
+    return of_good.agg(F.min_by("score", F.struct(loss, -F.col("score")))).first()[0]
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, good_cost: float = GOOD_COST) -> DataFrame:
+    """Per document: doc_id, the statistics, base_failed, anomaly (the higher score of the forests), kept.
+
+    The second forest's limit is that of the labelled rows which the first one keeps; its scores are moved to the
+    first one's limit. Every row gets one result, repeated ids and empty or null texts too (those fail the base
+    rules). Further columns of either table are ignored; label rows with nulls are too. Without rows labelled good
+    that pass the base rules there are no forests: anomaly is 0 and the base rules decide alone.
+    """
+    known = one_label(labels, "quality")
+    forests = fit_forests(docs, known, fit_rows)
+    scored = rule_scores(docs, forests)
+    anomaly, usual = F.lit(0.0), F.lit(True)
+    if forests is not None:
+        labelled = cut_lineage(label_scores(scored.select("doc_id", "text_hash", "base_failed", "one", "two"), known).filter(~F.col("base_failed")))
+        first = score_limit(labelled, "one", good_cost)
+        second = score_limit(labelled.filter(F.col("one") <= first), "two", good_cost)
+        anomaly = F.greatest("one", F.col("two") + F.lit(first - second))
+        usual = (F.col("one") <= first) & (F.col("two") <= second)
+    return scored.select("doc_id", *STATISTICS, "base_failed", anomaly.alias("anomaly"), (~F.col("base_failed") & usual).alias("kept"))

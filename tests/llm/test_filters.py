@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from shelfscope.llm import decontam, langid, licenses, queries, secrets
 from shelfscope.llm.common import table
 from shelfscope.llm.langid import LanguageFilter, gram_hashes, identify_languages, language_grams, learn_languages, texts_by_language
-from shelfscope.llm.ranking import ACCEPTED, accepted_documents, classify_quality, fit_ranking
-from shelfscope.llm.rules import COUNTS, STATISTICS, fit_forest, quality_rules, rule_counts
+from shelfscope.llm.ranking import ACCEPTED, N_FEATURES, Ranking, accepted_documents, classify_quality, fit_ranking, with_threshold
+from shelfscope.llm.rules import COUNTS, STATISTICS, fit_forest, quality_rules, rule_counts, score_limit
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_hash string, label string, position string"
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -160,6 +160,48 @@ def test_ranking_against_plain_gradient_steps():
     assert errors(model.threshold) == fewest == sum((model.scores(x) >= ACCEPTED) != (label == 1))
 
 
+def scored_rows(seed, rows=3_000, steps=400):
+    """Repeated ids, ties and rows without a label; and the label and score that count for each labelled id."""
+    rng = np.random.default_rng(seed)
+    label = rng.integers(0, 2, rows)
+    score = np.round(rng.normal(label * 1.5, 1.0) * steps) / steps
+    scored = [(i % (rows - 50), i // (rows - 50), float(x)) for i, x in enumerate(score)]
+    labels = [(i, int(label[i])) for i in range(rows - 50) if i % 7]
+    return scored, labels, {i: (float(score[i]), one) for i, one in labels}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quality_threshold_takes_all_labelled_rows(spark, seed):
+    scored, labels, counted = scored_rows(seed)
+    ranked, known = spark.createDataFrame(scored, "doc_id long, text_hash long, raw double"), spark.createDataFrame(labels, "doc_id long, label int")
+    plain = Ranking(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.ones(2 * N_FEATURES), 5.0, 1.0)
+
+    def errors(t):
+        return sum((s < t) == (one == 1) for s, one in counted.values())
+
+    steps = sorted({s for s, _ in counted.values()})
+    cuts = [steps[0] - 1, *[(a + b) / 2 for a, b in zip(steps, steps[1:])], steps[-1] + 1]
+    assert with_threshold(plain, ranked, known).threshold == pytest.approx(min(cuts, key=errors))  # the first of equals
+    assert with_threshold(plain, ranked.limit(0), known).threshold == 5.0
+    assert with_threshold(plain, ranked, known.withColumn("label", F.lit(1))).threshold == steps[0] - 1
+    assert with_threshold(plain, ranked, known.withColumn("label", F.lit(0))).threshold == steps[-1] + 1
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_rule_limit_takes_all_labelled_rows(spark, seed):
+    _, labels, counted = scored_rows(seed)
+    good, bad = ([-s for s, one in counted.values() if one == k] for k in (1, 0))
+    rows = spark.createDataFrame([(-s, one) for s, one in counted.values()], "one double, label int")
+
+    def loss(t):
+        return 10 * (1 - sum(s <= t for s in good) / len(good)) + sum(s <= t for s in bad) / len(bad)
+
+    found = score_limit(rows, "one", 10.0)
+    assert found in good and loss(found) == pytest.approx(min(map(loss, set(good))))
+    assert found == max(t for t in set(good) if loss(t) < loss(found) + 1e-12)
+    assert score_limit(rows.filter("label = 0"), "one", 10.0) is None and score_limit(rows.filter("label = 1"), "one", 10.0) == max(good)
+
+
 def test_quality_of_odd_rows(odd, nothing, labels):
     assert classify_quality(odd, labels).count() == len(ODD) and classify_quality(nothing, labels).count() == 0
     kept = accepted_documents(odd, labels.limit(0))
