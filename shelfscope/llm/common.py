@@ -124,6 +124,27 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key with over this share of all rows is hot; so there are at most HOT_KEYS of them, whatever the data.
+HOT_KEYS = 1_000
+
+
+def join_to_owner(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """Join (inner) rows to the one row of ``owners`` (narrow) per key, without bringing the rows of a hot key together.
+
+    Hot keys, at most HOT_KEYS by their definition, are sent to all executors with what belongs to them; the other
+    rows are joined by key. ``rows`` should be cheap to read twice, as a written table is; null keys meet none.
+    """
+    few = if_small(owners)
+    if few is not owners:
+        return rows.join(few, key)
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.count()
+    hot = counts.filter(F.col("_n") * HOT_KEYS > total).select(key)
+    hot = cut_lineage(owners.join(F.broadcast(hot), key, "left_semi"))
+    common = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(owners, key)
+    return rows.join(F.broadcast(hot), key).select(*common.columns).unionByName(common)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Add text_hash, which with doc_id names a row; rows equal in both have the same text and the same results."""
     return docs.withColumn("text_hash", F.xxhash64("text"))

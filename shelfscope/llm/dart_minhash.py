@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import if_small, join_by_key, keyed, map_batches, map_partition, packed, texts_of, unpacked
+from shelfscope.llm.common import if_small, join_by_key, join_to_owner, keyed, map_batches, map_partition, packed, texts_of, unpacked
 from shelfscope.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -28,6 +28,8 @@ FIRST_CELL = 0.25  # height of the lowest cell; the next are twice as high each,
 LAST_CELL = 64.0
 #: Coordinates (of 216) whose two sketch bits must agree before a pair is verified: 4.5 standard deviations below what similarity 0.8 gives.
 AGREEING = 160
+#: Rows of a bucket, and pairs of a centre, that one task gets together.
+ROWS_TOGETHER = 512
 
 _BASE = 0x100000001B3 | 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -243,11 +245,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, counted: bool =
         signed.filter("has_words").groupBy("content").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     buckets = nodes.select("content", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = cut_lineage(buckets.join(shared, "bucket"))
+    shared = cut_lineage(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = cut_lineage(join_to_owner(buckets, shared, "bucket"))
     ties = members.groupBy("content").agg(F.sum("n").alias("ties"))
-    centre = members.join(ties, "content").groupBy("bucket").agg(F.max(F.struct("ties", "content")).alias("c")).select("bucket", F.col("c.content").alias("a"))
-    star = members.join(centre, "bucket").filter("a <> content").select("a", F.col("content").alias("b")).distinct()
+    centre = cut_lineage(members.join(ties, "content").groupBy("bucket").agg(F.max(F.struct("ties", "content")).alias("c")).select("bucket", F.col("c.content").alias("a")))
+    star = join_to_owner(members, centre, "bucket").filter("a <> content").select("a", F.col("content").alias("b")).distinct()
     sketches = nodes.select("content", "sketch")
     words = -(-BANDS * ROWS // 32)
     spare = 32 * words - BANDS * ROWS
@@ -259,35 +261,53 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, counted: bool =
     linked = _verified(docs, nodes, cut_lineage(sketched.filter(alike(F.col("sa"), F.col("sb"))).select("a", "b")), least, counted)
     parts = components(linked)
 
-    labelled = members.select("bucket", "content").join(parts, "content", "left").withColumn("part", F.coalesce("part", "content"))
+    labelled = cut_lineage(members.select("bucket", "content").join(parts, "content", "left").withColumn("part", F.coalesce("part", "content")))
     mixed = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("bucket")
-    apart = cut_lineage(labelled.join(mixed, "bucket").join(centre, "bucket").filter("content <> a"))
-    measured = _measured(docs, nodes, apart.select("a", F.col("content").alias("b")).distinct(), counted)
+    apart = cut_lineage(join_to_owner(labelled, cut_lineage(centre.join(mixed, "bucket")), "bucket").filter("content <> a"))
+    measured = _measured(docs, nodes, cut_lineage(apart.select("a", F.col("content").alias("b")).distinct()), counted)
     open_rows = cut_lineage(apart.join(measured.withColumnRenamed("b", "content"), ["a", "content"]).join(sketches, "content").select("bucket", "content", "part", "sketch", "size", "shared", "rest"))
-    left, right = (open_rows.toDF("bucket", f"{x}", f"part_{x}", f"sketch_{x}", f"size_{x}", f"shared_{x}", f"rest_{x}") for x in "ab")
+    left, right = (dealt.toDF("bucket", "chunk", f"{x}", f"part_{x}", f"sketch_{x}", f"size_{x}", f"shared_{x}", f"rest_{x}") for dealt, x in zip(_dealt(open_rows), "ab"))
     # two texts share at most what both share with the centre, and what they share of their rests
     at_most = F.least("shared_a", "shared_b") + F.size(F.array_intersect("rest_a", "rest_b"))
     enough = at_most * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-6
     may = (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & alike(F.col("sketch_a"), F.col("sketch_b")) & enough
-    rest = left.join(right, (left.bucket == right.bucket) & may).select("a", "b").distinct()
+    rest = left.join(right, (left.bucket == right.bucket) & (left.chunk == right.chunk) & may).select("a", "b").distinct()
     more = _verified(docs, nodes, cut_lineage(rest), least, counted)
     parts = components(linked.unionByName(more))
 
     named = nodes.select("content", "first", "least_id").join(parts, "content", "left").withColumn("part", F.coalesce("part", "content"))
-    heads = named.groupBy("part").agg(F.min("first").alias("head"), F.min("least_id").alias("class_id"))
-    classes = cut_lineage(named.join(heads, "part").select("content", "head", "class_id"))
+    named = cut_lineage(named)
+    heads = cut_lineage(named.groupBy("part").agg(F.min("first").alias("head"), F.min("least_id").alias("class_id")))
+    classes = cut_lineage(join_to_owner(named.select("content", "part"), heads, "part").select("content", "head", "class_id"))
     rows = signed.select("doc_id", "text_hash", "content", "has_words").join(if_small(classes), "content", "left")
     alone = ~F.col("has_words")
     own = F.struct("doc_id", "text_hash").eqNullSafe(F.col("head"))
     return rows.select("doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (alone | own).alias("is_first"))
 
 
+def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a bucket, twice, with a column ``chunk`` after it: each in one chunk of its bucket, and each in all chunks of it.
+
+    A chunk has some ROWS_TOGETHER rows of the first kind, so that a large bucket is many tasks' work.
+    """
+    chunks = cut_lineage(rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / ROWS_TOGETHER).alias("chunks")))
+    counted, rest = join_to_owner(rows, chunks, "bucket"), [c for c in rows.columns if c != "bucket"]
+    one = F.pmod(F.xxhash64("content"), F.col("chunks"))
+    return counted.select("bucket", one.alias("chunk"), *rest), counted.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), *rest)
+
+
 def _with_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of contents with their texts: a, b, ta, tb."""
+    """Pairs (a, b) of contents (a written table) with their texts: a, b, ta, tb.
+
+    A text is sent once per some ROWS_TOGETHER pairs in which it is a, so that those of one centre are many tasks' work.
+    """
     involved = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
     wanted = cut_lineage(nodes.join(involved, "content", "left_semi").select("first.doc_id", "first.text_hash", "content"))
     texts = cut_lineage(join_by_key(docs, wanted, "inner").select("content", "text").dropDuplicates(["content"]))
-    return pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+    chunks = cut_lineage(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / ROWS_TOGETHER).alias("chunks")))
+    dealt = join_to_owner(pairs, chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
+    centres = texts.toDF("a", "ta").join(chunks, "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    return dealt.join(texts.toDF("b", "tb"), "b").join(centres, ["a", "chunk"]).select("a", "b", "ta", "tb")
 
 
 def _element_pairs(batches, counted: bool):
@@ -329,16 +349,16 @@ def components(links: DataFrame) -> DataFrame:
     """content, part: each linked node and the smallest node it is connected with.
 
     Large and small stars in turn: neighbours are linked to the smallest node around until every component is
-    one star. Each step is written to the shared folder.
+    one star. Each step is written to the shared folder; a hub's links stay where they are (``join_to_owner``).
     """
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut_lineage(join_to_owner(both, low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = join_to_owner(large, least, "u")
         edges = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m"))).filter("u <> v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

@@ -14,8 +14,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from shelfscope.llm import dart_minhash as darts
-from shelfscope.llm import mixing, token_scan, token_store
-from shelfscope.llm.common import running_position, table
+from shelfscope.llm import common, mixing, token_scan, token_store
+from shelfscope.llm.common import join_to_owner, running_position, table
 from shelfscope.llm.queries import END_ID, QUERIES, TOKENIZER
 from shelfscope.llm.tokens import encoder, width_for, write_id_files
 from shelfscope.session import cut_lineage, scratch_path
@@ -271,6 +271,28 @@ def test_near_duplicates_against_brute_force(spark, data):
     assert darts.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 4, 1_000])
+def test_rows_of_hot_keys_join_their_owner(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "if_small", lambda df, rows=0: df)
+    monkeypatch.setattr(common, "HOT_KEYS", most)
+    rows = [("hub", i) for i in range(300)] + [(f"k{i % 70}", i) for i in range(200)] + [(None, 1), ("alone", 1)]
+    owners = [("hub", 7.0), *((f"k{i}", float(i)) for i in range(60)), ("unused", 1.0), (None, 3.0)]
+    found = join_to_owner(spark.createDataFrame(rows, "k string, v long"), spark.createDataFrame(owners, "k string, w double"), "k")
+    of = dict(owners[:-1])
+    assert found.columns == ["k", "v", "w"]
+    assert Counter(map(tuple, found.collect())) == Counter((k, v, of[k]) for k, v in rows if k in of)
+
+
+def test_hubs_and_large_buckets_in_parts(spark, data, monkeypatch):
+    rows = near_rows(spark, data)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common, "if_small", lambda df, rows=0: df)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    monkeypatch.setattr(darts, "ROWS_TOGETHER", 2)
+    found = darts.near_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.class_id) for r in found) == Counter((i, c) for (i, _), c in zip(rows, brute_classes(rows)))
+
+
 def test_signatures_agree_as_weighted_jaccard_says():
     rng = np.random.default_rng(1)
     names, w = rng.integers(0, 2**63, 400).astype(np.uint64), rng.uniform(0.2, 3, 400)
