@@ -131,18 +131,16 @@ HOT_KEYS = 1_000
 def join_to_owner(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
     """Join (inner) rows to the one row of ``owners`` (narrow) per key, without bringing the rows of a hot key together.
 
-    Hot keys, at most HOT_KEYS by their definition, are sent to all executors with what belongs to them; the other
-    rows are joined by key. ``rows`` should be cheap to read twice, as a written table is; null keys meet none.
+    ``owners``, a written table, has the number of rows of its key as ``_rows``. Hot keys, at most HOT_KEYS by their
+    definition, are sent to all executors with what belongs to them; the other rows are joined by key. ``rows``
+    should be cheap to read twice; null keys meet none.
     """
-    few = if_small(owners)
-    if few is not owners:
-        return rows.join(few, key)
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = rows.count()
-    hot = counts.filter(F.col("_n") * HOT_KEYS > total).select(key)
-    hot = cut_lineage(owners.join(F.broadcast(hot), key, "left_semi"))
-    common = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(owners, key)
-    return rows.join(F.broadcast(hot), key).select(*common.columns).unionByName(common)
+    size, total = owners.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(owners.drop("_rows")), key)
+    is_hot = F.col("_rows") * HOT_KEYS > total
+    hot, rest = owners.filter(is_hot).drop("_rows"), owners.filter(~is_hot).drop("_rows")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfscope.llm.common import if_small, join_by_key, join_to_owner, keyed, map_batches, map_partition, packed, texts_of, unpacked
+from shelfscope.llm.common import BROADCAST_ROWS, if_small, join_by_key, join_to_owner, keyed, map_batches, map_partition, packed, texts_of, unpacked
 from shelfscope.session import cut_lineage
 
 SHINGLE_WORDS = 5
@@ -245,10 +245,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, counted: bool =
         signed.filter("has_words").groupBy("content").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     )
     buckets = nodes.select("content", F.explode("bands").alias("bucket"))
-    shared = cut_lineage(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = cut_lineage(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("_rows", F.col("n")))
     members = cut_lineage(join_to_owner(buckets, shared, "bucket"))
     ties = members.groupBy("content").agg(F.sum("n").alias("ties"))
-    centre = cut_lineage(members.join(ties, "content").groupBy("bucket").agg(F.max(F.struct("ties", "content")).alias("c")).select("bucket", F.col("c.content").alias("a")))
+    centre = cut_lineage(members.join(ties, "content").groupBy("bucket").agg(F.max(F.struct("ties", "content")).alias("c"), F.first("n").alias("_rows")).select("bucket", F.col("c.content").alias("a"), "_rows"))
     star = join_to_owner(members, centre, "bucket").filter("a <> content").select("a", F.col("content").alias("b")).distinct()
     sketches = nodes.select("content", "sketch")
     words = -(-BANDS * ROWS // 32)
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, counted: bool =
 
     named = nodes.select("content", "first", "least_id").join(parts, "content", "left").withColumn("part", F.coalesce("part", "content"))
     named = cut_lineage(named)
-    heads = cut_lineage(named.groupBy("part").agg(F.min("first").alias("head"), F.min("least_id").alias("class_id")))
+    heads = cut_lineage(named.groupBy("part").agg(F.min("first").alias("head"), F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("_rows")))
     classes = cut_lineage(join_to_owner(named.select("content", "part"), heads, "part").select("content", "head", "class_id"))
     rows = signed.select("doc_id", "text_hash", "content", "has_words").join(if_small(classes), "content", "left")
     alone = ~F.col("has_words")
@@ -290,7 +290,7 @@ def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A chunk has some ROWS_TOGETHER rows of the first kind, so that a large bucket is many tasks' work.
     """
-    chunks = cut_lineage(rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / ROWS_TOGETHER).alias("chunks")))
+    chunks = cut_lineage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows")).withColumn("chunks", F.ceil(F.col("_rows") / ROWS_TOGETHER)))
     counted, rest = join_to_owner(rows, chunks, "bucket"), [c for c in rows.columns if c != "bucket"]
     one = F.pmod(F.xxhash64("content"), F.col("chunks"))
     return counted.select("bucket", one.alias("chunk"), *rest), counted.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), *rest)
@@ -304,7 +304,7 @@ def _with_texts(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
     involved = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
     wanted = cut_lineage(nodes.join(involved, "content", "left_semi").select("first.doc_id", "first.text_hash", "content"))
     texts = cut_lineage(join_by_key(docs, wanted, "inner").select("content", "text").dropDuplicates(["content"]))
-    chunks = cut_lineage(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / ROWS_TOGETHER).alias("chunks")))
+    chunks = cut_lineage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_rows")).withColumn("chunks", F.ceil(F.col("_rows") / ROWS_TOGETHER)))
     dealt = join_to_owner(pairs, chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
     centres = texts.toDF("a", "ta").join(chunks, "a").select("a", "ta", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
     return dealt.join(texts.toDF("b", "tb"), "b").join(centres, ["a", "chunk"]).select("a", "b", "ta", "tb")
@@ -352,15 +352,20 @@ def components(links: DataFrame) -> DataFrame:
     one star. Each step is written to the shared folder; a hub's links stay where they are (``join_to_owner``).
     """
     edges = cut_lineage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
+    state = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
+    before = edges.agg(*state).first()
     while True:
+        small = 2 * before[0] <= BROADCAST_ROWS  # so are both tables of least neighbours
+
+        def meet(rows: DataFrame, least: DataFrame) -> DataFrame:
+            return rows.join(F.broadcast(least.drop("_rows")), "u") if small else join_to_owner(rows, cut_lineage(least), "u")
+
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut_lineage(join_to_owner(both, low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = join_to_owner(large, least, "u")
-        edges = cut_lineage(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m"))).filter("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows")).select("u", F.least("u", "m").alias("m"), "_rows")
+        large = cut_lineage(meet(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        star = meet(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows")))
+        edges = cut_lineage(star.select(F.col("v").alias("u"), F.col("m").alias("v")).union(star.select("u", F.col("m"))).filter("u <> v").distinct())
+        now = edges.agg(*state).first()
         if now == before:
             break
         before = now

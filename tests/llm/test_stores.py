@@ -273,11 +273,13 @@ def test_near_duplicates_against_brute_force(spark, data):
 
 @pytest.mark.parametrize("most", [1, 4, 1_000])
 def test_rows_of_hot_keys_join_their_owner(spark, monkeypatch, most):
-    monkeypatch.setattr(common, "if_small", lambda df, rows=0: df)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common, "HOT_KEYS", most)
     rows = [("hub", i) for i in range(300)] + [(f"k{i % 70}", i) for i in range(200)] + [(None, 1), ("alone", 1)]
     owners = [("hub", 7.0), *((f"k{i}", float(i)) for i in range(60)), ("unused", 1.0), (None, 3.0)]
-    found = join_to_owner(spark.createDataFrame(rows, "k string, v long"), spark.createDataFrame(owners, "k string, w double"), "k")
+    held = Counter(k for k, _ in rows)
+    owned = spark.createDataFrame([(k, w, held[k]) for k, w in owners], "k string, w double, _rows long")
+    found = join_to_owner(spark.createDataFrame(rows, "k string, v long"), owned, "k")
     of = dict(owners[:-1])
     assert found.columns == ["k", "v", "w"]
     assert Counter(map(tuple, found.collect())) == Counter((k, v, of[k]) for k, v in rows if k in of)
@@ -286,7 +288,8 @@ def test_rows_of_hot_keys_join_their_owner(spark, monkeypatch, most):
 def test_hubs_and_large_buckets_in_parts(spark, data, monkeypatch):
     rows = near_rows(spark, data)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(common, "if_small", lambda df, rows=0: df)
+    for module in (common, darts):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common, "HOT_KEYS", 20)
     monkeypatch.setattr(darts, "ROWS_TOGETHER", 2)
     found = darts.near_duplicates(docs).collect()
