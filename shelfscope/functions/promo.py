@@ -24,31 +24,39 @@ def _promo(kind: str, text: Column, label: Column, units: Column, price: Column)
     )
 
 
-def parse_promo(text: Column, price: Column) -> Column:
-    """Promotion of one text, null if none is recognised.
-
-    Payment-method promotions come first and have no effective price; a pattern
-    "n for m" out of bounds falls through to "second unit at x %".
-    """
-    numbers = F.struct(
+def promo_terms(text: Column) -> Column:
+    """What the text of a promotion says, whatever the price; null for an empty text."""
+    terms = F.struct(
         F.btrim(text).alias("text"),
-        price.alias("price"),
+        text.rlike(RAW + fixed.PROMO_CARD).alias("card"),
         whole_number(F.regexp_extract(text, RAW + fixed.PROMO_N_FOR_M, 1)).alias("n"),
         whole_number(F.regexp_extract(text, RAW + fixed.PROMO_N_FOR_M, 2)).alias("m"),
         whole_number(F.regexp_extract(text, RAW + fixed.PROMO_SECOND_UNIT, 1)).alias("off"),
     )
+    return F.when(filled(text), terms)
+
+
+def priced_promo(terms: Column, price: Column) -> Column:
+    """Promotion of the terms of a text, null if none is recognised.
+
+    Payment-method promotions come first and have no effective price; a pattern
+    "n for m" out of bounds falls through to "second unit at x %".
+    """
     none = F.lit(None).cast(PROMO_TYPE)
-    return F.when(~filled(text), none).otherwise(
-        F.when(
-            text.rlike(RAW + fixed.PROMO_CARD),
-            _promo("tarjeta", F.btrim(text), F.lit(""), F.lit(0), F.lit(None)),
-        ).otherwise(let(numbers, _multi_unit))
+    return F.when(terms.isNull(), none).otherwise(
+        F.when(terms["card"], _promo("tarjeta", terms["text"], F.lit(""), F.lit(0), F.lit(None))).otherwise(_multi_unit(terms, price))
     )
 
 
-def _multi_unit(p: Column) -> Column:
+def parse_promo(text: Column, price: Column) -> Column:
+    """Promotion of one text, null if none is recognised."""
+    both = F.struct(promo_terms(text).alias("terms"), price.alias("price"))
+    return let(both, lambda p: priced_promo(p["terms"], p["price"]))
+
+
+def _multi_unit(p: Column, price: Column) -> Column:
     """Promotion of the numbers found in a text."""
-    text, price, n, m, off = (p[name] for name in ("text", "price", "n", "m", "off"))
+    text, n, m, off = (p[name] for name in ("text", "n", "m", "off"))
 
     def exact(value: Column) -> Column:
         return let(value, lambda v: F.when(truthy(price) & truthy(v), round_exact(v)))

@@ -28,7 +28,7 @@ def with_stale_fallback(
     """
     absent = missing_platforms(expected, run)
     usable = (
-        newest.join(absent, "platform", "left_semi")
+        newest.join(F.broadcast(absent), "platform", "left_semi")  # one row per shop
         .filter(filled_if)
         .filter(age_hours(F.col("fecha_scrapeo"), now) <= max_age_hours)
     )
@@ -62,7 +62,7 @@ def platform_health(
 
 
 def missing_platforms(expected: DataFrame, present: DataFrame) -> DataFrame:
-    return expected.select("platform").distinct().join(present.select("platform"), "platform", "left_anti")
+    return expected.select("platform").distinct().join(present.select("platform").distinct(), "platform", "left_anti")
 
 
 def publication(offers: DataFrame, minimum: int = fixed.MIN_PUBLISH_PLATFORMS) -> DataFrame:

@@ -171,6 +171,15 @@ def extend_dictionary(df: DataFrame, path: str, tables: AliasTables | None = Non
     return known()
 
 
+def join_texts(df: DataFrame, entries: DataFrame, texts: list[str]) -> DataFrame:
+    """Rows with what ``entries`` says of their texts, which may be null; it has one row for all texts of ``df``."""
+    entries = cut_lineage(entries)
+    if entries.limit(SMALL_DICTIONARY + 1).count() <= SMALL_DICTIONARY:
+        entries = F.broadcast(entries)
+    keyed = entries.withColumnsRenamed({c: f"_{c}" for c in texts})
+    return df.join(keyed, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in texts]).drop(*[f"_{c}" for c in texts])
+
+
 def normalize_offers_by_text(df: DataFrame, tables: AliasTables | None = None, dictionary: DataFrame | None = None) -> DataFrame:
     """The same as ``normalize_offers``, with each distinct name, type and brand resolved once.
 

@@ -109,9 +109,9 @@ E_COLUMNS = ["canonical_id", "canonical_key", "brand_slug", "brand_display", "su
     ),
 )
 def components(spark, sf):
-    rows = cut_lineage(R.label_fuzzy(cut_lineage(labelled(spark, sf))))
+    rows = cut_lineage(R.label_fuzzy(labelled(spark, sf)).select(*OFFER, "offer_ord", "label"))
     firsts = rows.groupBy("label").agg(F.min("offer_ord").alias("component"))
-    return rows.join(firsts, "label").select(*OFFER, "component")
+    return rows.join(firsts.hint("shuffle_hash"), "label").select(*OFFER, "component")
 
 
 @query(
@@ -160,7 +160,7 @@ def link_methods(spark, sf):
 @query("e12_products", statement(f"SELECT {', '.join(E_COLUMNS)} FROM canonicals", "canonicals"))
 def products(spark, sf):
     """Whole resolver from the tables, nothing shared with other queries."""
-    _, canonicals = R.assign_canonicals(fx.offers(spark, sf))
+    _, canonicals = R.assign_canonicals(cut_lineage(fx.offers(spark, sf)))
     return canonicals.select(*E_COLUMNS)
 
 
@@ -769,7 +769,8 @@ def landed_layout(spark, sf):
     from shelfscope.sources.landing import land_snapshots, load_run
 
     path = scratch_path(spark, "raw")
-    land_snapshots(_envelopes(fx.as_products(fx.snapshot(spark, sf))), path, "run-1")
+    rows = cut_lineage(fx.as_products_by_text(cut_lineage(fx.snapshot(spark, sf))))
+    land_snapshots(_envelopes(rows), path, "run-1", "gzip")
     rows = load_run(spark, path, "run-1")
     return rows.groupBy("platform").agg(
         F.sum(F.size("productos")).alias("listings"), F.max("con_descuento").cast("bigint").alias("con_descuento")
@@ -779,7 +780,7 @@ def landed_layout(spark, sf):
 @query("j12_whole_run", statement(f"SELECT {', '.join(MATRIX_COLUMNS)} FROM matrix", "matrix"))
 def whole_run(spark, sf):
     """From the tables to the matrix in one go, nothing shared with other queries."""
-    matched, canonicals = R.assign_canonicals(fx.offers(spark, sf))
+    matched, canonicals = R.assign_canonicals(cut_lineage(fx.offers(spark, sf)))
     return M.build_matrix(canonicals, matched).select(*MATRIX_COLUMNS)
 
 
@@ -846,17 +847,17 @@ def alarm_on_stream(spark, sf):
 )
 def incremental(spark, sf):
     """One history from a batch job and from a stream over the landed snapshots, with a run that both append, and that is appended again."""
-    from shelfscope.operators.normalize import normalize_offers, with_own_key
+    from shelfscope.operators.normalize import normalize_offers_by_text, with_own_key
     from shelfscope.sources.landing import build_offers, load_run
     from shelfscope.streaming.ingest import append_landed
 
     root, path, checkpoint = landed(spark, sf), scratch_path(spark, "history"), scratch_path(spark, "stream")
 
     def keyed(envelopes):
-        rows = build_offers(envelopes.withColumn("platform_rank", F.lit(0)))
-        return with_own_key(normalize_offers(rows)).withColumn("run_ts", F.to_timestamp_ntz("scraped_at", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
+        rows = cut_lineage(build_offers(envelopes.withColumn("platform_rank", F.lit(0))))
+        return with_own_key(normalize_offers_by_text(rows)).withColumn("run_ts", F.to_timestamp_ntz("scraped_at", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
 
-    batch = Hi.to_observations(keyed(load_run(spark, root, "run-1999")), F.col("run_ts"))
+    batch = cut_lineage(Hi.to_observations(keyed(load_run(spark, root, "run-1999")), F.col("run_ts")))
     Hi.append_history(batch, path)
     append_landed(spark, root, keyed, path, checkpoint)
     Hi.append_history(batch, path)

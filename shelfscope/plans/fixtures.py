@@ -6,15 +6,15 @@ each product in each shop, shaped like the landed schema.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfscope.functions import text as T
 from shelfscope.functions.numbers import discount_pct, price_per_100ml
-from shelfscope.functions.promo import parse_promo, promo_columns
-from shelfscope.operators.normalize import normalize_offers_by_text, with_own_key
-from shelfscope.session import cut_lineage
+from shelfscope.functions.promo import priced_promo, promo_columns, promo_terms
+from shelfscope.operators.normalize import join_texts, normalize_offers_by_text, with_own_key
+from shelfscope.session import cut_lineage, scratch_path
 from shelfscope.sources.landing import build_envelopes, land_snapshots, write_parts
 
 PLATFORMS = ["carrefour", "coto", "dia", "disco", "jumbo", "pedidosya", "rappi", "vea"]
@@ -36,56 +36,68 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listings(lines: DataFrame, parts: DataFrame) -> DataFrame:
-    joined = lines.alias("l").join(parts.alias("p"), F.expr("l.l_partkey = p.p_partkey"))
-    return joined.selectExpr(
-        """CASE l.l_suppkey % 8 WHEN 0 THEN 'carrefour' WHEN 1 THEN 'coto' WHEN 2 THEN 'dia'
+    return listed(lines.join(parts, lines["l_partkey"] == parts["p_partkey"]))
+
+
+def listed(lines: DataFrame, *more: str) -> DataFrame:
+    """Lines joined to their parts as listings; ``more`` columns are kept."""
+    return lines.selectExpr(
+        *more,
+        """CASE l_suppkey % 8 WHEN 0 THEN 'carrefour' WHEN 1 THEN 'coto' WHEN 2 THEN 'dia'
            WHEN 3 THEN 'disco' WHEN 4 THEN 'jumbo' WHEN 5 THEN 'pedidosya' WHEN 6 THEN 'rappi'
            ELSE 'vea' END AS platform""",
-        "p.p_partkey AS external_product_id",
-        "l.l_shipdate AS run_ts",
-        "l.l_orderkey",
-        "l.l_linenumber",
-        "l.l_suppkey",
-        "l.l_extendedprice",
+        "p_partkey AS external_product_id",
+        "l_shipdate AS run_ts",
+        "l_orderkey",
+        "l_linenumber",
+        "l_suppkey",
+        "l_extendedprice",
         """CONCAT('Cerveza ',
-           CASE p.p_partkey % 6 WHEN 0 THEN 'Quilmes' WHEN 1 THEN 'Stella Artois'
+           CASE p_partkey % 6 WHEN 0 THEN 'Quilmes' WHEN 1 THEN 'Stella Artois'
              WHEN 2 THEN 'Andes Origen' WHEN 3 THEN 'Quilmes 1890' WHEN 4 THEN 'Patagonia'
              ELSE 'Pampa' END, ' ',
-           CASE p.p_partkey % 7 WHEN 0 THEN 'Rubia' WHEN 1 THEN 'IPA' WHEN 2 THEN 'Roja'
+           CASE p_partkey % 7 WHEN 0 THEN 'Rubia' WHEN 1 THEN 'IPA' WHEN 2 THEN 'Roja'
              WHEN 3 THEN 'Negra' WHEN 4 THEN 'Única' WHEN 5 THEN '0.0' ELSE 'Scotch Ale' END, ' ',
-           CASE WHEN p.p_size % 5 = 0 THEN 'pack x 6 ' ELSE '' END,
-           CASE p.p_size % 4 WHEN 0 THEN '473ml' WHEN 1 THEN '354 cc' WHEN 2 THEN '1 L'
+           CASE WHEN p_size % 5 = 0 THEN 'pack x 6 ' ELSE '' END,
+           CASE p_size % 4 WHEN 0 THEN '473ml' WHEN 1 THEN '354 cc' WHEN 2 THEN '1 L'
              ELSE '269 Ml' END,
-           CASE l.l_suppkey % 3 WHEN 0 THEN ' Lata' WHEN 1 THEN ' Porrón' ELSE '' END) AS nombre""",
-        """CASE WHEN p.p_partkey % 5 = 0 THEN '' ELSE CASE p.p_partkey % 6 WHEN 0 THEN 'Quilmes'
+           CASE l_suppkey % 3 WHEN 0 THEN ' Lata' WHEN 1 THEN ' Porrón' ELSE '' END) AS nombre""",
+        """CASE WHEN p_partkey % 5 = 0 THEN '' ELSE CASE p_partkey % 6 WHEN 0 THEN 'Quilmes'
            WHEN 1 THEN 'Stella' WHEN 2 THEN 'Andes Origen' WHEN 3 THEN '1890'
            WHEN 4 THEN 'Patagonia' ELSE 'Pampa Brewing' END END AS marca""",
-        """CASE WHEN l.l_suppkey % 8 IN (1, 6) OR p.p_partkey % 11 = 0 THEN ''
-           ELSE CONCAT('0779', CAST(p.p_partkey AS STRING)) END AS gtin""",
-        """CASE WHEN p.p_partkey % 13 = 0 AND l.l_suppkey % 8 = 0 THEN CAST(0 AS DOUBLE)
-           ELSE FLOOR(ROUND(p.p_retailprice * 100) * (80 + (l.l_suppkey * 7 + l.l_linenumber) % 41)
-             * (CASE WHEN l.l_linenumber = 7 AND l.l_suppkey % 8 = 1 THEN 30 ELSE 100 END)
+        """CASE WHEN l_suppkey % 8 IN (1, 6) OR p_partkey % 11 = 0 THEN ''
+           ELSE CONCAT('0779', CAST(p_partkey AS STRING)) END AS gtin""",
+        """CASE WHEN p_partkey % 13 = 0 AND l_suppkey % 8 = 0 THEN CAST(0 AS DOUBLE)
+           ELSE FLOOR(ROUND(p_retailprice * 100) * (80 + (l_suppkey * 7 + l_linenumber) % 41)
+             * (CASE WHEN l_linenumber = 7 AND l_suppkey % 8 = 1 THEN 30 ELSE 100 END)
              / CAST(10000 AS DOUBLE)) / CAST(100 AS DOUBLE) END AS precio_actual""",
-        "CAST(ROUND(l.l_discount * 100) AS INT) AS descuento_pct",
-        "CAST(l.l_quantity AS INT) % 7 AS stock",
-        """CASE l.l_linenumber % 6 WHEN 0 THEN '2x1' WHEN 1 THEN '2do al 50%'
+        "CAST(ROUND(l_discount * 100) AS INT) AS descuento_pct",
+        "CAST(l_quantity AS INT) % 7 AS stock",
+        """CASE l_linenumber % 6 WHEN 0 THEN '2x1' WHEN 1 THEN '2do al 50%'
            WHEN 2 THEN 'Tarjeta Banco 15%' WHEN 3 THEN '3x2 en la góndola' WHEN 4 THEN ''
            ELSE '25%Dto' END AS promo_raw""",
     )
 
 
+LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"]
+PART = ["p_partkey", "p_size", "p_retailprice"]
+
+
+def _shop() -> Column:
+    """Number of a line's shop, as ``listed`` names it."""
+    shop = F.col("l_suppkey") % 8
+    return F.when(shop.between(0, 6), shop).otherwise(F.lit(7))
+
+
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest listing per shop and product (the top-1 is cut before the shuffle)."""
-    latest = W.partitionBy("platform", "external_product_id").orderBy(
-        F.desc("run_ts"), "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"
-    )
-    return (
-        observations(spark, sf_dir)
-        .withColumn("_rn", F.row_number().over(latest))
-        .filter("_rn = 1")
-        .drop("_rn")
-        .withColumn("offer_ord", offer_order(F.col("platform"), F.col("external_product_id")))
+    """Latest listing per shop and product; the top-1 is cut before the shuffle, and texts are made for what it leaves."""
+    lines = spread(table(spark, sf_dir, "lineitem").select(*LINE))
+    parts = table(spark, sf_dir, "part").select(*PART).dropDuplicates(["p_partkey"])
+    latest = W.partitionBy("_shop", "l_partkey").orderBy(
+        F.desc("l_shipdate"), "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"
     )
+    last = lines.withColumn("_shop", _shop()).withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn", "_shop")
+    return listings(last, parts).withColumn("offer_ord", offer_order(F.col("platform"), F.col("external_product_id")))
 
 
 def offer_order(platform, position):
@@ -94,20 +106,28 @@ def offer_order(platform, position):
     return rank * F.lit(POSITIONS_PER_PLATFORM) + position
 
 
+def _name_columns() -> dict[str, Column]:
+    return {"tipo": T.type_text(F.col("nombre"), F.col("marca")), "volumen_ml": T.volume_from_name(F.col("nombre"))}
+
+
 def as_products(rows: DataFrame) -> DataFrame:
     """Fixture rows with the fields of a landed listing."""
-    name, brand, price = F.col("nombre"), F.col("marca"), F.col("precio_actual")
+    return _with_prices(T.computed_once(rows, {**_name_columns(), "_terms": promo_terms(F.col("promo_raw"))}))
+
+
+def as_products_by_text(rows: DataFrame) -> DataFrame:
+    """The same as ``as_products``, with each distinct name, brand and promotion text read once; ``rows`` are gone through twice."""
+    texts = cut_lineage(rows.select("nombre", "marca", "promo_raw").distinct())
+    names = T.computed_once(texts.select("nombre", "marca").distinct(), _name_columns())
+    promos = T.computed_once(texts.select("promo_raw").distinct(), {"_terms": promo_terms(F.col("promo_raw"))})
+    return _with_prices(join_texts(join_texts(rows, names, ["nombre", "marca"]), promos, ["promo_raw"]))
+
+
+def _with_prices(rows: DataFrame) -> DataFrame:
+    price = F.col("precio_actual")
     before = price * (F.lit(1.0) + F.col("descuento_pct") / F.lit(100.0))
     return (
-        T.computed_once(
-            rows,
-            {
-                "tipo": T.type_text(name, brand),
-                "volumen_ml": T.volume_from_name(name),
-                "precio_anterior": before,
-                "_promo": parse_promo(F.col("promo_raw"), price),
-            },
-        )
+        T.computed_once(rows, {"precio_anterior": before, "_promo": priced_promo(F.col("_terms"), price)})
         .withColumns(
             {
                 "descuento_pct": discount_pct(price, F.col("precio_anterior")),
@@ -116,18 +136,18 @@ def as_products(rows: DataFrame) -> DataFrame:
             }
         )
         .select("*", *promo_columns(F.col("_promo")))
-        .drop("_promo")
+        .drop("_promo", "_terms")
     )
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised offers of the latest snapshot."""
-    return normalize_offers_by_text(as_products(snapshot(spark, sf_dir)))
+    return normalize_offers_by_text(as_products_by_text(cut_lineage(snapshot(spark, sf_dir))))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price observations of all runs, keyed by each row's own canonical key."""
-    rows = with_own_key(normalize_offers_by_text(cut_lineage(as_products(observations(spark, sf_dir)))))
+    rows = with_own_key(normalize_offers_by_text(as_products_by_text(cut_lineage(observations(spark, sf_dir)))))
     return rows.select(
         "canonical_key",
         "platform",
@@ -150,33 +170,40 @@ SNAPSHOT_PART = 20
 
 
 def yearly_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All observations as listings of yearly snapshots of three stores per shop: platform, external_store_id, run, fecha_scrapeo, pos, fields."""
+    """All observations as listings of yearly snapshots of three stores per shop: platform, external_store_id, run, fecha_scrapeo, pos, fields.
+
+    Places are given to the bare lines, which are written by run; a listing's texts are made when its run is read.
+    """
     from shelfscope.operators.resolve import dense_rank_at_scale
 
-    rows = as_products(observations(spark, sf_dir))
-    year = F.year("run_ts")
-    late = F.col("platform").isin(LATE_SHOPS) & (year == LAST_YEAR)
-    captured = F.when(late & (F.col("platform") == "dia"), F.concat(year, F.lit("-12-01T00:00:00Z"))).otherwise(F.concat(year, F.lit("-12-31T20:00:00Z")))
-    place = (F.array_position(F.array(*[F.lit(p) for p in PLATFORMS]), F.col("platform")) * 3 + F.col("l_linenumber") % 3) * 100 + year - 1990
-    keyed = rows.withColumns(
+    lines = spread(table(spark, sf_dir, "lineitem").select(*LINE))
+    year = F.year("l_shipdate")
+    late = _shop().isin([PLATFORMS.index(p) for p in LATE_SHOPS]) & (year == LAST_YEAR)
+    place = ((_shop() + 1) * 3 + F.col("l_linenumber") % 3) * 100 + year - 1990
+    keyed = lines.join(table(spark, sf_dir, "part").select(*PART), F.col("l_partkey") == F.col("p_partkey")).withColumns(
         {
-            "external_store_id": (F.col("l_linenumber") % 3).cast("string"),
             "run": F.concat(F.when(late, F.lit("home-")).otherwise(F.lit("run-")), year),
-            "fecha_scrapeo": captured,
+            "_snapshot": place.cast("long"),
             "_ord": place.cast("long") * POSITIONS_PER_PLATFORM + F.col("l_orderkey") * 8 + F.col("l_linenumber"),
         }
     )
-    ranked = dense_rank_at_scale(keyed, "_ord", "_rank")
-    snapshot = ["platform", "external_store_id", "run"]
-    starts = ranked.groupBy(*snapshot).agg(F.min("_rank").alias("_start"))
+    path = scratch_path(spark, "yearly")
+    ranked = dense_rank_at_scale(keyed, "_ord", "_rank").drop("_ord")
+    ranked.write.partitionBy("run").parquet(path)
+    ranked = spark.read.schema(ranked.schema).parquet(path)
+    starts = ranked.groupBy("_snapshot").agg(F.min("_rank").alias("_start"))
+    placed = ranked.join(F.broadcast(cut_lineage(starts)), "_snapshot").withColumn("pos", F.col("_rank") - F.col("_start"))
+    rows = as_products_by_text(listed(placed, "run", "pos"))
+    day = F.when((F.col("platform") == "dia") & F.col("run").startswith("home-"), F.lit("-12-01T00:00:00Z")).otherwise(F.lit("-12-31T20:00:00Z"))
     empty = {"beer_color": F.lit(""), "beer_style": F.lit(""), "abv": F.lit(None).cast("double"), "origen": F.lit("")}
-    return ranked.join(F.broadcast(starts), snapshot).withColumns(
+    return rows.withColumns(
         {
             **empty,
+            "external_store_id": (F.col("l_linenumber") % 3).cast("string"),
+            "fecha_scrapeo": F.concat(F.year("run_ts"), day),
             "tienda": F.lit("Store"),
             "direccion": F.lit(""),
             "source": F.create_map(F.lit("method"), F.lit("tables")),
-            "pos": F.col("_rank") - F.col("_start"),
             "id": F.col("external_product_id").cast("string"),
         }
     )
@@ -188,12 +215,12 @@ def land_all(spark: SparkSession, sf_dir: str, root: str) -> None:
     coto's newest snapshot lacks its first parts and has no manifest row. vea's newest one was whole, but landing it
     again broke off.
     """
-    rows = cut_lineage(yearly_snapshots(spark, sf_dir))
+    rows = yearly_snapshots(spark, sf_dir)
     runs = [f"run-{y}" for y in range(1995, LAST_YEAR + 1)] + [f"home-{LAST_YEAR}"]
     for run in runs:
-        land_snapshots(build_envelopes(rows.filter(F.col("run") == run), SNAPSHOT_PART), root, run)
+        land_snapshots(build_envelopes(rows.filter(F.col("run") == run), SNAPSHOT_PART), root, run, "gzip")
     again = build_envelopes(rows.filter(F.col("run") == f"run-{LAST_YEAR}"), SNAPSHOT_PART)
-    write_parts(again.filter((F.col("plataforma") == "coto") & (F.col("desde") > 0)), root, f"run-{LAST_YEAR + 1}", "broken-off")
+    write_parts(again.filter((F.col("plataforma") == "coto") & (F.col("desde") > 0)), root, f"run-{LAST_YEAR + 1}", "broken-off", "gzip")
     vea = again.filter(F.col("plataforma") == "vea")
-    land_snapshots(vea, root, f"run-{LAST_YEAR + 2}")
-    write_parts(vea, root, f"run-{LAST_YEAR + 2}", "broken-off")
+    land_snapshots(vea, root, f"run-{LAST_YEAR + 2}", "gzip")
+    write_parts(vea, root, f"run-{LAST_YEAR + 2}", "broken-off", "gzip")

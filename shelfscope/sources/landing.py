@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from shelfscope import fixed_values as fixed
 from shelfscope.schemas import ENVELOPE_DDL, MANIFEST_DDL, PRODUCT_FIELDS, STORES_DDL, struct_of
-from shelfscope.session import if_there
+from shelfscope.session import cut_lineage, if_there
 
 ENVELOPE_PART = 5000
 RUN_FOLDER = "/run_id=[^/]*/"
 SNAPSHOT = ["platform", "store", "run_id"]
+LANDED_FILES = "*.{json,json.gz}"  # parts below run folders may be compressed
+COUNTED_DDL = "fecha_scrapeo string, landing string, productos array<struct<id:string>>"  # what the manifest tells of a part
 
 
 def platform_of(path: Column, root: str) -> Column:
@@ -45,7 +47,7 @@ def name_of(path: Column) -> Column:
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Paths and times of all landed files; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return files.option("pathGlobFilter", "*.json").load(root).select(
+    return files.option("pathGlobFilter", LANDED_FILES).load(root).select(
         "path",
         F.element_at(F.split("path", "/"), -1).alias("file_name"),
         platform_of(F.col("path"), root).alias("folder"),
@@ -60,7 +62,7 @@ def read_envelopes(spark: SparkSession, paths: list[str] | str, root: str) -> Da
     envelope in every line.
     """
     schema = struct_of(ENVELOPE_DDL).add("_corrupt_record", "string")
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", LANDED_FILES)
     path, modified = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")
     place = [path.alias("path"), modified.alias("modified")]
     parts = reader.schema(schema).json(paths, mode="PERMISSIVE").select("*", *place).filter(F.col("path").rlike(RUN_FOLDER))
@@ -125,10 +127,10 @@ def folder_name(value: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value)
 
 
-def read_landed(spark: SparkSession, root: str, runs: list[str] | None = None) -> DataFrame:
+def read_landed(spark: SparkSession, root: str, runs: list[str] | None = None, fields: str = ENVELOPE_DDL) -> DataFrame:
     """Envelopes below shop, store and run folders, line by line; with ``runs`` no other run's folders are listed or read."""
     root = root.rstrip("/")
-    schema = ENVELOPE_DDL + ", platform string, store string, run_id string"
+    schema = fields + ", platform string, store string, run_id string"
     names = "*" if runs is None else "{" + ",".join(folder_name(r).replace(",", "\\,") for r in runs) + "}"
     reader = spark.read.schema(schema).option("basePath", root)
     return if_there(spark, lambda: reader.json(f"{root}/platform=*/store=*/run_id={names}"), schema)
@@ -167,6 +169,7 @@ def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
 
 def read_snapshots(spark: SparkSession, root: str, chosen: DataFrame) -> DataFrame:
     """Envelopes of the chosen rows of ``list_snapshots``, those that are whole; with platform and snapshot."""
+    chosen = cut_lineage(chosen)  # a row per shop or per store; what it was chosen by is not read again
     rows = landed_rows(spark, root, chosen.filter(F.col("landing").isNotNull())).withColumn("snapshot", F.concat_ws("/", *SNAPSHOT))
     paths = [r.path for r in chosen.filter(F.col("path").isNotNull()).select("path").collect()]
     if paths:
@@ -271,7 +274,7 @@ def build_envelopes(products: DataFrame, part_size: int = ENVELOPE_PART) -> Data
         .withColumn("productos", F.transform("_listed", lambda p: p.dropFields("pos")))
     )
     return (
-        parts.join(envelope_counts(products, keys), keys)
+        parts.join(F.broadcast(envelope_counts(products, keys)), keys)  # one row per store
         .withColumnRenamed("platform", "plataforma")
         .drop("_listed")
     )
@@ -283,22 +286,23 @@ def accepted_snapshots(products: DataFrame, keys: list[str], minimum: int = fixe
     return products.join(good, keys, "left_semi")
 
 
-def write_parts(envelopes: DataFrame, root: str, run_id: str, landing: str) -> None:
-    """Write envelopes below their shop, store and run folders; a folder that is written again is replaced."""
+def write_parts(envelopes: DataFrame, root: str, run_id: str, landing: str, compression: str = "none") -> None:
+    """Write envelopes below their shop, store and run folders; a folder that is written again is replaced. Big runs are best compressed (gzip)."""
     keys = {"platform": F.col("plataforma"), "store": F.coalesce("external_store_id", F.lit("")), "run_id": F.lit(run_id)}
     rows = envelopes.withColumns(keys).withColumn("landing", F.concat_ws("/", F.lit(landing), "platform", "store"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SNAPSHOT).json(root)
+    written = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SNAPSHOT)
+    written.json(root, compression=compression)
 
 
-def land_snapshots(envelopes: DataFrame, root: str, run_id: str) -> None:
+def land_snapshots(envelopes: DataFrame, root: str, run_id: str, compression: str = "none") -> None:
     """Land one run's snapshots: the parts first, then a row per snapshot in the manifest.
 
     Landing a snapshot again replaces it. Until its new row is there, the old row doesn't fit its parts any more, and
     it counts as not whole.
     """
     spark, landing = envelopes.sparkSession, uuid.uuid4().hex
-    write_parts(envelopes, root, run_id, landing)
-    written = read_landed(spark, root, [run_id]).filter(F.col("landing").startswith(landing))
+    write_parts(envelopes, root, run_id, landing, compression)
+    written = read_landed(spark, root, [run_id], COUNTED_DDL).filter(F.col("landing").startswith(landing))
     rows = written.groupBy(*SNAPSHOT, "landing").agg(
         F.count(F.lit(1)).alias("parts"), F.sum(F.size("productos")).alias("listings"), F.max("fecha_scrapeo").alias("captured")
     )
