@@ -18,6 +18,7 @@ from shelfscope.operators.similarity import similar_names, word_set
 from shelfscope.session import cut_lineage
 
 POSITIONS_PER_BUCKET = 1 << 20
+OFFERS_PER_BUCKET = 1 << 16  # where nearly every number is taken
 
 
 def code_owner_of_keys(offers: DataFrame) -> DataFrame:
@@ -32,16 +33,18 @@ def code_owner_of_keys(offers: DataFrame) -> DataFrame:
 def label_exact(offers: DataFrame) -> DataFrame:
     """Label by product code and structural key, without iteration: adds label, rooted.
 
-    An offer without code takes the code that owns its key. Rows that need no lookup
-    get a key of their own, so that they spread evenly over the join.
+    An offer without code takes the code that owns its key; all others are not looked up and stay where they are.
     """
     own = F.concat(F.lit("o:"), F.col("offer_ord").cast("string"))
     needs = (F.col("gtin_norm") == "") & F.col("structural_key").isNotNull()
-    owners = code_owner_of_keys(offers).withColumnRenamed("structural_key", "_key")
+    needs = F.coalesce(needs, F.lit(False))
+    owners = cut_lineage(code_owner_of_keys(offers))  # its real size decides how it is joined
     code = F.coalesce(F.nullif("gtin_norm", F.lit("")), F.col("owner_gtin"))
+    looked_up = offers.filter(needs).join(owners, "structural_key", "left")
     return (
-        offers.withColumn("_key", F.when(needs, F.col("structural_key")).otherwise(own))
-        .join(owners, "_key", "left")
+        offers.filter(~needs)
+        .withColumn("owner_gtin", F.lit(None).cast("string"))
+        .unionByName(looked_up)
         .withColumn("rooted", code.isNotNull())
         .withColumn(
             "label",
@@ -49,7 +52,7 @@ def label_exact(offers: DataFrame) -> DataFrame:
                 F.concat(F.lit("g:"), code), F.concat(F.lit("k:"), F.col("structural_key")), own
             ),
         )
-        .drop("_key", "owner_gtin")
+        .drop("owner_gtin")
     )
 
 
@@ -114,7 +117,7 @@ def fuzzy_edges(labelled: DataFrame) -> DataFrame:
     offer (and the first rooted one) its smallest edge, to the first offer among all
     matching groups. Linear in the offers, never pairs of rows.
     """
-    rows = labelled.select(
+    rows = cut_lineage(labelled.select(
         block_key().alias("block"),
         word_set(F.col("nombre_norm")).alias("words"),
         "platform",
@@ -123,7 +126,7 @@ def fuzzy_edges(labelled: DataFrame) -> DataFrame:
         "label",
         "rooted",
         "offer_ord",
-    )
+    ))
     groups = cut_lineage(name_groups(rows))
     names = groups.groupBy("block", "words").agg(F.bool_or("is_open").alias("is_open"))
     starts = groups.groupBy("block").agg(F.min("first").alias("block_start"))
@@ -188,22 +191,20 @@ def fuzzy_edges(labelled: DataFrame) -> DataFrame:
 
 
 def label_fuzzy(labelled: DataFrame) -> DataFrame:
-    """Replace the label of free offers by that of the component they join."""
-    joined = join_free_labels(fuzzy_edges(labelled))
-    return (
-        labelled.join(joined, "label", "left")
-        .withColumn("label", F.coalesce("component", "label"))
-        .drop("component", "rooted")
-    )
+    """Replace the label of free offers by that of the component they join; rooted offers keep theirs and stay where they are."""
+    joined = join_free_labels(fuzzy_edges(labelled)).hint("shuffle_hash")
+    free = labelled.filter(~F.col("rooted")).join(joined, "label", "left")
+    moved = free.withColumn("label", F.coalesce("component", "label")).drop("component", "rooted")
+    return labelled.filter("rooted").drop("rooted").unionByName(moved)
 
 
-def dense_rank_at_scale(df: DataFrame, order: str, rank: str) -> DataFrame:
+def dense_rank_at_scale(df: DataFrame, order: str, rank: str, span: int = POSITIONS_PER_BUCKET) -> DataFrame:
     """Zero-based dense rank over a whole number that is unique per row.
 
-    Numbers are cut into fixed ranges; each range is ranked in its own task and shifted
+    Numbers are cut into ranges of ``span``; each range is ranked in its own task and shifted
     by the count of all earlier ranges, so no task sees everything.
     """
-    bucket = F.floor(F.col(order) / F.lit(POSITIONS_PER_BUCKET)).cast("long")
+    bucket = F.floor(F.col(order) / F.lit(span)).cast("long")
     rows = df.withColumn("_bucket", bucket)
     sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     running = F.expr("sum(_n) OVER (ORDER BY _bucket) - _n")
@@ -297,15 +298,16 @@ def build_canonicals(labelled: DataFrame) -> DataFrame:
     """One row per product, with label (for joining back) and canonical_id."""
     heads = labelled.groupBy("label").agg(
         F.min("offer_ord").alias("first_ord"), F.coalesce(F.max(F.nullif("gtin_norm", F.lit(""))), F.lit("")).alias("gtin")
-    )
+    ).filter("label IS NOT NULL")
+    heads = dense_rank_at_scale(cut_lineage(heads), "first_ord", "canonical_id", OFFERS_PER_BUCKET)
     votes, reps, methods = majorities(labelled), representatives(labelled), link_methods(labelled)
-    rows = (
+    return (
         heads.join(votes, "label")
         .join(reps, "label")
         .join(methods, "label")
         .select(
             "label",
-            "first_ord",
+            "canonical_id",
             canonical_key(
                 F.col("rep.brand_slug"),
                 F.col("sub_brand"),
@@ -336,13 +338,16 @@ def build_canonicals(labelled: DataFrame) -> DataFrame:
             "review_needed",
         )
     )
-    return dense_rank_at_scale(rows, "first_ord", "canonical_id").drop("first_ord")
 
 
 def assign_canonicals(offers: DataFrame, fuzzy: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Whole resolver: offers with canonical_id and canonical_key, and the products."""
-    exact = cut_lineage(label_exact(cut_lineage(offers)))
-    labelled = cut_lineage(label_fuzzy(exact)) if fuzzy else exact.drop("rooted")
+    """Whole resolver: offers with canonical_id and canonical_key, and the products.
+
+    ``offers`` are gone through several times: they should come from files. The joins hash their small side, so that the
+    offers, which are wide, are never sorted.
+    """
+    exact = label_exact(offers)
+    labelled = cut_lineage(label_fuzzy(exact) if fuzzy else exact.drop("rooted"))
     canonicals = cut_lineage(build_canonicals(labelled))
-    ids = canonicals.select("label", "canonical_id", "canonical_key")
+    ids = canonicals.select("label", "canonical_id", "canonical_key").hint("shuffle_hash")
     return labelled.join(ids, "label").drop("label"), canonicals.drop("label")

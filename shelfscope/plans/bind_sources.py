@@ -109,9 +109,9 @@ def snapshot_offers(spark, sf):
 
 def _envelopes(rows):
     """Fixture listings as landed envelopes, at their place in the shop's snapshot."""
-    from shelfscope.operators.resolve import dense_rank_at_scale
+    from shelfscope.operators.resolve import OFFERS_PER_BUCKET, dense_rank_at_scale
 
-    placed = dense_rank_at_scale(rows, "offer_ord", "_rank")
+    placed = dense_rank_at_scale(rows, "offer_ord", "_rank", OFFERS_PER_BUCKET)
     starts = placed.groupBy("platform").agg(F.min("_rank").alias("_start"))
     listed = placed.join(F.broadcast(starts), "platform").select(
         "platform",

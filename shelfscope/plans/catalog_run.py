@@ -36,7 +36,7 @@ class Run:
 
 def resolve_run(envelopes: DataFrame, tables: AliasTables | None = None) -> Run:
     """Envelopes (with platform_rank) to products and matrix."""
-    offers, canonicals = assign_canonicals(normalize_offers_by_text(build_offers(envelopes), tables))
+    offers, canonicals = assign_canonicals(cut_lineage(normalize_offers_by_text(build_offers(envelopes), tables)))
     return Run(offers, canonicals, build_matrix(canonicals, offers), run_summary(offers, canonicals))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfscope.operators import health as H
+from shelfscope.operators import resolve as R
 from shelfscope.plans import fixtures as fx
 from shelfscope.schemas import PRODUCT_FIELDS
 from shelfscope.sources import landing
@@ -93,3 +94,35 @@ def test_yearly_snapshots_number_their_listings(spark, tmp_path):
     assert all(r.n == r.d == r.m + 1 for r in sizes.collect())
     assert {r.run for r in rows.filter("platform = 'dia'").select("run").distinct().collect()} == {"home-2001"}
     assert {r.fecha_scrapeo for r in rows.filter("platform = 'dia'").collect()} == {"2001-12-01T00:00:00Z"}
+
+
+def offers(spark, n=40):
+    """Half of the offers have a code, some of the others a key that a code owns."""
+    return spark.range(n).selectExpr(
+        "id AS offer_ord", "IF(id % 2 = 0, concat('g', id % 6), '') AS gtin_norm", "IF(id % 4 < 2, concat('k', id % 4), NULL) AS structural_key",
+        "IF(id % 3 = 0, 'dia', 'vea') AS platform", "'x' AS brand_slug", "'X' AS brand_display", "'' AS sub_brand", "'unknown' AS variant_slug",
+        "473 AS volume_ml_canon", "'lata' AS container", "1 AS pack_qty", "false AS is_zero", "concat('cerveza x ', id % 4, ' zzz') AS nombre",
+        "concat('cerveza x ', id % 4, ' zzz') AS nombre_norm",
+    )
+
+
+def test_offers_are_not_sorted_to_get_their_product(spark, no_small_tables):
+    matched, canonicals = R.assign_canonicals(offers(spark))
+    joins = [x for x in plan(matched).splitlines() if "Join" in x]
+    assert joins and all("ShuffledHashJoin" in x for x in joins)
+    assert matched.count() == 40
+    assert sorted(r.canonical_id for r in canonicals.collect()) == list(range(canonicals.count()))
+
+
+def test_only_offers_without_code_are_looked_up(spark, no_small_tables):
+    exact = R.label_exact(offers(spark))
+    side = plan(exact).split("Join")[0]
+    assert "Union" in side  # offers with a code stand beside the join, not below it
+    labels = {r.offer_ord: r.label for r in exact.collect()}
+    assert labels[0] == "g:g0" and labels[4] == "g:g4" and labels[1] == "k:k1" and labels[3] == "o:3" and len(labels) == 40
+
+
+def test_ranks_do_not_depend_on_the_span(spark):
+    df = spark.range(100).selectExpr("id * id * 7 AS n")
+    for span in (1, 64, 1 << 20):
+        assert sorted((r.n, r.r) for r in R.dense_rank_at_scale(df, "n", "r", span).collect()) == [(i * i * 7, i) for i in range(100)]
