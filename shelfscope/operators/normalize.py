@@ -196,10 +196,11 @@ def normalize_offers_by_text(df: DataFrame, tables: AliasTables | None = None, d
     joined = df.join(entries, same).drop("_hash", *[f"_{c}" for c in TEXTS])
     derived = {
         "volume_ml_canon": resolve_volume(tables),
-        "gtin_norm": T.normal_gtin(F.col("gtin")),
         "is_zero": F.coalesce("is_zero_alcohol", F.lit(False)) | F.col("_zero"),
     }
-    return T.computed_once(joined, derived).withColumn("structural_key", structural_key()).drop("_zero")
+    rows = T.computed_once(joined, derived)
+    # Cheap enough to be copied, and left out where it is not asked for, as by the history.
+    return rows.withColumns({"gtin_norm": T.normal_gtin(F.col("gtin")), "structural_key": structural_key()}).drop("_zero")
 
 
 def normalize_offers_by_join(

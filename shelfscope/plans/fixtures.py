@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from shelfscope.functions import text as T
 from shelfscope.functions.numbers import discount_pct, price_per_100ml
 from shelfscope.functions.promo import priced_promo, promo_columns, promo_terms
-from shelfscope.operators.normalize import join_texts, normalize_offers_by_text, with_own_key
+from shelfscope.operators.normalize import join_texts, normalize_offers_by_text, text_dictionary, with_own_key
+from shelfscope.operators.resolve import OFFERS_PER_BUCKET, dense_rank_at_scale
 from shelfscope.session import cut_lineage, scratch_path
 from shelfscope.sources.landing import build_envelopes, land_snapshots, write_parts
 
@@ -91,13 +92,27 @@ def _shop() -> Column:
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest listing per shop and product; the top-1 is cut before the shuffle, and texts are made for what it leaves."""
+    return listed(latest_lines(spark, sf_dir)).withColumn("offer_ord", offer_order(F.col("platform"), F.col("external_product_id")))
+
+
+def latest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bare lines, with their parts, of the latest listings."""
     lines = spread(table(spark, sf_dir, "lineitem").select(*LINE))
     parts = table(spark, sf_dir, "part").select(*PART).dropDuplicates(["p_partkey"])
     latest = W.partitionBy("_shop", "l_partkey").orderBy(
         F.desc("l_shipdate"), "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"
     )
     last = lines.withColumn("_shop", _shop()).withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn", "_shop")
-    return listings(last, parts).withColumn("offer_ord", offer_order(F.col("platform"), F.col("external_product_id")))
+    return last.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+
+
+def placed_lines(lines: DataFrame) -> DataFrame:
+    """``latest_lines`` with ``pos``, the place in the shop's snapshot; they are gone through twice, before any text is made."""
+    keyed = lines.withColumns({"_shop": _shop(), "_ord": _shop() * POSITIONS_PER_PLATFORM + F.col("p_partkey")})
+    placed = dense_rank_at_scale(keyed, "_ord", "_rank", OFFERS_PER_BUCKET)
+    starts = placed.groupBy("_shop").agg(F.min("_rank").alias("_start"))
+    placed = placed.join(F.broadcast(starts), "_shop")
+    return placed.withColumn("pos", F.col("_rank") - F.col("_start")).drop("_shop", "_ord", "_rank", "_start")
 
 
 def offer_order(platform, position):
@@ -115,14 +130,31 @@ def as_products(rows: DataFrame) -> DataFrame:
     return _with_prices(T.computed_once(rows, {**_name_columns(), "_terms": promo_terms(F.col("promo_raw"))}))
 
 
-def as_products_by_text(rows: DataFrame) -> DataFrame:
-    """The same as ``as_products``, with each distinct name, brand and promotion text read once; ``rows`` are gone through twice."""
+def as_products_by_text(rows: DataFrame, plain: DataFrame | None = None) -> DataFrame:
+    """The same as ``as_products``, with each distinct name, brand and promotion text read once; ``rows`` are gone through twice.
+
+    ``plain`` has the same texts and is cheaper to go through, if it is given.
+    """
+    return _with_texts(rows, *_distinct_texts(rows if plain is None else plain))
+
+
+def _distinct_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the distinct names with brands, and the distinct promotion texts, say."""
     texts = cut_lineage(rows.select("nombre", "marca", "promo_raw").distinct())
-    names = T.computed_once(texts.select("nombre", "marca").distinct(), _name_columns())
-    promos = T.computed_once(texts.select("promo_raw").distinct(), {"_terms": promo_terms(F.col("promo_raw"))})
+    names = cut_lineage(T.computed_once(texts.select("nombre", "marca").distinct(), _name_columns()))
+    return names, T.computed_once(texts.select("promo_raw").distinct(), {"_terms": promo_terms(F.col("promo_raw"))})
+
+
+def _with_texts(rows: DataFrame, names: DataFrame, promos: DataFrame) -> DataFrame:
     return _with_prices(join_texts(join_texts(rows, names, ["nombre", "marca"]), promos, ["promo_raw"]))
 
 
+def normalised_by_text(rows: DataFrame) -> DataFrame:
+    """Normalised offers of fixture rows; the dictionary is made of their distinct texts, so ``rows`` are gone through twice in all."""
+    names, promos = _distinct_texts(rows)
+    return normalize_offers_by_text(_with_texts(rows, names, promos), dictionary=cut_lineage(text_dictionary(names)))
+
+
 def _with_prices(rows: DataFrame) -> DataFrame:
     price = F.col("precio_actual")
     before = price * (F.lit(1.0) + F.col("descuento_pct") / F.lit(100.0))
@@ -142,12 +174,17 @@ def _with_prices(rows: DataFrame) -> DataFrame:
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised offers of the latest snapshot."""
-    return normalize_offers_by_text(as_products_by_text(cut_lineage(snapshot(spark, sf_dir))))
+    return normalised_by_text(cut_lineage(snapshot(spark, sf_dir)))
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price observations of all runs, keyed by each row's own canonical key."""
-    rows = with_own_key(normalize_offers_by_text(as_products_by_text(cut_lineage(observations(spark, sf_dir)))))
+    """Price observations of all runs, keyed by each row's own canonical key.
+
+    The bare lines with their parts are written, not the listings' texts, which are made when the lines are read.
+    """
+    lines = spread(table(spark, sf_dir, "lineitem").select(*LINE))
+    lines = lines.join(table(spark, sf_dir, "part").select(*PART), F.col("l_partkey") == F.col("p_partkey"))
+    rows = with_own_key(normalised_by_text(listed(cut_lineage(lines.drop("l_partkey")))))
     return rows.select(
         "canonical_key",
         "platform",
@@ -174,8 +211,6 @@ def yearly_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Places are given to the bare lines, which are written by run; a listing's texts are made when its run is read.
     """
-    from shelfscope.operators.resolve import dense_rank_at_scale
-
     lines = spread(table(spark, sf_dir, "lineitem").select(*LINE))
     year = F.year("l_shipdate")
     late = _shop().isin([PLATFORMS.index(p) for p in LATE_SHOPS]) & (year == LAST_YEAR)

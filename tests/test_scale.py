@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfscope.operators import health as H
+from shelfscope.operators import normalize
 from shelfscope.operators import resolve as R
 from shelfscope.plans import fixtures as fx
 from shelfscope.schemas import PRODUCT_FIELDS
+from shelfscope.session import cut_lineage
 from shelfscope.sources import landing
 
 
@@ -126,3 +128,39 @@ def test_ranks_do_not_depend_on_the_span(spark):
     df = spark.range(100).selectExpr("id * id * 7 AS n")
     for span in (1, 64, 1 << 20):
         assert sorted((r.n, r.r) for r in R.dense_rank_at_scale(df, "n", "r", span).collect()) == [(i * i * 7, i) for i in range(100)]
+
+
+def tables(spark, path, years=(2001,)):
+    for year in years:
+        dated = lines(spark).withColumn("l_shipdate", F.col("l_shipdate") + F.make_ym_interval(F.lit(year - 2001)))
+        dated.write.mode("append").parquet(f"{path}/lineitem.parquet")
+    parts(spark).write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def written(monkeypatch, *modules):
+    """Columns of every step that these modules write."""
+    steps, plain = [], cut_lineage
+    for module in modules:
+        monkeypatch.setattr(module, "cut_lineage", lambda df: steps.append(df.columns) or plain(df))
+    return steps
+
+
+def test_history_reads_texts_once_and_writes_bare_lines(spark, tmp_path, monkeypatch):
+    sf, steps, read = tables(spark, tmp_path), written(monkeypatch, fx, normalize), []
+    resolve = normalize._resolved
+    monkeypatch.setattr(normalize, "_resolved", lambda df, aliases: read.append(df) or resolve(df, aliases))
+    found = fx.history(spark, sf)
+    assert not any("nombre" in columns and ("l_shipdate" in columns or "run_ts" in columns) for columns in steps)
+    assert len(read) == 1 and "Join" not in plan(read[0])  # made of the texts, not of listings joined to them
+    rows = normalize.with_own_key(normalize.normalize_offers(fx.as_products(fx.observations(spark, sf))))
+    rows = rows.withColumn("promo_etiqueta", F.nullif("promo_etiqueta", F.lit(""))).withColumn(
+        "promo_precio_efectivo", F.when(F.col("promo_tipo") == "multi", F.col("promo_precio_efectivo"))
+    )
+    plainly = rows.withColumn("external_product_id", F.col("external_product_id").cast("string")).select(found.columns)
+    assert found.count() > 0
+    assert sorted(map(str, found.collect())) == sorted(map(str, plainly.collect()))
+
+
+def test_history_leaves_out_the_code(spark, tmp_path):
+    assert "0779" not in plan(fx.history(spark, tables(spark, tmp_path)))
