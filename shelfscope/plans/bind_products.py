@@ -765,12 +765,13 @@ def guard(spark, sf):
     statement("SELECT platform, CAST(count(*) AS BIGINT) AS listings, CAST(count(*) FILTER (WHERE descuento_pct > 0) AS BIGINT) AS con_descuento FROM products GROUP BY 1", "products"),
 )
 def landed_layout(spark, sf):
-    from shelfscope.plans.bind_sources import _envelopes
+    from shelfscope.plans.bind_sources import _placed_envelopes
     from shelfscope.sources.landing import land_snapshots, load_run
 
     path = scratch_path(spark, "raw")
-    rows = cut_lineage(fx.as_products_by_text(cut_lineage(fx.snapshot(spark, sf))))
-    land_snapshots(_envelopes(rows), path, "run-1", "gzip")
+    lines = cut_lineage(fx.latest_lines(spark, sf))
+    rows = fx.as_products_by_text(fx.listed(fx.placed_lines(lines), "pos"), fx.listed(lines))
+    land_snapshots(_placed_envelopes(rows), path, "run-1", "gzip")
     rows = load_run(spark, path, "run-1")
     return rows.groupBy("platform").agg(
         F.sum(F.size("productos")).alias("listings"), F.max("con_descuento").cast("bigint").alias("con_descuento")

@@ -113,14 +113,19 @@ def _envelopes(rows):
 
     placed = dense_rank_at_scale(rows, "offer_ord", "_rank", OFFERS_PER_BUCKET)
     starts = placed.groupBy("platform").agg(F.min("_rank").alias("_start"))
-    listed = placed.join(F.broadcast(starts), "platform").select(
+    return _placed_envelopes(placed.join(F.broadcast(starts), "platform").withColumn("pos", F.col("_rank") - F.col("_start")))
+
+
+def _placed_envelopes(rows):
+    """Fixture listings that have their place, ``pos``, as landed envelopes."""
+    listed = rows.select(
         "platform",
         F.col("platform").alias("external_store_id"),
         F.lit("Store").alias("tienda"),
         F.lit("").alias("direccion"),
         F.lit("2024-01-01T00:00:00Z").alias("fecha_scrapeo"),
         F.create_map(F.lit("method"), F.lit("tables")).alias("source"),
-        (F.col("_rank") - F.col("_start")).alias("pos"),
+        "pos",
         F.col("external_product_id").cast("string").alias("id"),
         "nombre", "marca", "tipo", "volumen_ml", "precio_actual", "precio_anterior", "descuento_pct",
         "precio_por_100ml", "stock", "gtin", "promo_etiqueta", "promo_texto", "promo_tipo", "promo_unidades",

@@ -265,7 +265,7 @@ def build_envelopes(products: DataFrame, part_size: int = ENVELOPE_PART) -> Data
     pos and the product fields. ``desde`` is the first position of the part.
     """
     keys = ["platform", "external_store_id", "tienda", "direccion", "fecha_scrapeo"]
-    listed = F.array_sort(F.collect_list(F.struct("pos", *PRODUCT_FIELDS)))
+    listed = F.sort_array(F.collect_list(F.struct("pos", *PRODUCT_FIELDS)))
     part = F.floor(F.col("pos") / F.lit(part_size)).cast("bigint") * F.lit(part_size)
     parts = (
         products.withColumn("desde", part)

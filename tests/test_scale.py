@@ -164,3 +164,25 @@ def test_history_reads_texts_once_and_writes_bare_lines(spark, tmp_path, monkeyp
 
 def test_history_leaves_out_the_code(spark, tmp_path):
     assert "0779" not in plan(fx.history(spark, tables(spark, tmp_path)))
+
+
+def test_listings_get_their_place_before_their_texts(spark, tmp_path, no_small_tables):
+    sf = tables(spark, tmp_path)
+    bare = fx.latest_lines(spark, sf)
+    placed = fx.placed_lines(bare)
+    assert not any("nombre" in x or "Cerveza" in x for x in plan(placed).splitlines())
+    shops = {}
+    for r in fx.listed(placed, "pos").select("platform", "external_product_id", "pos").collect():
+        shops.setdefault(r.platform, []).append((r.external_product_id, r.pos))
+    assert shops and all([p for _, p in sorted(rows)] == list(range(len(rows))) for rows in shops.values())
+    assert sum(map(len, shops.values())) == fx.snapshot(spark, sf).count()
+
+
+def test_landed_layout_writes_bare_lines_only(spark, tmp_path, monkeypatch):
+    from shelfscope.plans import bind_products
+
+    steps = written(monkeypatch, bind_products, fx)
+    found = bind_products.landed_layout(spark, tables(spark, tmp_path))
+    assert steps and not any("nombre" in columns and "precio_actual" in columns for columns in steps)
+    counts = fx.snapshot(spark, str(tmp_path)).groupBy("platform").count().collect()
+    assert {(r.platform, r.listings) for r in found.collect()} == {(r.platform, r["count"]) for r in counts}
