@@ -670,12 +670,12 @@ def _kept(spark, sf):
     """
 
     def build():
-        rows = cut_lineage(history(spark, sf).withColumn("run_ts", F.date_trunc("month", "run_ts").cast("timestamp_ntz")))
+        rows = history(spark, sf)
         path, kept = scratch_path(spark, "history"), scratch_path(spark, "series")
-        year = F.year("run_ts")
+        year, month = F.year("run_ts"), F.date_trunc("month", "run_ts").cast("timestamp_ntz")
         commits = [(year <= 1997) & ~((year == 1996) & (F.col("platform") == "vea")), year.isin(1999, 2000), year.isin(1998, 2001), year == 1996]
         for commit in commits:
-            some = rows.filter(commit)
+            some = rows.filter(commit).withColumn("run_ts", month)  # chosen before its time is changed: the history isn't written again
             Hi.append_history(some, path)
             series.add_runs(spark, path, kept, [r.run_ts for r in some.select("run_ts").distinct().collect()], buckets=8)
         return kept

@@ -186,3 +186,11 @@ def test_landed_layout_writes_bare_lines_only(spark, tmp_path, monkeypatch):
     assert steps and not any("nombre" in columns and "precio_actual" in columns for columns in steps)
     counts = fx.snapshot(spark, str(tmp_path)).groupBy("platform").count().collect()
     assert {(r.platform, r.listings) for r in found.collect()} == {(r.platform, r["count"]) for r in counts}
+
+
+def test_kept_series_write_no_second_history(spark, tmp_path, monkeypatch):
+    from shelfscope.plans import bind_products
+
+    steps = written(monkeypatch, bind_products)
+    bind_products._kept(spark, tables(spark, tmp_path, (1995, 1996, 1999, 2001)))
+    assert not any("precio_actual" in columns for columns in steps)
